@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.bpe_codec import encode_documents
+from evidentia.llm.packing import pack
 from evidentia.llm.token_counts import prefix_token_counts, total_tokens
+from evidentia.llm.warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 512).alias("over_limit"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op9_bpe_codec": op9_bpe_codec}
+QUERIES = {"op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op5_warc": op5_warc, "op9_bpe_codec": op9_bpe_codec}
 ORACLES: dict[str, str] = {}

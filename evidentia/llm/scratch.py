@@ -30,7 +30,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, rows: DataFrame, name: str) -> DataFrame:
-        rows.write.mode("overwrite").parquet(self.path(name))
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(rows.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
