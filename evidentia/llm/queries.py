@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.bpe_codec import encode_documents
+from evidentia.llm.chat_format import digests, format_conversations
 from evidentia.llm.packing import pack
+from evidentia.llm.quality_rules import apply_rules
 from evidentia.llm.token_counts import prefix_token_counts, total_tokens
 from evidentia.llm.warc import archive_round_trip
 
@@ -28,9 +30,49 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op5_warc": op5_warc, "op9_bpe_codec": op9_bpe_codec}
-ORACLES: dict[str, str] = {}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return digests(format_conversations(rows.unionByName(extra)))
+
+
+_OP6 = """
+with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') as w from documents),
+said as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+windows as (select doc_id, i, x || chr(10) || lead(x) over d || chr(10) || lead(x, 2) over d as g from said window d as (partition by doc_id order by i)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from windows where g is not null) where n > 1),
+repeats as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from twice) group by doc_id),
+stats as (select w.doc_id, w, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \\t\\n\\x0B\\f\\r]')) as lines, coalesce(repeats.n, 0) as n_repeat_words
+  from w left join repeats on w.doc_id = repeats.doc_id),
+judged as (select *, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from stats)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 100 * n_symbols > 20 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or 100 * n_dup_lines > 70 * len(lines)
+       or 100 * len(list_filter(w, lambda x: upper(x) = x and lower(x) <> x)) > 60 * n_words) as kept
+from judged
+"""
+_OP10 = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(text, '([\[<])(\\*)(/?INST\]|TURN |/TURN\]|/?s>|</?SYS>>)', '\1\\\2\3', 'g') as escaped, regexp_replace(text, '([\[<])\\(\\*)(/?INST\]|TURN |/TURN\]|/?s>|</?SYS>>)', '\1\2\3', 'g') as bare from c),
+f as (select *, bool_or(escaped <> text or bare <> text) over (partition by conv_id) as escapes from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(case when escapes then escaped else text end) + case role when 'user' then 15 when 'system' then 15 when 'assistant' then 7
+    else 14 + 2 * strlen(role) end) as bigint) as formatted_chars
+from f group by conv_id
+"""
+
+QUERIES = {"op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
+ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op10_chat_format": _OP10}
