@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from evidentia.llm.bpe_codec import encode_documents
 from evidentia.llm.chat_format import digests, format_conversations
 from evidentia.llm.packing import pack
+from evidentia.llm.quality_classifier import classify
 from evidentia.llm.quality_rules import apply_rules
 from evidentia.llm.token_counts import prefix_token_counts, total_tokens
+from evidentia.llm.topk import quantized, top_k
 from evidentia.llm.warc import archive_round_trip
 
 
@@ -34,6 +36,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantized(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -73,6 +84,14 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     else 14 + 2 * strlen(role) end) as bigint) as formatted_chars
 from f group by conv_id
 """
+_OP7 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as p from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.p, c.p) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
-ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op10_chat_format": _OP10}
+QUERIES = {"op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
+ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op7_top_k": _OP7, "op10_chat_format": _OP10}
