@@ -10,6 +10,7 @@ from evidentia.llm.chat_format import digests, format_conversations
 from evidentia.llm.packing import pack
 from evidentia.llm.quality_classifier import classify
 from evidentia.llm.quality_rules import apply_rules
+from evidentia.llm.secret_scan import scan
 from evidentia.llm.token_counts import prefix_token_counts, total_tokens
 from evidentia.llm.topk import quantized, top_k
 from evidentia.llm.warc import archive_round_trip
@@ -24,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 512).alias("over_limit"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "n_candidates", "n_secrets", "findings")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -93,5 +98,5 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_secret_scan": op3_secret_scan, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
 ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op7_top_k": _OP7, "op10_chat_format": _OP10}
