@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.bpe_codec import encode_documents
 from evidentia.llm.chat_format import digests, format_conversations
+from evidentia.llm.ngram_jaccard import near_duplicates
 from evidentia.llm.packing import pack
 from evidentia.llm.quality_classifier import classify
 from evidentia.llm.quality_rules import apply_rules
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = total_tokens()
     return prefix_token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 512).alias("over_limit"))
@@ -98,5 +103,5 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_secret_scan": op3_secret_scan, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_token_counts": op2_token_counts, "op3_secret_scan": op3_secret_scan, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
 ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op7_top_k": _OP7, "op10_chat_format": _OP10}
