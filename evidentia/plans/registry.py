@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.plans import delta
+from evidentia.plans import delta, relational
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (delta,):
+for module in (delta, relational):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
