@@ -106,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_a_shard: int
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dims = F.size("point").alias("dims")
     stored = vectors.select("*", dims, dealt("vec_id", shards).alias("shard")).select("*", every(blocks).alias("block"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "point", dims, dealt("vec_id", blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("home")).dropDuplicates(["query_id"])
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("point").alias("wanted"), dims, dealt("vec_id", blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("home")).dropDuplicates(["query_id"])
     schema = "query_id long, vec_id long, score long"
 
     def search(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_a_shard: int
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         tree = BallTree(found["vec_id"].to_numpy(), np.stack(found["point"].to_numpy()))
         query_ids = wanted["query_id"].to_numpy()
-        scores, ids = tree.search(query_ids, np.stack(wanted["point"].to_numpy()), wanted["floor"].to_numpy().astype(np.float64), k)
+        scores, ids = tree.search(query_ids, np.stack(wanted["wanted"].to_numpy()), wanted["floor"].to_numpy().astype(np.float64), k)
         there = scores > NOTHING
         return pd.DataFrame({"query_id": np.repeat(query_ids, k).reshape(scores.shape)[there], "vec_id": ids[there], "score": scores[there].astype(np.int64)})
 
