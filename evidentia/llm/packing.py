@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.bpe import tokenizers_coder
+from evidentia.llm.bpe import whole_text_encoder
 from evidentia.llm.scratch import Scratch
 
 OUTPUT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -67,18 +67,17 @@ def plan(histogram: np.ndarray, window: int) -> tuple[list[tuple], int, np.ndarr
 
 
 def _tokenize(docs: DataFrame, tokenizer: str, window: int, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """Per row: key (unique), doc_tokens, the CRC of each whole window, and length, CRC and ids (16 bits each) of the rest."""
+    """Per row: key (unique), doc_tokens, the CRC of each whole window, and length, CRC and ids (32 bits each) of the rest."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        coder = tokenizers_coder(tokenizer, lambda ids: np.asarray(ids, "<u4").tobytes())
-        last = np.asarray([end_id], "<u4").tobytes()
+        ids_of = whole_text_encoder(tokenizer)
         step = 4 * window
         for batch in batches:
             rows = []
             for content in batch.column(2).to_pylist():
-                ids = b"".join(coder.values(content)[1]) + last
+                ids = np.array([*ids_of(content), end_id], "<u4").tobytes()
                 whole = len(ids) // step
                 rest = ids[whole * step :]
                 rows.append((len(ids) // 4, [zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(whole)], len(rest) // 4, zlib.crc32(rest), rest))
