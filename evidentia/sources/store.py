@@ -1,0 +1,51 @@
+"""Append-only parquet tables with one pointer: readers see a version only after all its tables are written."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class EvidenceStore:
+    """``<root>/<table>/version=N`` and ``<root>/CURRENT.json``, on any file system that Spark writes to.
+
+    A failed commit leaves files that no pointer names; ``expected`` (the version that a writer has read) refuses a
+    commit on top of another writer's.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda *parts: path("/".join((self.root, *parts)))
+        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def current(self) -> int | None:
+        if not self._fs.exists(self._path("CURRENT.json")):
+            return None
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/CURRENT.json").collect()))["version"]
+
+    def commit(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
+        """Writes all tables as the next version, then moves the pointer by a rename."""
+        now = self.current()
+        if now != expected:
+            raise ValueError(f"stale tip: expected version {expected}, found {now}")
+        version = (now or 0) + 1
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+        staged = self._path(f"CURRENT-{version}.json")
+        out = self._fs.create(staged, True)
+        out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
+        out.close()
+        if self.current() != expected:
+            raise ValueError("stale tip: another writer moved the pointer")
+        self._fs.delete(self._path("CURRENT.json"), False)
+        if not self._fs.rename(staged, self._path("CURRENT.json")):
+            raise OSError("the pointer could not be moved")
+        return version
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        version = version or self.current()
+        if version is None:
+            raise LookupError("nothing is committed")
+        return self.spark.read.parquet(f"{self.root}/{table}/version={version}")
