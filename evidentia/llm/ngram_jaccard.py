@@ -20,7 +20,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from evidentia.llm.scratch import Scratch
 
@@ -71,24 +70,31 @@ def unpack_tokens(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u4", n).astype(np.uint64) << np.uint64(8) | np.frombuffer(packed, np.uint8, n, 4 * n)
 
 
+def group_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each group. A set has fewer than 2^32 members; counts take 16 bits where they fit, and only then bound anything."""
+    counts = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype("<u2") if counts.max() < 1 << 16 else np.full(GROUPS, (1 << 16) - 1, "<u2")
+
+
 def shingle_sets(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: row (unique), doc_id, n_shingles, key (a hash of the whole set; null for an empty one) and tokens."""
+    """Per row: row (unique), doc_id, n, key (a hash of the whole set; null for an empty one), tokens and point (counts of GROUPS groups)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = _WordHashes()
         for batch in batches:
-            n, keys, tokens = [], [], []
+            n, keys, tokens, points = [], [], [], []
             for content in batch.column(2).to_pylist():
                 found = shingles(content, size, hashes)
                 n.append(len(found))
                 keys.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
                 tokens.append(pack_tokens(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], names=["row", "doc_id", "n", "key", "tokens"])
+                points.append(group_counts(found).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(points, pa.binary())], names=["row", "doc_id", "n", "key", "tokens", "point"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(build, "row long, doc_id long, n int, key long, tokens binary")
+    return rows.mapInArrow(build, "row long, doc_id long, n int, key long, tokens binary, point binary")
 
 
 def common_buckets(sets: DataFrame) -> np.ndarray:
@@ -145,7 +151,23 @@ def shard_members(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFra
     return sets.where("key is not null").select("key", "tokens").mapInArrow(members, "token int, key long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def admitted(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys that their sizes and the summed minima of their points allow to be as alike as ``percent``."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("point_a", "point_b"))
+            bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            good = (100 + percent) * bound >= percent * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda name, *more: groups.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in more])
+    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits)
+    return sized.join(side("a", "point"), "a").join(side("b", "point"), "b").mapInArrow(check, "a long, b long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +180,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda name: sets.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"tokens_{name}"))
-    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    narrow = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b").where(fits).select("a", "b")
-    return narrow.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
+    # One row a set, and only sets of these pairs: buckets of keys, at most BUCKETS of them, skip most others before the shuffle.
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    bucket = F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    near = sets.select("row", "tokens", bucket).join(F.broadcast(keys.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    wanted = groups.select("key", "row").join(keys, "key", "left_semi").join(near, "row").select("key", "tokens")
+    side = lambda name: wanted.select(F.col("key").alias(name), F.col("tokens").alias(f"tokens_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -230,17 +255,34 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minor:
                     yield a[i], b[j]
 
 
-def search_trees(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of keys from rows (token, unit, key, n, comp, minor, point), one R-tree for each token and unit."""
+def search_trees(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of keys from rows (token, unit, key, n, comp, minor, point, tokens), one R-tree for each token and unit.
+
+    With ``best`` only the pair of the highest bound, against its least overlap, for each minor member. Otherwise every
+    pair, in the first of the shards that both are in.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pd.DataFrame) -> pa.RecordBatch:
             keys, out_a, out_b = rows["key"].to_numpy(), [], []
             starts = np.flatnonzero(np.r_[True, (rows["token"].to_numpy()[1:] != rows["token"].to_numpy()[:-1]) | (rows["unit"].to_numpy()[1:] != rows["unit"].to_numpy()[:-1])])
             sizes, comps, minor, packed = rows["n"].to_numpy().astype(np.int64), rows["comp"].to_numpy(), rows["minor"].to_numpy(), rows["point"].to_numpy()
+            tokens, shard = rows["tokens"].to_numpy(), rows["token"].to_numpy()
             for s, e in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
                 points = np.frombuffer(b"".join(packed[s:e]), "<u2").reshape(e - s, GROUPS)
-                for i, j in tree_pairs(points, sizes[s:e], comps[s:e], minor[s:e], percent):
+                listed = list(tree_pairs(points, sizes[s:e], comps[s:e], minor[s:e], percent))
+                if best and listed:
+                    i, j = (np.concatenate(x) for x in zip(*listed, strict=True))
+                    ratio = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) / (sizes[s + i] + sizes[s + j])
+                    order = np.lexsort((-ratio, i))
+                    first = order[np.r_[True, i[order][1:] != i[order][:-1]]]
+                    listed = [(i[first], j[first])]
+                elif listed:
+                    own = {}
+                    of = lambda k: own[k] if k in own else own.setdefault(k, set(tokens[k]))  # noqa: B023, E731
+                    kept = [np.fromiter((min(of(s + x) & of(s + y)) == shard[s] for x, y in zip(i, j, strict=True)), bool, len(i)) for i, j in listed]
+                    listed = [(i[k], j[k]) for (i, j), k in zip(listed, kept, strict=True)]
+                for i, j in listed:
                     out_a.append(np.minimum(keys[s + i], keys[s + j]))
                     out_b.append(np.maximum(keys[s + i], keys[s + j]))
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
@@ -261,10 +303,28 @@ def search_trees(members: DataFrame, percent: int) -> DataFrame:
     return members.repartition("token", "unit").sortWithinPartitions("token", "unit").mapInArrow(search, "a long, b long")
 
 
-@F.pandas_udf(BinaryType())
-def _point(tokens: pd.Series) -> pd.Series:
-    count = lambda packed: np.minimum(np.bincount(np.frombuffer(packed, "<u4", len(packed) // 5) // 7 % GROUPS, minlength=GROUPS), 65535).astype("<u2").tobytes()
-    return tokens.map(count)
+def _open_shards(shards: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the shards with several components, for :func:`search_trees`.
+
+    Shards of two were settled by their one pair. The largest component of a shard meets only the other members. Units of a
+    large shard: blocks of the largest component with blocks of the others, and blocks of the others in pairs.
+    """
+    named = shards.select("token", "key").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    per_comp = named.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = per_comp.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("major")).where("comps > 1 and all > 2")
+    open_ = named.join(mixed.select("token", "all", F.col("major.c").alias("n_major"), F.col("major.comp").alias("major")), "token").withColumn("minor", F.col("comp") != F.col("major"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / UNIT)).cast("int")
+    n_minor, n_major = blocks(F.col("all") - F.col("n_major")), blocks(F.col("n_major"))
+    own = F.when(F.col("minor"), F.pmod(F.xxhash64("key"), n_minor)).otherwise(F.pmod(F.xxhash64("key"), n_major)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    unit = lambda kind, x, y: F.concat_ws("-", F.lit(kind), x, y)
+    with_major = F.when(F.col("minor"), F.transform(upto(n_major), lambda i: unit("x", i, own))).otherwise(F.transform(upto(n_minor), lambda j: unit("x", own, j)))
+    among = F.when(F.col("minor"), F.transform(upto(n_minor), lambda j: unit("m", F.least(own, j), F.greatest(own, j)))).otherwise(F.array().cast("array<string>"))
+    units = F.when(F.col("all") <= UNIT, F.array(F.lit("all"))).otherwise(F.concat(with_major, among))
+    # A set's own shards are at most as many as its first shingles.
+    per_key = open_.groupBy("key").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.struct("token", "comp", "minor", units.alias("units"))).alias("s"))
+    rows = groups.select("key", "n", "point").join(per_key, "key").select("key", "n", "point", "tokens", F.explode("s").alias("s"))
+    return rows.select("s.token", F.explode("s.units").alias("unit"), "key", "n", "s.comp", "s.minor", "point", "tokens")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,47 +337,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: s
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     sets = scratch.keep(shingle_sets(docs, size, doc_id, text), "sets")
-    groups = scratch.keep(sets.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.first("n").alias("n")), "groups")
+    plain = scratch.keep(sets.select("doc_id", "n", "key"), "plain")
+    least = sets.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
+    groups = scratch.keep(least.join(sets.select("row", "n", "point"), "row"), "groups")
 
     shard = Window.partitionBy("token")
-    members = shard_members(sets, common_buckets(sets), percent)
-    shards = scratch.keep(
-        members.select("*", F.min("key").over(shard).alias("pivot"), F.max("key").over(shard).alias("top")).where("pivot <> top").select("token", "key", "pivot"), "shards",
-    )
-    # One row a set, and only sets in shards with another. The buckets are a filter of at most BUCKETS rows.
-    bucket = F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    in_shards = shards.select("key").distinct()
-    wanted = sets.select("row", "tokens", "key", bucket).join(F.broadcast(shards.select(bucket).distinct()), "bucket", "left_semi").drop("key", "bucket")
-    candidates = scratch.keep(groups.join(in_shards, "key", "left_semi").select("key", "row", "n").join(wanted, "row").select("key", "n", "tokens", _point("tokens").alias("point")), "candidates")
-    plain = sets.select("row", "doc_id", "n", "key")
-
-    stars = shards.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = scratch.keep(verify(stars, candidates, percent), "links-1")
+    members = shard_members(sets, common_buckets(sets), percent).select("*", F.min("key").over(shard).alias("pivot"), F.max("key").over(shard).alias("top"))
+    found = scratch.keep(members.where("pivot <> top").select("token", "key", "pivot").distinct(), "members")
+    # Near copies share many shingles, so many shards have the same members: one of them is enough.
+    alike = found.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    shards = scratch.keep(found.join(alike.groupBy("c", "x", "y").agg(F.min("token").alias("token")), "token", "left_semi"), "shards")
+    scratch.drop("members")
+
+    stars = scratch.keep(shards.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    links = scratch.keep(verify(scratch.keep(admitted(stars, groups, percent), "pairs-1"), sets, groups, percent), "links-1")
     first = components(links, scratch, "first")
 
-    # Shards of two were settled by their one pair. The largest component of a shard meets only the other members.
-    named = shards.select("token", "key").distinct().join(first, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    per_comp = named.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = per_comp.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("major")).where("comps > 1 and all > 2")
-    open_ = named.join(mixed.select("token", "all", F.col("major.c").alias("n_major"), F.col("major.comp").alias("major")), "token").withColumn("minor", F.col("comp") != F.col("major"))
-    # Units of a large shard: blocks of the largest component with blocks of the others, and blocks of the others in pairs.
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / UNIT)).cast("int")
-    n_minor, n_major = blocks(F.col("all") - F.col("n_major")), blocks(F.col("n_major"))
-    own = F.when(F.col("minor"), F.pmod(F.xxhash64("key"), n_minor)).otherwise(F.pmod(F.xxhash64("key"), n_major)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    unit = lambda kind, x, y: F.concat_ws("-", F.lit(kind), x, y)
-    with_major = F.when(F.col("minor"), F.transform(upto(n_major), lambda i: unit("x", i, own))).otherwise(F.transform(upto(n_minor), lambda j: unit("x", own, j)))
-    among = F.when(F.col("minor"), F.transform(upto(n_minor), lambda j: unit("m", F.least(own, j), F.greatest(own, j)))).otherwise(F.array().cast("array<string>"))
-    units = F.when(F.col("all") <= UNIT, F.array(F.lit("all"))).otherwise(F.concat(with_major, among))
-    points = candidates.select("key", "n", "point")
-    spread = open_.select("token", "key", "comp", "minor", F.explode(units).alias("unit")).join(points, "key")
-    more = scratch.keep(search_trees(spread.select("token", "unit", "key", "n", "comp", "minor", "point"), percent).distinct().join(stars, ["a", "b"], "left_anti"), "pairs-2")
-    more_links = scratch.keep(verify(more, candidates, percent), "links-2")
-    if more_links.limit(1).count():
-        final = components(links.union(more_links), scratch, "final")
-    else:
-        final = first
-    named_groups = groups.select("key", "least_id").join(final, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    # The members of mixed shards are first tried with their most promising partner of another component, which joins most
+    # that can be joined; what is still apart is searched to the end.
+    tested, labels = stars, first
+    for step, best in ((2, True), (3, False)):
+        spread = scratch.keep(_open_shards(shards, labels, groups), f"spread-{step}")
+        pairs = scratch.keep(search_trees(spread, percent, best).distinct().join(tested, ["a", "b"], "left_anti"), f"found-{step}")
+        scratch.drop(f"spread-{step}")
+        more = scratch.keep(verify(pairs, sets, groups, percent), f"links-{step}")
+        tested = tested.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links, scratch, f"labels-{step}")
+    named_groups = groups.select("key", "least_id").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    scratch.drop("sets")
     least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_set = scratch.keep(named_groups.join(least, "comp").select("key", "component_id"), "components")
     out = plain.join(of_set, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
