@@ -199,6 +199,21 @@ def test_secrets(spark, docs):
     assert secret_scan.scan(docs, forest).count() == docs.count() and secret_scan.scan(docs.limit(0), forest).count() == 0
 
 
+def test_secrets_of_every_form_are_masked_whole(spark):
+    key, prefixed = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c", "ghp_aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5h"
+    web = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    forms = [
+        ('password = "{}" # x', "hunter2secret"), ("DB_PASSWORD={} x", "P@ssw0rd!x"), ("pwd: {}, then", "Tr0ub4dor&3"), ("?user=1&password={}&x=1", "s3cr.et!9"), ('accessToken: "{}"', "zx81!kp"),
+        ("export API_KEY={} x", key), ("https://x.org/a?access_token={}&page=2", key), ("it is {} here", prefixed), ("Authorization: Bearer {} x", web), ('{{\\"password\\": \\"{}\\"}}', "hunter2secret"),
+    ]
+    plain = ["the secret: nobody knows", "password = getPassword()", 'password = os.environ["PW"]', "password: ${DB_PASSWORD}", f"commit={key}", f"?id={key}", "max_tokens=4096", "a/path/to/some/module_name"]
+    rows = [(i, f.format(v), "src1") for i, (f, v) in enumerate(forms)] + [(100 + i, t, "src1") for i, t in enumerate(plain)]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i].redacted for i in range(len(forms))] == [f.format("[SECRET]") for f, _ in forms]
+    assert all(got[i].n_secrets == 1 and got[i].findings[0].length == len(v) for i, (_, v) in enumerate(forms))
+    assert [got[100 + i].redacted for i in range(len(plain))] == plain
+
+
 def brute_components(rows, percent=75):
     def shingles(text):
         words = text.encode().lower().split()
