@@ -59,8 +59,8 @@ class SegmentCoder:
         return segments, values
 
 
-def tokenizers_coder(path: str, value: Callable[[list[int]], Any], **limits: Any) -> SegmentCoder:
-    """Segments encoded by the tokenizers library with its defaults, without added special tokens; a text that holds a special string isn't cut."""
+def library_model(path: str) -> Any:
+    """The tokenizers library's model of a .json file, without truncation and padding."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,11 +69,7 @@ def tokenizers_coder(path: str, value: Callable[[list[int]], Any], **limits: Any
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    special = [t.content for t in model.get_added_tokens_decoder().values()]
-    return SegmentCoder(
-        lambda segments: [value(e.ids) for e in model.encode_batch(segments, add_special_tokens=False)],
-        whole=lambda text: any(s in text for s in special), **limits,
-    )
+    return model
 
 
 def _raw_bytes() -> dict[str, int]:
@@ -83,24 +79,13 @@ def _raw_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def whole_text_encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a whole text, as the tokenizers library gives them for a .json file by its defaults, without added special tokens.
-
-    Where the file is plain byte-level BPE whose merges are in the order of their ids, tiktoken encodes with the same
-    vocabulary, several times as fast; texts that hold a special string, and other files, go to the library itself.
-    """
+def byte_level_encoding(path: str) -> tuple[Any, dict[bytes, int]] | None:
+    """A tiktoken encoding, without special strings, and its ranks, where a .json file is plain byte-level BPE whose merges are in the order of their ids."""
     import json
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    library = lambda text: model.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as source:
         file = json.load(source)
     kind, before = file["model"], file["pre_tokenizer"] or {}
@@ -109,10 +94,25 @@ def whole_text_encoder(path: str) -> Callable[[str], list[int]]:
     merged = [plain.get(m.replace(" ", "") if isinstance(m, str) else "".join(m)) for m in kind.get("merges", [])]
     usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and file["normalizer"] is None and not kind.get("dropout") and not kind.get("ignore_merges")
     if not usual or len(merged) != len(plain) - 256 or merged != list(range(256, len(plain))):
-        return library
+        return None
     byte = _raw_bytes()
-    encoding = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in plain.items()}, special_tokens={})
-    return lambda text: library(text) if any(s in text for s in special) else encoding.encode_ordinary(text)
+    ranks = {bytes(byte[c] for c in t): i for t, i in plain.items()}
+    return tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
+def whole_text_encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a whole text, as the tokenizers library gives them for a .json file by its defaults, without added special tokens.
+
+    Where the file is plain byte-level BPE whose merges are in the order of their ids, tiktoken encodes with the same
+    vocabulary, several times as fast; texts that hold a special string, and other files, go to the library itself.
+    """
+    model = library_model(path)
+    library = lambda text: model.encode(text, add_special_tokens=False).ids
+    found = byte_level_encoding(path)
+    if found is None:
+        return library
+    special = [t.content for t in model.get_added_tokens_decoder().values()]
+    return lambda text: library(text) if any(s in text for s in special) else found[0].encode_ordinary(text)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -56,6 +56,21 @@ def test_token_counts_match_the_library(docs):
     assert token_counts.prefix_token_counts(docs.limit(0)).count() == 0
 
 
+def test_token_counts_at_every_prefix(spark):
+    model = Tokenizer.from_file(JSON)
+    count = lambda t: len(model.encode(t, add_special_tokens=False).ids)
+    texts = ["ab1+" * 60, "日本語の文章。" * 20, "  \n\n it's we're\t x", "one two<|endoftext|>'re three <|end <|endoftext|><|endoftext|>" + "y" * 40, " " * 50 + "z'll" * 20, "https://a.b/c?d=e&f=0123456789abcdef"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ends = [1, 7, 30, 10_000]
+    answers = [token_counts.tokens_at(e).alias(f"at_{e}") for e in ends]
+    got = {r.doc_id: r for r in token_counts.prefix_token_counts(rows).select("*", *answers, token_counts.fitting_end(9).alias("fit")).collect()}
+    for i, text in enumerate(texts):
+        want = [count(text[:e]) for e in range(1, len(text) + 1)]
+        assert (got[i].prefix_ends, got[i].prefix_tokens) == (list(range(1, len(text) + 1)), want)
+        assert [got[i][f"at_{e}"] for e in ends] == [want[min(e, len(text)) - 1] for e in ends]
+        assert got[i].fit == max(e for e, n in enumerate(want, 1) if n <= 9)
+
+
 def test_whole_text_encoder_equals_the_library():
     fast, model = whole_text_encoder(JSON), Tokenizer.from_file(JSON)
     for _, text in TEXTS:
