@@ -8,7 +8,8 @@ In a shard, shingles hashed into groups give every set a vector of group counts,
 two points bound the sets' overlap, and those of two R-tree nodes bound it for all pairs below them. Pairs that the
 bound admits are verified on the sets. First all members of a shard are verified against one of them only; where that
 connects a whole shard, as in a group of near copies, nothing else is compared. Members of different components of the
-other shards are searched in the trees. No link between different sets is lost, and no shard's pairs are all listed.
+other shards are searched in the trees. So no component is lost, and no shard's pairs are all listed; links inside a component are left
+out, unless they are counted: then all members of all shards are searched, and no link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -327,9 +328,12 @@ def _open_shards(shards: DataFrame, labels: DataFrame, groups: DataFrame) -> Dat
     return rows.select("s.token", F.explode("s.units").alias("unit"), "key", "n", "s.comp", "s.minor", "point", "tokens")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links of similarity >= percent / 100 reach.
 
+    With ``count_links`` also n_links, the number of other sets that the row's set links to: then every pair that may link
+    is verified. Without it pairs whose members are already connected are skipped, which gives connectivity only.
+
     Words are runs of characters other than \\x20 and \\x09-\\x0D, A-Z lowered. A document's set has its distinct shingles of
     ``size`` words; with fewer words the whole sequence; null, empty and blank texts have an empty set and no link.
     Equal sets always link. Repeated rows give a row each. A null doc_id never becomes a component's id, unless all are
@@ -351,23 +355,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: s
 
     stars = scratch.keep(shards.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "stars")
     links = scratch.keep(verify(scratch.keep(admitted(stars, groups, percent), "pairs-1"), sets, groups, percent), "links-1")
-    first = components(links, scratch, "first")
+    # Where links are counted every set is a component of its own, so that no pair is skipped.
+    first = groups.select("key", F.col("key").alias("comp")) if count_links else components(links, scratch, "first")
 
     # The members of mixed shards are first tried with their most promising partner of another component, which joins most
     # that can be joined; what is still apart is searched to the end.
     tested, labels = stars, first
-    for step, best in ((2, True), (3, False)):
+    for step, best in ((3, False),) if count_links else ((2, True), (3, False)):
         spread = scratch.keep(_open_shards(shards, labels, groups), f"spread-{step}")
         pairs = scratch.keep(search_trees(spread, percent, best).distinct().join(tested, ["a", "b"], "left_anti"), f"found-{step}")
         scratch.drop(f"spread-{step}")
         more = scratch.keep(verify(pairs, sets, groups, percent), f"links-{step}")
         tested = tested.unionByName(pairs)
-        if not more.isEmpty():
+        if count_links or not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links, scratch, f"labels-{step}")
     named_groups = groups.select("key", "least_id").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     scratch.drop("sets")
     least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_set = scratch.keep(named_groups.join(least, "comp").select("key", "component_id"), "components")
+    if count_links:
+        per_key = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+        found = plain.join(of_set, "key", "left").join(scratch.keep(per_key, "link-counts"), "key", "left")
+        return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = plain.join(of_set, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out

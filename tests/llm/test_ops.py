@@ -281,6 +281,21 @@ def test_near_duplicates(spark, monkeypatch, unit):
     assert ngram_jaccard.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", [4096, 16])
+def test_every_link_is_counted(spark, monkeypatch, unit):
+    monkeypatch.setattr(ngram_jaccard, "UNIT", unit)
+    rows = [(i, t or "") for i, t in near_rows()]
+    sets = []
+    for _, t in rows:
+        w = t.encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    distinct = set(sets) - {frozenset()}
+    linked = {a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in distinct) for a in distinct}
+    got = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), count_links=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, linked.get(s, 0)) for (i, _), s in zip(rows, sets))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows) and max(linked.values()) > 2
+
+
 def test_tree_lists_every_pair_that_may_link():
     rng = np.random.default_rng(1)
     points = rng.poisson(2, (300, ngram_jaccard.GROUPS)).astype(np.uint16)
