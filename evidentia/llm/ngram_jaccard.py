@@ -1,15 +1,17 @@
-"""N-gram Jaccard join with count vectors in R-trees, and the components of its links.
+"""N-gram Jaccard join by count vectors in R-trees, with the number of links of every set and the components of the links.
 
 A text's set of word shingles is hashed. Two sets with a similarity of at least t share a shingle among the first few of
-each, in any common order; the order here puts shingles that many documents hold last, by counts over all documents. So
-each of those first shingles is a shard, and shards hold few documents that aren't alike.
-
-In a shard, shingles hashed into groups give every set a vector of group counts, a point. The summed coordinate minima of
-two points bound the sets' overlap, and those of two R-tree nodes bound it for all pairs below them. Pairs that the
-bound admits are verified on the sets. First all members of a shard are verified against one of them only; where that
-connects a whole shard, as in a group of near copies, nothing else is compared. Members of different components of the
-other shards are searched in the trees. So no component is lost, and no shard's pairs are all listed; links inside a component are left
-out, unless they are counted: then all members of all shards are searched, and no link between different sets is lost.
+each, in any common order; the order here puts shingles that many documents hold last, by counts over all documents. The
+sets that hold such a first shingle form a star around one of them, its pivot: first inside a task, then the pivots of the
+tasks around one of them. So shards, the members of a pivot's stars, lose no link; a set is in as many shards as it has
+different pivots, which for near copies is one or two; and what is shuffled for a shingle that a third of all documents
+hold is one entry a task.
+
+In every shard, shingles hashed into groups give each set a vector of group counts, a point in an R-tree that is bulk-loaded
+by coordinates. The summed coordinate minima of two points bound the sets' overlap, and those of two nodes' upper corners
+bound it for all pairs below them. The tree joined with itself lists the pairs that the bound admits; nothing else lists
+pairs. First only points are shuffled; the sets of members with an admitted partner follow and are verified. A pair counts in the
+first shard that both its sets are in. Tasks return a row for each set, with its links and one set that it reaches, never pairs.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.scratch import Scratch
 
-#: Buckets of the shingle counts; their number is fixed, so the counts have a fixed size.
+#: Buckets of the shingle counts. With 5e12 shingles in all, one that 15,000 documents hold still stands out of its bucket.
 BUCKETS = 1 << 20
-#: Coordinates of a point, members of a tree's leaf, and members that one task compares at a time.
-GROUPS, LEAF, UNIT = 256, 64, 4096
+#: Coordinates of the point of a set of up to SMALL shingles, members of a leaf, and shingles of a block of a shard's members.
+GROUPS, SMALL, LEAF, UNIT = 256, 2048, 64, 1 << 20
+#: Prefix shingles that a task sorts at a time, rows of a slice of a batch, and words and sets that a task remembers.
+ENTRIES, SLICE, WORDS, SEEN = 1 << 20, 256, 150_000, 200_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOW = (1 << 32) - 1
 
 
 class _WordHashes(dict):
@@ -38,7 +43,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -61,322 +66,502 @@ def shingles(text: str, size: int, hashes: dict) -> np.ndarray:
     return out[np.r_[True, out[1:] != out[:-1]]]
 
 
-def pack_tokens(hashes: np.ndarray) -> bytes:
-    """The top 40 bits of sorted hashes: 32 bits each, then 8 bits each."""
-    return (hashes >> np.uint64(32)).astype("<u4").tobytes() + (hashes >> np.uint64(24)).astype(np.uint8).tobytes()
+def set_key(found: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a whole set, as two signed longs."""
+    import xxhash
 
+    value = xxhash.xxh3_128_intdigest(found.tobytes())
+    return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
 
-def unpack_tokens(packed: bytes) -> np.ndarray:
-    n = len(packed) // 5
-    return np.frombuffer(packed, "<u4", n).astype(np.uint64) << np.uint64(8) | np.frombuffer(packed, np.uint8, n, 4 * n)
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that only few texts are held as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
-def group_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of a set's hashes fall into each group. A set has fewer than 2^32 members; counts take 16 bits where they fit, and only then bound anything."""
-    counts = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return counts.astype("<u2") if counts.max() < 1 << 16 else np.full(GROUPS, (1 << 16) - 1, "<u2")
 
+# --- Counts over all documents ---
 
-def shingle_sets(docs: DataFrame, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: row (unique), doc_id, n, key (a hash of the whole set; null for an empty one), tokens and point (counts of GROUPS groups)."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        hashes = _WordHashes()
-        for batch in batches:
-            n, keys, tokens, points = [], [], [], []
-            for content in batch.column(2).to_pylist():
-                found = shingles(content, size, hashes)
-                n.append(len(found))
-                keys.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
-                tokens.append(pack_tokens(found))
-                points.append(group_counts(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(points, pa.binary())], names=["row", "doc_id", "n", "key", "tokens", "point"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(build, "row long, doc_id long, n int, key long, tokens binary, point binary")
 
+def common_buckets(texts: DataFrame, size: int) -> np.ndarray:
+    """A class for each bucket of shingles: 0, or higher the more documents hold its shingles beyond what chance gives.
 
-def common_buckets(sets: DataFrame) -> np.ndarray:
-    """A class for each bucket of shingles: 0, or higher the more documents hold its shingles beyond what chance gives. Counts cover all documents."""
+    Every task sends its counts in compressed blocks; blocks are summed over a thousand tasks at a time, then over those.
+    """
     block = 4096
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int32)
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                np.add.at(total, np.frombuffer(packed, "<u4", len(packed) // 5) % BUCKETS, 1)
-        if total.any():
-            rows = total.reshape(-1, block)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "counts"])
+        import zlib
+
+        from pyspark import TaskContext
+
+        total, hashes = np.zeros(BUCKETS, np.int64), _WordHashes()
+        held, n = [], 0
+        for batch in slices(batches):
+            held += [shingles(text, size, hashes) for text in batch.column(0).to_pylist()]
+            n += sum(map(len, held[-batch.num_rows :]))
+            if n > ENTRIES:
+                total += np.bincount((np.concatenate(held) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                held, n = [], 0
+        if n:
+            total += np.bincount((np.concatenate(held) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        rows = [(k, r) for k, r in enumerate(total.reshape(-1, block)) if r.any()]
+        lane = [TaskContext.get().partitionId() >> 10] * len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array(lane, pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for _, r in rows], pa.binary())], names=["block", "lane", "counts"])
 
     def add(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        import zlib
+
         total = np.zeros(block, np.int64)
         for packed in found["counts"]:
-            total += np.frombuffer(packed, np.int32)
-        return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
+            total += np.frombuffer(zlib.decompress(packed), np.int64)
+        return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    summed = sets.select("tokens").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
+    lanes = texts.select("text").mapInArrow(count, "block int, lane int, counts binary").groupBy("block", "lane").applyInPandas(add, "block int, counts binary")
     counts = np.zeros((BUCKETS // block, block), np.int64)
-    for r in summed:
-        counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    for r in lanes.groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # BUCKETS counts, whatever the corpus
+        import zlib
+
+        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     counts = counts.ravel()
     over = counts - counts.mean()
     return np.where(over <= 6 * np.sqrt(counts.mean()) + 4, 0, 1 + np.floor(np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
 
-def shard_members(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """(token, key): the first shingles of each set, rarest classes first, so many that sets as alike as ``percent`` share one."""
-    shared = sets.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
+# --- Shards: stars of sets that share a first shingle ---
+
+
+def _pack_entries(base: int, tokens: np.ndarray, own: np.ndarray) -> bytes:
+    """Sorted 48-bit shingles and, for each, a 32-bit number that counts from ``base``."""
+    import zlib
+
+    body = (tokens >> np.uint64(32)).astype("<u2").tobytes() + (tokens & np.uint64(_LOW)).astype("<u4").tobytes() + own.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return base.to_bytes(8, "little") + zlib.compress(body, 1)
+
+
+def _unpack_entries(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zlib
+
+    body = zlib.decompress(block[8:])
+    n = len(body) // 10
+    tokens = np.frombuffer(body, "<u2", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(body, "<u4", n, 2 * n)
+    own = np.frombuffer(body, np.uint8, 4 * n, 6 * n).reshape(4, n).T.copy().view("<u4").ravel()
+    return tokens, own.astype(np.int64) + int.from_bytes(block[:8], "little")
+
+
+def _stars(tokens: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted (token, own) rows: where each token starts, and distinct (member, pivot) of members other than their token's first."""
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
+    pivot = np.repeat(own[starts], np.diff(np.r_[starts, len(tokens)]))
+    pairs = np.unique(np.stack([own, pivot], 1)[own != pivot], axis=0)
+    return starts, pairs[:, 0], pairs[:, 1]
+
+
+FOUND = "kind int, doc_id long, row long, th long, n int, hi long, lo long, ref long, part int, block binary, pivot long"
+
+
+def first_shingles(texts: DataFrame, classes: np.ndarray, size: int, percent: int, bits: int) -> DataFrame:
+    """Rows of FOUND. Kind 0: a document with its set's key and ``ref``, a number that equal sets of a task share. Kind 1:
+    entries of the first shingles of a task's sets, by their ``bits`` top bits. Kind 2: (ref, pivot), a member of a star inside a task."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("ref", pa.int64()), ("part", pa.int32()), ("block", pa.binary()), ("pivot", pa.int64())])
+
+    def rows(kind: int, **columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        full = columns | {"kind": np.full(n, kind, np.int32)}
+        return pa.RecordBatch.from_arrays([c if isinstance(c := full.get(f.name), pa.Array) else pa.array(c, f.type) if c is not None else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def flush(base: int, tokens: list, counts: list) -> Iterator[pa.RecordBatch]:
+        flat, own = np.concatenate(tokens), np.repeat(np.arange(len(counts)), counts)
+        order = np.argsort(flat, kind="stable")  # own ascends within a token
+        flat, own = flat[order], own[order]
+        starts, member, pivot = _stars(flat, own)
+        if len(member):
+            yield rows(2, ref=member + base, pivot=pivot + base)
+        flat, own = flat[starts], own[starts]
+        part = (flat >> np.uint64(48 - bits)).astype(np.int32)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        yield rows(1, part=part[cuts[:-1]], block=pa.array([_pack_entries(base, flat[a:b], own[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        classes, hashes, seen = shared.value, _WordHashes(), {}
+        base = TaskContext.get().partitionId() << 32
+        tokens, counts, held, at = [], [], 0, base
+        for batch in slices(batches):
+            n, keys, refs = [], [], []
+            for text in batch.column(3).to_pylist():
+                found = shingles(text, size, hashes)
+                n.append(len(found))
+                if not len(found):
+                    keys.append((None, None))
+                    refs.append(None)
+                    continue
+                keys.append(key := set_key(found))
+                ref = seen.get(key)
+                if ref is None:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    ref = seen[key] = at + len(counts)
+                    own = classes[(found % np.uint64(BUCKETS)).astype(np.int64)]
+                    first = np.argsort(own, kind="stable")[: len(found) - -(-percent * len(found) // 100) + 1]
+                    tokens.append(found[first] >> np.uint64(16))
+                    counts.append(len(first))
+                    held += len(first)
+                refs.append(ref)
+            yield rows(0, doc_id=batch.column(0), row=batch.column(1), th=batch.column(2), n=n, hi=[k[0] for k in keys], lo=[k[1] for k in keys], ref=refs)
+            if held > ENTRIES:
+                yield from flush(at, tokens, counts)
+                at += len(counts)
+                tokens, counts, held = [], [], 0
+        if held:
+            yield from flush(at, tokens, counts)
+
+    return texts.select("doc_id", "row", "th", "text").mapInArrow(find, FOUND)
+
+
+def join_stars(entries: DataFrame) -> DataFrame:
+    """(ref, pivot) of the stars that entries (part, block) of different tasks form. A group has one entry of a shingle from a task at most."""
+
+    def merge(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        unpacked = [_unpack_entries(b) for b in found["block"]]
+        tokens, own = (np.concatenate(x) for x in zip(*unpacked, strict=True))
+        order = np.lexsort((own, tokens))
+        _, member, pivot = _stars(tokens[order], own[order])
+        return pd.DataFrame({"ref": member, "pivot": pivot})
+
+    return entries.groupBy("part").applyInPandas(merge, "ref long, pivot long")
+
+
+# --- R-trees over group counts ---
+
+
+def group_counts(found: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of GROUPS groups, or of more (a power of two times as many) in sets above SMALL."""
+    groups = GROUPS
+    while groups * SMALL < len(found) * GROUPS:
+        groups *= 2
+    return np.bincount(((found >> np.uint64(8)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+
+
+def pack_point(counts: np.ndarray) -> bytes:
+    """Counts in 8 bits each where they fit, else in 32; the first byte tells which."""
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\4" + counts.astype("<u4").tobytes()
+
+
+def unpack_point(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else "<u4", offset=1).astype(np.int32)
+
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = shared.value, set()
-        for batch in batches:
-            keys, tokens, counts = [], [], []
-            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key in seen:  # copies within a task; those of other tasks meet in the shards
+def _folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
+
+
+class RTree:
+    """Bulk-loaded: members are halved by size where sizes are too far apart to link, else along the coordinate of the widest range.
+
+    A node keeps the upper corner of its points and the range of its sizes. A leaf's points keep as many coordinates as its
+    smallest set has; two leaves are compared with those that both have.
+    """
+
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.points, self.sizes, self.percent = points, sizes, percent
+        self.coarse = np.stack([_folded(p, GROUPS) for p in points])
+        self.nodes: list[tuple] = []  # upper corner, least and largest size, children, members, their points
+        self._load(np.arange(len(points)))
+
+    def _load(self, members: np.ndarray) -> int:
+        at = len(self.nodes)
+        self.nodes.append(())
+        low, high, children, fine = int(self.sizes[members].min()), int(self.sizes[members].max()), (), None
+        if len(members) > LEAF:
+            own = self.coarse[members]
+            by = self.sizes[members] if self.percent * high > 100 * low else own[:, int((own.max(axis=0) - own.min(axis=0)).argmax())]
+            order = members[np.argsort(by, kind="stable")]
+            children = (self._load(order[: len(order) // 2]), self._load(order[len(order) // 2 :]))
+        else:
+            groups = min(len(self.points[m]) for m in members)
+            fine = self.coarse[members] if groups == GROUPS else np.stack([_folded(self.points[m], groups) for m in members])
+            fine = fine.astype(np.uint16) if fine.max() < 1 << 16 else fine
+        self.nodes[at] = (self.coarse[members].max(axis=0), low, high, children, members, fine)
+        return at
+
+    def _may_link(self, overlap, a, b):
+        return (100 + self.percent) * overlap >= self.percent * (a + b)
+
+    def join(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, admitted): members of two leaves, or twice of one, and whether the bound admits each pair; within one leaf only i < j."""
+        pairs = [(0, 0)]
+        while pairs:
+            x, y = pairs.pop()
+            (up_a, low_a, high_a, children_a, a, fine_a), (up_b, low_b, high_b, children_b, b, fine_b) = self.nodes[x], self.nodes[y]
+            if self.percent * low_a > 100 * high_b or self.percent * low_b > 100 * high_a:
+                continue
+            if x != y and not self._may_link(min(int(np.minimum(up_a, up_b).sum(dtype=np.int64)), high_a, high_b), low_a, low_b):
+                continue
+            if children_a or children_b:
+                if x == y:
+                    p, q = children_a
+                    pairs += [(p, p), (p, q), (q, q)]
+                elif children_a and (not children_b or len(a) >= len(b)):
+                    pairs += [(c, y) for c in children_a]
+                else:
+                    pairs += [(x, c) for c in children_b]
+                continue
+            groups = min(fine_a.shape[1], fine_b.shape[1])
+            fold = lambda fine: fine if fine.shape[1] == groups else fine.reshape(len(fine), -1, groups).sum(axis=1)  # noqa: B023, E731
+            p, q = fold(fine_a), fold(fine_b)
+            overlap = np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2, dtype=np.int64)
+            admitted = self._may_link(overlap, self.sizes[a][:, None], self.sizes[b][None, :])
+            if x == y:
+                admitted = np.triu(admitted, 1)
+            if admitted.any():
+                yield a, b, admitted
+
+
+class Unit:
+    """Members of one block of a shard, or of two blocks, of which only pairs across are meant. ``pairs`` joins its tree."""
+
+    def __init__(self, shard: int, unit: int, points: list[np.ndarray], sizes: np.ndarray, blocks: np.ndarray, places: list[bytes], percent: int):
+        self.tree = RTree(points, sizes, percent)
+        self.blocks = blocks if unit >> 20 != unit & 0xFFFFF else None
+        # Bits for the earlier shards that several members are in: a pair with a common one is that shard's.
+        before: dict[int, list[int]] = {}
+        for i, packed in enumerate(places):
+            own = np.frombuffer(packed, np.int64)
+            for s in own[own < shard].tolist():
+                before.setdefault(s, []).append(i)
+        several = [m for m in before.values() if len(m) > 1]
+        self.bits = np.zeros((len(places), -(-len(several) // 8)), np.uint8) if several else None
+        for k, m in enumerate(several):
+            self.bits[m, k // 8] |= np.uint8(1 << (k % 8))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a, b, admitted in self.tree.join():
+            if self.blocks is not None:
+                admitted = admitted & (self.blocks[a][:, None] != self.blocks[b][None, :])
+            if self.bits is not None:
+                for k in range(self.bits.shape[1]):
+                    admitted = admitted & ((self.bits[a, k][:, None] & self.bits[b, k][None, :]) == 0)
+            if admitted.any():
+                yield a, b, admitted
+
+
+def own_block(ref: int, blocks: int) -> int:
+    return (ref * 0x9E3779B97F4A7C15 >> 24 & 0xFFFFF) % blocks
+
+
+def units_of(ref: int, blocks: int) -> list[int]:
+    """The units of a shard of so many blocks that a member is in: each pair of blocks with its own."""
+    own = own_block(ref, blocks)
+    return [(min(own, k) << 20) | max(own, k) for k in range(blocks)]
+
+
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units, of rows sorted by (shard, unit) that start with these columns, and where each unit starts."""
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        shard, unit = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        return np.r_[0, np.flatnonzero((shard[1:] != shard[:-1]) | (unit[1:] != unit[:-1])) + 1]
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        cuts = starts(rows)
+        if len(cuts) > 1:
+            yield rows.slice(0, cuts[-1]), cuts[:-1]
+        rest = rows.slice(cuts[-1])
+    if rest is not None:
+        yield rest, starts(rest)
+
+
+# --- The two searches: points of all members, then sets of those with an admitted partner ---
+
+
+def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ref, hi, lo, places, hits, text) of the wanted sets, from one document each. Buckets of hashes, at most BUCKETS, skip most other texts before the shuffle."""
+    bucket = F.pmod(F.col("th"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    near = texts.select("th", "text", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    # A merge join leaves rows in the order of th, so that dropping repeated rows neither shuffles nor sorts.
+    return near.join(wanted.hint("merge"), "th").dropDuplicates(["th", "ref"])
+
+
+def _dealt(fetched: DataFrame, size: int, sets: bool) -> DataFrame:
+    """Rows (shard, unit, ref, block, n, content, places), dealt and sorted by shard and unit; content is the set, or its point."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, kinds = _WordHashes(), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        for batch in slices(batches):
+            out, c = [], {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
+            for ref, key, places, hits, text in zip(c["ref"], zip(c["hi"], c["lo"], strict=True), c["places"], c["hits"], c["text"], strict=True):
+                found = shingles(text, size, hashes)
+                if set_key(found) != key:  # a text of the same 64-bit hash as the wanted one
+                    continue
+                content, packed = found.tobytes() if sets else pack_point(group_counts(found)), np.sort([p["shard"] for p in places]).astype(np.int64).tobytes()
+                blocks = {p["shard"]: p["blocks"] for p in places}
+                for shard, unit in [(h["shard"], h["unit"]) for h in hits] if sets else [(s, u) for s, b in blocks.items() for u in units_of(ref, b)]:
+                    out.append((shard, unit, ref, own_block(ref, blocks[shard]), len(found), content, packed))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "unit", "ref", "block", "n", "content", "places"])
+
+    rows = fetched.mapInArrow(deal, "shard long, unit long, ref long, block int, n int, content binary, places binary")
+    return rows.repartition("shard", "unit").sortWithinPartitions("shard", "unit", "ref")
+
+
+def _unit(rows: pa.Table, a: int, b: int, points: list[np.ndarray], percent: int) -> Unit:
+    part = rows.slice(a, b - a)
+    return Unit(part.column(0)[0].as_py(), part.column(1)[0].as_py(), points, part.column(4).to_numpy().astype(np.int64), part.column(3).to_numpy(), part.column(6).to_pylist(), percent)
+
+
+def admitted_members(dealt: DataFrame, percent: int) -> DataFrame:
+    """(shard, unit, ref) of the members of dealt points for whom the trees list a partner."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_units(batches):
+            keep = np.zeros(rows.num_rows, bool)
+            content = rows.column(5)
+            for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                if b - a < 2:
                     continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(key)
-                n = len(packed) // 5
-                own = np.frombuffer(packed, "<u4", n)
-                first = own[np.argsort(classes[own % BUCKETS], kind="stable")[: n - -(-percent * n // 100) + 1]]
-                keys.append(key)
-                tokens.append(first)
-                counts.append(len(first))
-            flat = np.concatenate(tokens).view(np.int32) if tokens else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int32()), pa.array(np.repeat(np.asarray(keys, np.int64), counts), pa.int64())], names=["token", "key"])
-
-    return sets.where("key is not null").select("key", "tokens").mapInArrow(members, "token int, key long")
-
-
-def admitted(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys that their sizes and the summed minima of their points allow to be as alike as ``percent``."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("point_a", "point_b"))
-            bound = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            good = (100 + percent) * bound >= percent * (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda name, *more: groups.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in more])
-    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits)
-    return sized.join(side("a", "point"), "a").join(side("b", "point"), "b").mapInArrow(check, "a long, b long")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have 100 * intersection >= percent * union."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.concatenate([unpack_tokens(x), unpack_tokens(y)])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    # One row a set, and only sets of these pairs: buckets of keys, at most BUCKETS of them, skip most others before the shuffle.
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    bucket = F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    near = sets.select("row", "tokens", bucket).join(F.broadcast(keys.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-    wanted = groups.select("key", "row").join(keys, "key", "left_semi").join(near, "row").select("key", "tokens")
-    side = lambda name: wanted.select(F.col("key").alias(name), F.col("tokens").alias(f"tokens_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
-
-
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(key, comp) for every key in a link: the smallest key that it reaches. Minima spread along links, then labels jump to their labels' labels."""
-    both = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select("b", "a"))
-    edges = scratch.keep(both.distinct(), f"{name}-edges")
-    labels = scratch.keep(edges.groupBy("key").agg(F.least("key", F.min("other")).alias("comp")), f"{name}-0")
+                for i, j, admitted in _unit(rows, a, b, [unpack_point(x) for x in content.slice(a, b - a).to_pylist()], percent).pairs():
+                    keep[a + i[admitted.any(axis=1)]] = True
+                    keep[a + j[admitted.any(axis=0)]] = True
+            yield from rows.select(["shard", "unit", "ref"]).filter(pa.array(keep)).to_batches()
+
+    return dealt.mapInArrow(search, "shard long, unit long, ref long")
+
+
+def verified(dealt: DataFrame, percent: int) -> DataFrame:
+    """(ref, links, least) for members of dealt sets with links in a unit: their number and the least ref that they reach there."""
+
+    def check(rows: pa.Table, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column(5).slice(a, b - a).to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        named = np.split(names, ends[:-1])
+        mark = np.zeros(int(names.max()) + 1, bool)
+        links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+        for i, j, admitted in _unit(rows, a, b, [group_counts(s) for s in sets], percent).pairs():
+            columns = np.flatnonzero(admitted.any(axis=0))
+            j, admitted = j[columns], admitted[:, columns]
+            flat, starts = np.concatenate([named[k] for k in j]), np.cumsum([0, *sizes[j][:-1]])
+            for x in np.flatnonzero(admitted.any(axis=1)):
+                k = i[x]
+                mark[named[k]] = True
+                shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+                mark[named[k]] = False
+                hit = j[admitted[x] & ((100 + percent) * shared >= percent * (sizes[k] + sizes[j]))]
+                if len(hit):
+                    links[k] += len(hit)
+                    links[hit] += 1
+                    least = min(label[k], label[hit].min())
+                    for other in np.unique(label[np.r_[k, hit]]):
+                        if other != least:
+                            label[label == other] = least
+        return links, label
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_units(batches):
+            refs, links, label = rows.column(2).to_numpy(), np.zeros(rows.num_rows, np.int64), np.arange(rows.num_rows)
+            for a, b in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+                if b - a > 1:
+                    links[a:b], found = check(rows, a, b)
+                    label[a:b] = found + a
+            yield pa.RecordBatch.from_arrays([pa.array(refs), pa.array(links), pa.array(refs[label])], names=["ref", "links", "least"]).filter(pa.array(links > 0))
+
+    return dealt.mapInArrow(search, "ref long, links long, least long")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, comp) for every key in an edge (a, b): the smallest key that it reaches. Minima spread along edges, then labels jump to their labels' labels."""
+    both = edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a"))
+    edges = scratch.keep(both.distinct(), "edges")
+    labels = scratch.keep(edges.groupBy("key").agg(F.least("key", F.min("other")).alias("comp")), "labels-0")
     step = 0
     while True:
         step += 1
         heard = edges.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("comp").alias("heard"))
         lower = labels.join(heard, "key").select("key", F.col("comp").alias("was"), F.least("comp", "heard").alias("comp"))
         jump = labels.select(F.col("key").alias("comp"), F.col("comp").alias("further"))
-        new = scratch.keep(lower.join(jump, "comp", "left").select("key", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")), f"{name}-{step}")
+        new = scratch.keep(lower.join(jump, "comp", "left").select("key", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")), f"labels-{step}")
         changed = new.where("comp <> was").limit(1).count()
-        scratch.drop(f"{name}-{step - 1}")
+        scratch.drop(f"labels-{step - 1}")
         labels = new.select("key", "comp")
         if not changed:
             return labels
 
 
-def _bounds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Summed coordinate minima of every row of x with every row of y."""
-    out = np.empty((len(x), len(y)), np.int64)
-    for i, row in enumerate(x):
-        out[i] = np.minimum(row, y).sum(axis=1, dtype=np.int64)
-    return out
-
-
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, minor: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of different components, i in ``minor``, whose overlap may suffice, from an R-tree over all points.
-
-    Leaves hold neighbours by size and by component; a node keeps the largest coordinates and the sizes' range. A query leaf
-    descends only into nodes whose bound, with any of its own members, reaches the least overlap.
-    """
-    order = np.lexsort((sizes, comps)) if len(points) > LEAF else np.arange(len(points))
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    levels = [[(p.max(axis=0), sizes[leaf].min(), sizes[leaf].max(), [k]) for k, leaf in enumerate(leaves) if len(p := points[leaf])]]
-    while len(levels[-1]) > 8:
-        below = levels[-1]
-        level = []
-        for i in range(0, len(below), 8):
-            part = below[i : i + 8]
-            level.append((np.max([x[0] for x in part], axis=0), min(x[1] for x in part), max(x[2] for x in part), list(range(i, i + len(part)))))
-        levels.append(level)
-    enough = lambda bound, a, b: (100 + percent) * bound >= percent * (a + b)
-    for a in leaves:
-        a = a[minor[a]]
-        if not len(a):
-            continue
-        top, least, most = points[a].max(axis=0), sizes[a].min(), sizes[a].max()
-        open_nodes = [(len(levels) - 1, k) for k in range(len(levels[-1]))]
-        while open_nodes:
-            level, k = open_nodes.pop()
-            high, small, large, children = levels[level][k]
-            if 100 * large < percent * least or 100 * most < percent * small or not enough(np.minimum(top, high).sum(dtype=np.int64), least, small):
-                continue
-            if level:
-                open_nodes += [(level - 1, c) for c in children]
-                continue
-            b = leaves[children[0]]
-            differ = (comps[a][:, None] != comps[b][None, :]) & ~(minor[b][None, :] & (a[:, None] >= b[None, :]))
-            if differ.any():
-                i, j = np.nonzero(differ & enough(_bounds(points[a], points[b]), sizes[a][:, None], sizes[b][None, :]))
-                if len(i):
-                    yield a[i], b[j]
-
+def shard_members(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """Distinct (shard, ref, n) of the members of all shards, in numbers of classes of equal sets; of shards with the same members one is kept."""
+    named = lambda pairs: pairs.join(refs.select("ref", F.col("id").alias("a")), "ref").join(refs.select(F.col("ref").alias("pivot"), F.col("id").alias("b")), "pivot").where("a <> b").select("a", "b").distinct()
+    inside = named(found.where("kind = 2").select("ref", "pivot"))
+    across = named(join_stars(found.where("kind = 1").select("part", "block")))
+    # A member of a star inside a task is in the shards that the star's pivot is in.
+    further = inside.withColumnRenamed("b", "via").join(across.select(F.col("a").alias("via"), "b"), "via").select("a", "b")
+    stars = inside.union(across).union(further).where("a <> b")
+    members = stars.union(stars.select("b", "b")).toDF("ref", "shard").distinct()
+    sized = members.join(refs.where("ref = id").select("ref", "n"), "ref")
+    return sized.select("shard", "ref", "n")
 
-def search_trees(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) of keys from rows (token, unit, key, n, comp, minor, point, tokens), one R-tree for each token and unit.
 
-    With ``best`` only the pair of the highest bound, against its least overlap, for each minor member. Otherwise every
-    pair, in the first of the shards that both are in.
-    """
+def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """Per row: row (that column of ``docs``, a long, or null), doc_id, n_shingles, component_id, n_links and component, a number of the row's component (null for empty sets).
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pd.DataFrame) -> pa.RecordBatch:
-            keys, out_a, out_b = rows["key"].to_numpy(), [], []
-            starts = np.flatnonzero(np.r_[True, (rows["token"].to_numpy()[1:] != rows["token"].to_numpy()[:-1]) | (rows["unit"].to_numpy()[1:] != rows["unit"].to_numpy()[:-1])])
-            sizes, comps, minor, packed = rows["n"].to_numpy().astype(np.int64), rows["comp"].to_numpy(), rows["minor"].to_numpy(), rows["point"].to_numpy()
-            tokens, shard = rows["tokens"].to_numpy(), rows["token"].to_numpy()
-            for s, e in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
-                points = np.frombuffer(b"".join(packed[s:e]), "<u2").reshape(e - s, GROUPS)
-                listed = list(tree_pairs(points, sizes[s:e], comps[s:e], minor[s:e], percent))
-                if best and listed:
-                    i, j = (np.concatenate(x) for x in zip(*listed, strict=True))
-                    ratio = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) / (sizes[s + i] + sizes[s + j])
-                    order = np.lexsort((-ratio, i))
-                    first = order[np.r_[True, i[order][1:] != i[order][:-1]]]
-                    listed = [(i[first], j[first])]
-                elif listed:
-                    own = {}
-                    of = lambda k: own[k] if k in own else own.setdefault(k, set(tokens[k]))  # noqa: B023, E731
-                    kept = [np.fromiter((min(of(s + x) & of(s + y)) == shard[s] for x, y in zip(i, j, strict=True)), bool, len(i)) for i, j in listed]
-                    listed = [(i[k], j[k]) for (i, j), k in zip(listed, kept, strict=True)]
-                for i, j in listed:
-                    out_a.append(np.minimum(keys[s + i], keys[s + j]))
-                    out_b.append(np.maximum(keys[s + i], keys[s + j]))
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-            found = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-            return pa.RecordBatch.from_pandas(found, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]), preserve_index=False)
-
-        rest: pd.DataFrame | None = None  # a unit may go on in the next batch
-        for batch in batches:
-            rows = batch.to_pandas()
-            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-            last = (rows["token"] == rows["token"].iloc[-1]) & (rows["unit"] == rows["unit"].iloc[-1])
-            rest, done = rows[last].reset_index(drop=True), rows[~last].reset_index(drop=True)
-            if len(done):
-                yield pairs(done)
-        if rest is not None and len(rest):
-            yield pairs(rest)
-
-    return members.repartition("token", "unit").sortWithinPartitions("token", "unit").mapInArrow(search, "a long, b long")
-
-
-def _open_shards(shards: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of the shards with several components, for :func:`search_trees`.
-
-    Shards of two were settled by their one pair. The largest component of a shard meets only the other members. Units of a
-    large shard: blocks of the largest component with blocks of the others, and blocks of the others in pairs.
+    See :func:`near_duplicates`.
     """
-    named = shards.select("token", "key").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    per_comp = named.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = per_comp.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("major")).where("comps > 1 and all > 2")
-    open_ = named.join(mixed.select("token", "all", F.col("major.c").alias("n_major"), F.col("major.comp").alias("major")), "token").withColumn("minor", F.col("comp") != F.col("major"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / UNIT)).cast("int")
-    n_minor, n_major = blocks(F.col("all") - F.col("n_major")), blocks(F.col("n_major"))
-    own = F.when(F.col("minor"), F.pmod(F.xxhash64("key"), n_minor)).otherwise(F.pmod(F.xxhash64("key"), n_major)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    unit = lambda kind, x, y: F.concat_ws("-", F.lit(kind), x, y)
-    with_major = F.when(F.col("minor"), F.transform(upto(n_major), lambda i: unit("x", i, own))).otherwise(F.transform(upto(n_minor), lambda j: unit("x", own, j)))
-    among = F.when(F.col("minor"), F.transform(upto(n_minor), lambda j: unit("m", F.least(own, j), F.greatest(own, j)))).otherwise(F.array().cast("array<string>"))
-    units = F.when(F.col("all") <= UNIT, F.array(F.lit("all"))).otherwise(F.concat(with_major, among))
-    # A set's own shards are at most as many as its first shingles.
-    per_key = open_.groupBy("key").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.struct("token", "comp", "minor", units.alias("units"))).alias("s"))
-    rows = groups.select("key", "n", "point").join(per_key, "key").select("key", "n", "point", "tokens", F.explode("s").alias("s"))
-    return rows.select("s.token", F.explode("s.units").alias("unit"), "key", "n", "s.comp", "s.minor", "point", "tokens")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    own_row = F.col(row).cast("long") if row else F.lit(None).cast("long")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), own_row.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.select("*", F.xxhash64("doc_id", "text").alias("th"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(4, min(24, (4 * parts - 1).bit_length()))
+    found = scratch.keep(first_shingles(texts, common_buckets(texts, size), size, percent, bits), "found")
+
+    documents = found.where("kind = 0").select("row", "doc_id", "n", "ref", "hi", "lo", "th")
+    sets = documents.where("ref is not null").groupBy("ref", "hi", "lo").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("th").alias("th"))
+    classes = sets.groupBy("hi", "lo").agg(F.min("ref").alias("id"), F.min("doc_id").alias("least_id"), F.min("th").alias("th"))
+    refs = scratch.keep(sets.select("ref", "hi", "lo", "n").join(classes, ["hi", "lo"]), "refs")
+
+    members = scratch.keep(shard_members(found, refs), "members")
+    shape = members.groupBy("shard").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("ref")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(1))).alias("y"))
+    first = shape.groupBy("c", "x", "y").agg(F.min("shard").alias("shard"), F.max("weight").alias("weight"))
+    blocks = first.select("shard", F.ceil(F.col("weight") / UNIT).cast("int").alias("blocks"))
+    # A set is in as many shards at most as it has first shingles.
+    places = members.join(blocks, "shard").groupBy("ref").agg(F.collect_list(F.struct("shard", "blocks")).alias("places"))
+    wanted = scratch.keep(places.join(refs.where("ref = id").select("ref", "hi", "lo", "th"), "ref"), "wanted")
+
+    nothing = F.lit(None).cast("array<struct<shard:long,unit:long>>").alias("hits")
+    hits = scratch.keep(admitted_members(_dealt(_fetch(texts, wanted.select("*", nothing)), size, False), percent), "hits")
+    per_ref = hits.groupBy("ref").agg(F.collect_list(F.struct("shard", "unit")).alias("hits"))
+    links = scratch.keep(verified(_dealt(_fetch(texts, wanted.join(per_ref, "ref")), size, True), percent), "links")
+
+    labels = components(links.where("ref <> least").select(F.col("ref").alias("a"), F.col("least").alias("b")), scratch)
+    counted = links.groupBy("ref").agg(F.sum("links").alias("n_links"))
+    named = refs.where("ref = id").select("id", "least_id").join(labels.withColumnRenamed("key", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    of_class = named.join(named.groupBy("comp").agg(F.min("least_id").alias("component_id")), "comp").join(counted.withColumnRenamed("ref", "id"), "id", "left")
+    of_ref = refs.select("ref", "id").join(of_class.select("id", "comp", "component_id", "n_links"), "id").drop("id")
+    out = documents.join(of_ref, "ref", "left").select(
+        "row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("comp").alias("component"),
+    )
+    return scratch.last(out, "joined")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links of similarity >= percent / 100 reach.
-
-    With ``count_links`` also n_links, the number of other sets that the row's set links to: then every pair that may link
-    is verified. Without it pairs whose members are already connected are skipped, which gives connectivity only.
+    """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links of similarity >= percent / 100 reach, and
+    with ``count_links`` n_links, the number of other sets that the row's set links to. Every link is verified either way.
 
     Words are runs of characters other than \\x20 and \\x09-\\x0D, A-Z lowered. A document's set has its distinct shingles of
-    ``size`` words; with fewer words the whole sequence; null, empty and blank texts have an empty set and no link.
-    Equal sets always link. Repeated rows give a row each. A null doc_id never becomes a component's id, unless all are
-    null. Other columns are ignored; an empty table gives no rows.
+    ``size`` words; with fewer words the whole sequence; null, empty and blank texts have an empty set and no link. Equal
+    sets are one set with several documents, all of one component. Repeated rows give a row each. A null doc_id never
+    becomes a component's id, unless all are null. Other columns are ignored; an empty table gives no rows.
+
+    Shingles are compared by 64 bits of hash, sets by 128: two sets of 20,000 different shingles have a chance of 2e-11 of a
+    common one, and among 1e10 sets that of two wrongly equal ones is 2e-19.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    sets = scratch.keep(shingle_sets(docs, size, doc_id, text), "sets")
-    plain = scratch.keep(sets.select("doc_id", "n", "key"), "plain")
-    least = sets.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
-    groups = scratch.keep(least.join(sets.select("row", "n", "point"), "row"), "groups")
-
-    shard = Window.partitionBy("token")
-    members = shard_members(sets, common_buckets(sets), percent).select("*", F.min("key").over(shard).alias("pivot"), F.max("key").over(shard).alias("top"))
-    found = scratch.keep(members.where("pivot <> top").select("token", "key", "pivot").distinct(), "members")
-    # Near copies share many shingles, so many shards have the same members: one of them is enough.
-    alike = found.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    shards = scratch.keep(found.join(alike.groupBy("c", "x", "y").agg(F.min("token").alias("token")), "token", "left_semi"), "shards")
-    scratch.drop("members")
-
-    stars = scratch.keep(shards.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-    links = scratch.keep(verify(scratch.keep(admitted(stars, groups, percent), "pairs-1"), sets, groups, percent), "links-1")
-    # Where links are counted every set is a component of its own, so that no pair is skipped.
-    first = groups.select("key", F.col("key").alias("comp")) if count_links else components(links, scratch, "first")
-
-    # The members of mixed shards are first tried with their most promising partner of another component, which joins most
-    # that can be joined; what is still apart is searched to the end.
-    tested, labels = stars, first
-    for step, best in ((3, False),) if count_links else ((2, True), (3, False)):
-        spread = scratch.keep(_open_shards(shards, labels, groups), f"spread-{step}")
-        pairs = scratch.keep(search_trees(spread, percent, best).distinct().join(tested, ["a", "b"], "left_anti"), f"found-{step}")
-        scratch.drop(f"spread-{step}")
-        more = scratch.keep(verify(pairs, sets, groups, percent), f"links-{step}")
-        tested = tested.unionByName(pairs)
-        if count_links or not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links, scratch, f"labels-{step}")
-    named_groups = groups.select("key", "least_id").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    scratch.drop("sets")
-    least = named_groups.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_set = scratch.keep(named_groups.join(least, "comp").select("key", "component_id"), "components")
-    if count_links:
-        per_key = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
-        found = plain.join(of_set, "key", "left").join(scratch.keep(per_key, "link-counts"), "key", "left")
-        return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = plain.join(of_set, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+    return join_documents(docs, size, percent, doc_id, text).select("doc_id", "n_shingles", "component_id", *["n_links"] * count_links)

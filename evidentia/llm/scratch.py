@@ -33,6 +33,16 @@ class Scratch:
         rows.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(rows.schema).parquet(self.path(name))
 
+    def last(self, rows: DataFrame, name: str) -> DataFrame:
+        """Keeps a job's result and deletes all its other tables."""
+        kept = self.keep(rows, name)
+        path_of = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path_of(self.root)
+        for status in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root):
+            if status.getPath().getName() != name:
+                self.drop(status.getPath().getName())
+        return kept
+
     def drop(self, *names: str) -> None:
         path_of = self.spark._jvm.org.apache.hadoop.fs.Path
         for name in names:
