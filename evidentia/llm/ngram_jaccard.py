@@ -29,7 +29,7 @@ from evidentia.llm.scratch import Scratch
 #: Buckets of the shingle counts. With 5e12 shingles in all, one that 15,000 documents hold still stands out of its bucket.
 BUCKETS = 1 << 20
 #: Coordinates of the point of a set of up to SMALL shingles, members of a leaf, and shingles of a block of a shard's members.
-GROUPS, SMALL, LEAF, UNIT = 256, 2048, 64, 1 << 20
+GROUPS, SMALL, LEAF, UNIT = 256, 1024, 64, 1 << 20
 #: Prefix shingles that a task sorts at a time, rows of a slice of a batch, and words and sets that a task remembers.
 ENTRIES, SLICE, WORDS, SEEN = 1 << 20, 256, 150_000, 200_000
 
@@ -260,15 +260,16 @@ def _folded(point: np.ndarray, groups: int) -> np.ndarray:
 
 
 class RTree:
-    """Bulk-loaded: members are halved by size where sizes are too far apart to link, else along the coordinate of the widest range.
+    """Bulk-loaded: members are parted by their number of coordinates, then halved by size where sizes are too far apart to link, else along the coordinate of the widest range.
 
-    A node keeps the upper corner of its points and the range of its sizes. A leaf's points keep as many coordinates as its
-    smallest set has; two leaves are compared with those that both have.
+    A node keeps the upper corner of its points and the range of its sizes. All points of a leaf have equally many
+    coordinates; two leaves are compared with those that both have.
     """
 
     def __init__(self, points: list[np.ndarray], sizes: np.ndarray, percent: int):
         self.points, self.sizes, self.percent = points, sizes, percent
         self.coarse = np.stack([_folded(p, GROUPS) for p in points])
+        self.groups = np.array([len(p) for p in points])
         self.nodes: list[tuple] = []  # upper corner, least and largest size, children, members, their points
         self._load(np.arange(len(points)))
 
@@ -276,14 +277,16 @@ class RTree:
         at = len(self.nodes)
         self.nodes.append(())
         low, high, children, fine = int(self.sizes[members].min()), int(self.sizes[members].max()), (), None
-        if len(members) > LEAF:
+        fewest = self.groups[members].min()
+        if (finer := self.groups[members] > fewest).any():
+            children = (self._load(members[~finer]), self._load(members[finer]))
+        elif len(members) > LEAF:
             own = self.coarse[members]
             by = self.sizes[members] if self.percent * high > 100 * low else own[:, int((own.max(axis=0) - own.min(axis=0)).argmax())]
             order = members[np.argsort(by, kind="stable")]
             children = (self._load(order[: len(order) // 2]), self._load(order[len(order) // 2 :]))
         else:
-            groups = min(len(self.points[m]) for m in members)
-            fine = self.coarse[members] if groups == GROUPS else np.stack([_folded(self.points[m], groups) for m in members])
+            fine = self.coarse[members] if fewest == GROUPS else np.stack([self.points[m] for m in members])
             fine = fine.astype(np.uint16) if fine.max() < 1 << 16 else fine
         self.nodes[at] = (self.coarse[members].max(axis=0), low, high, children, members, fine)
         return at
