@@ -29,8 +29,8 @@ from evidentia.llm.scratch import Scratch
 #: Buckets of the shingle counts. With 5e12 shingles in all, one that 15,000 documents hold still stands out of its bucket.
 BUCKETS = 1 << 20
 #: Coordinates of the point of a set of up to SMALL shingles, members of a leaf, and shingles of a block of a shard's members.
-GROUPS, SMALL, LEAF, UNIT = 256, 1024, 64, 1 << 20
-#: Prefix shingles that a task sorts at a time, rows of a slice of a batch, and words and sets that a task remembers.
+GROUPS, SMALL, LEAF, UNIT = 256, 1024, 64, 1 << 16
+#: First shingles that a task sorts at a time and about as many in a part of all entries, rows of a slice of a batch, and words and sets that a task remembers.
 ENTRIES, SLICE, WORDS, SEEN = 1 << 20, 256, 150_000, 200_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -84,8 +84,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- Counts over all documents ---
 
 
-def common_buckets(texts: DataFrame, size: int) -> np.ndarray:
-    """A class for each bucket of shingles: 0, or higher the more documents hold its shingles beyond what chance gives.
+def common_buckets(texts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """A class for each bucket of shingles: 0, or higher the more documents hold its shingles beyond what chance gives; and the number of all shingles.
 
     Every task sends its counts in compressed blocks; blocks are summed over a thousand tasks at a time, then over those.
     """
@@ -126,7 +126,7 @@ def common_buckets(texts: DataFrame, size: int) -> np.ndarray:
         counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     counts = counts.ravel()
     over = counts - counts.mean()
-    return np.where(over <= 6 * np.sqrt(counts.mean()) + 4, 0, 1 + np.floor(np.log2(np.maximum(over, 1)))).astype(np.uint8)
+    return np.where(over <= 6 * np.sqrt(counts.mean()) + 4, 0, 1 + np.floor(np.log2(np.maximum(over, 1)))).astype(np.uint8), int(counts.sum())
 
 
 # --- Shards: stars of sets that share a first shingle ---
@@ -522,9 +522,10 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     own_row = F.col(row).cast("long") if row else F.lit(None).cast("long")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), own_row.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.select("*", F.xxhash64("doc_id", "text").alias("th"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, min(24, (4 * parts - 1).bit_length()))
-    found = scratch.keep(first_shingles(texts, common_buckets(texts, size), size, percent, bits), "found")
+    classes, n_shingles = common_buckets(texts, size)
+    # A set has about a quarter of its shingles as entries, so a part has ENTRIES of them whatever the corpus.
+    bits = max(6, min(24, (n_shingles // (4 * ENTRIES)).bit_length()))
+    found = scratch.keep(first_shingles(texts, classes, size, percent, bits), "found")
 
     documents = found.where("kind = 0").select("row", "doc_id", "n", "ref", "hi", "lo", "th")
     sets = documents.where("ref is not null").groupBy("ref", "hi", "lo").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("th").alias("th"))
