@@ -21,15 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.scratch import Scratch
 
 #: Buckets of the shingle counts. With 5e12 shingles in all, one that 15,000 documents hold still stands out of its bucket.
 BUCKETS = 1 << 20
-#: Coordinates of the point of a set of up to SMALL shingles, members of a leaf, and shingles of a block of a shard's members.
-GROUPS, SMALL, LEAF, UNIT = 256, 1024, 64, 1 << 16
+#: Coordinates of the point of a set of up to SMALL shingles, and members of a leaf.
+GROUPS, SMALL, LEAF = 256, 1024, 64
+#: Points, and shingles of sets, in a block of a shard's members; a task holds two blocks at most.
+POINTS, UNIT = 4096, 1 << 20
 #: First shingles that a task sorts at a time and about as many in a part of all entries, rows of a slice of a batch, and words and sets that a task remembers.
 ENTRIES, SLICE, WORDS, SEEN = 1 << 20, 256, 150_000, 200_000
 
@@ -356,9 +358,8 @@ def own_block(ref: int, blocks: int) -> int:
     return (ref * 0x9E3779B97F4A7C15 >> 24 & 0xFFFFF) % blocks
 
 
-def units_of(ref: int, blocks: int) -> list[int]:
-    """The units of a shard of so many blocks that a member is in: each pair of blocks with its own."""
-    own = own_block(ref, blocks)
+def units_of(own: int, blocks: int) -> list[int]:
+    """The units that a block is in, of a shard of so many: each pair of blocks with it."""
     return [(min(own, k) << 20) | max(own, k) for k in range(blocks)]
 
 
@@ -387,7 +388,7 @@ def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
 
 
 def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ref, hi, lo, places, hits, text) of the wanted sets, from one document each. Buckets of hashes, at most BUCKETS, skip most other texts before the shuffle."""
+    """(ref, hi, lo, shards, into, text) of the wanted sets, from one document each. Buckets of hashes, at most BUCKETS, skip most other texts before the shuffle."""
     bucket = F.pmod(F.col("th"), F.lit(BUCKETS)).cast("int").alias("bucket")
     near = texts.select("th", "text", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
     # A merge join leaves rows in the order of th, so that dropping repeated rows neither shuffles nor sorts.
@@ -395,20 +396,20 @@ def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _dealt(fetched: DataFrame, size: int, sets: bool) -> DataFrame:
-    """Rows (shard, unit, ref, block, n, content, places), dealt and sorted by shard and unit; content is the set, or its point."""
+    """Rows (shard, unit, ref, block, n, content, places), dealt and sorted by shard and unit; content is the set, or its point, places its shards."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kinds = _WordHashes(), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in slices(batches):
             out, c = [], {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
-            for ref, key, places, hits, text in zip(c["ref"], zip(c["hi"], c["lo"], strict=True), c["places"], c["hits"], c["text"], strict=True):
+            for ref, key, shards, into, text in zip(c["ref"], zip(c["hi"], c["lo"], strict=True), c["shards"], c["into"], c["text"], strict=True):
                 found = shingles(text, size, hashes)
                 if set_key(found) != key:  # a text of the same 64-bit hash as the wanted one
                     continue
-                content, packed = found.tobytes() if sets else pack_point(group_counts(found)), np.sort([p["shard"] for p in places]).astype(np.int64).tobytes()
-                blocks = {p["shard"]: p["blocks"] for p in places}
-                for shard, unit in [(h["shard"], h["unit"]) for h in hits] if sets else [(s, u) for s, b in blocks.items() for u in units_of(ref, b)]:
-                    out.append((shard, unit, ref, own_block(ref, blocks[shard]), len(found), content, packed))
+                content, places = found.tobytes() if sets else pack_point(group_counts(found)), np.sort(shards).astype(np.int64).tobytes()
+                for shard, blocks in ((x["shard"], x["blocks"]) for x in into):
+                    own = own_block(ref, blocks)
+                    out += [(shard, unit, ref, own, len(found), content, places) for unit in units_of(own, blocks)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "unit", "ref", "block", "n", "content", "places"])
 
@@ -422,7 +423,7 @@ def _unit(rows: pa.Table, a: int, b: int, points: list[np.ndarray], percent: int
 
 
 def admitted_members(dealt: DataFrame, percent: int) -> DataFrame:
-    """(shard, unit, ref) of the members of dealt points for whom the trees list a partner."""
+    """(shard, ref, n) of the members of dealt points for whom the trees list a partner."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_units(batches):
@@ -434,9 +435,9 @@ def admitted_members(dealt: DataFrame, percent: int) -> DataFrame:
                 for i, j, admitted in _unit(rows, a, b, [unpack_point(x) for x in content.slice(a, b - a).to_pylist()], percent).pairs():
                     keep[a + i[admitted.any(axis=1)]] = True
                     keep[a + j[admitted.any(axis=0)]] = True
-            yield from rows.select(["shard", "unit", "ref"]).filter(pa.array(keep)).to_batches()
+            yield from rows.select(["shard", "ref", "n"]).filter(pa.array(keep)).to_batches()
 
-    return dealt.mapInArrow(search, "shard long, unit long, ref long")
+    return dealt.mapInArrow(search, "shard long, ref long, n int").distinct()
 
 
 def verified(dealt: DataFrame, percent: int) -> DataFrame:
@@ -533,17 +534,21 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     refs = scratch.keep(sets.select("ref", "hi", "lo", "n").join(classes, ["hi", "lo"]), "refs")
 
     members = scratch.keep(shard_members(found, refs), "members")
-    shape = members.groupBy("shard").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("ref")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(1))).alias("y"))
-    first = shape.groupBy("c", "x", "y").agg(F.min("shard").alias("shard"), F.max("weight").alias("weight"))
-    blocks = first.select("shard", F.ceil(F.col("weight") / UNIT).cast("int").alias("blocks"))
-    # A set is in as many shards at most as it has first shingles.
-    places = members.join(blocks, "shard").groupBy("ref").agg(F.collect_list(F.struct("shard", "blocks")).alias("places"))
-    wanted = scratch.keep(places.join(refs.where("ref = id").select("ref", "hi", "lo", "th"), "ref"), "wanted")
-
-    nothing = F.lit(None).cast("array<struct<shard:long,unit:long>>").alias("hits")
-    hits = scratch.keep(admitted_members(_dealt(_fetch(texts, wanted.select("*", nothing)), size, False), percent), "hits")
-    per_ref = hits.groupBy("ref").agg(F.collect_list(F.struct("shard", "unit")).alias("hits"))
-    links = scratch.keep(verified(_dealt(_fetch(texts, wanted.join(per_ref, "ref")), size, True), percent), "links")
+    shape = members.groupBy("shard").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("ref")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(1))).alias("y"))
+    first = shape.groupBy("c", "x", "y").agg(F.min("shard").alias("shard"))
+
+    def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+        """(ref, into) from (shard, ref, n): a set's shards, as many at most as it has first shingles, with their numbers of blocks."""
+        sized = members.groupBy("shard").agg(F.ceil(blocks).cast("int").alias("blocks"))
+        return members.join(sized, "shard").groupBy("ref").agg(F.collect_list(F.struct("shard", "blocks")).alias("into"))
+
+    places = in_blocks(members.join(first.select("shard"), "shard", "left_semi"), F.count("*") / POINTS)
+    keys = refs.where("ref = id").select("ref", "hi", "lo", "th")
+    wanted = scratch.keep(places.withColumn("shards", F.col("into.shard")).join(keys, "ref"), "wanted")
+
+    hits = scratch.keep(admitted_members(_dealt(_fetch(texts, wanted), size, False), percent), "hits")
+    again = wanted.drop("into").join(in_blocks(hits, F.sum("n") / UNIT), "ref")
+    links = scratch.keep(verified(_dealt(_fetch(texts, again), size, True), percent), "links")
 
     labels = components(links.where("ref <> least").select(F.col("ref").alias("a"), F.col("least").alias("b")), scratch)
     counted = links.groupBy("ref").agg(F.sum("links").alias("n_links"))

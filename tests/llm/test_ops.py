@@ -274,6 +274,7 @@ def near_rows(seed=4):
 @pytest.mark.parametrize("unit", [4096, 16])
 def test_near_duplicates(spark, monkeypatch, unit):
     monkeypatch.setattr(ngram_jaccard, "UNIT", unit)
+    monkeypatch.setattr(ngram_jaccard, "POINTS", unit)
     rows = near_rows()
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n", "key", "row", "token", "comp", "component_id")}).repartition(5)
     got = Counter(map(tuple, ngram_jaccard.near_duplicates(frame).collect()))
@@ -284,6 +285,7 @@ def test_near_duplicates(spark, monkeypatch, unit):
 @pytest.mark.parametrize("unit", [4096, 16])
 def test_every_link_is_counted(spark, monkeypatch, unit):
     monkeypatch.setattr(ngram_jaccard, "UNIT", unit)
+    monkeypatch.setattr(ngram_jaccard, "POINTS", unit)
     rows = [(i, t or "") for i, t in near_rows()]
     sets = []
     for _, t in rows:
