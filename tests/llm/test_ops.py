@@ -89,6 +89,43 @@ def test_bpe_codec(docs, sizes):
     assert bpe_codec.decode(ids.drop("decoded")).first().decoded.decode() == dict(TEXTS)[7]
 
 
+BLANKS = [" ", "\n", "\u00a0", "\t", "\u3000", "\x1c", "\r"]
+
+
+def test_pieces_encode_alone_as_in_the_text_at_every_cut():
+    model = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    chunk, overlap = bpe_codec.CHUNK, bpe_codec.OVERLAP
+    runs = [a + b for a in BLANKS for b in BLANKS] + [a + b + c for a in BLANKS[:4] for b in BLANKS[:4] for c in BLANKS]
+    for shift in (0, 1, 2):
+        for run in runs:
+            for after in ("next text", "'s it", "12 x", "!? y"):
+                text = ("some words 12, it's " * 300)[: chunk - len(run) + shift - 1] + "a" + run + after + " and more words" * 40
+                pieces = bpe_codec.stitch(bpe_codec.split(text, chunk, overlap), chunk, overlap, public_tokenizers.PATTERN)
+                assert "".join(pieces) == text and [i for p in pieces for i in model.encode_ordinary(p)] == model.encode_ordinary(text)
+    rng = random.Random(5)
+    for _ in range(60):
+        text = "".join(rng.choice([*BLANKS, "a", "bc", "don't", "7", "345", "?", "…", "é", "日本", " x", "  y", "w" * 90]) for _ in range(900))
+        pieces = bpe_codec.stitch(bpe_codec.split(text, 200, 24), 200, 24, public_tokenizers.PATTERN)
+        assert "".join(pieces) == text and [i for p in pieces for i in model.encode_ordinary(p)] == model.encode_ordinary(text)
+
+
+def test_true_boundaries_carry_from_the_start_with_a_pattern_of_ones_own():
+    threes = r"\p{N}{1,3}|\p{L}+|\s+(?!\S)|\s+"
+    text = "1" * 40 + " " + "2" * 2000 + "x  y " + "3" * 501 + "z"
+    pieces = bpe_codec.stitch(bpe_codec.split(text, 100, 20), 100, 20, threes)
+    ends = {m.end() for m in bpe_codec.compiled(threes).finditer(text)}
+    at = [sum(map(len, pieces[: i + 1])) for i in range(len(pieces))]
+    assert "".join(pieces) == text and set(at) <= ends and len(pieces) > 1
+
+
+def test_long_texts_are_dealt_out_at_default_sizes(spark):
+    model = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = [("word, it's " * 9000)[: 4096 * 17 - 3] + " \u00a0" + "next", "ab" * 50_000, "日本語 テキスト " * 9000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 2
+    want = Counter((i, len(x := model.encode_ordinary(t)), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    assert Counter(map(tuple, bpe_codec.encode_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
 def test_chunks_that_never_agree_stay_one_piece():
     text = "ab" * 4000
     chunks = [text[i : i + 500 + 40] for i in range(0, len(text), 500)]
