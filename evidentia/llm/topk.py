@@ -1,17 +1,22 @@
 """Exact top-k by inner product: ball-tree branch and bound in every shard.
 
-Vectors are dealt to shards by a hash of their id, queries come in blocks; a task holds one shard and one block. First every
-query searches one shard (its home); the k-th score found there then goes with the query to all other shards, where
-nodes whose upper bound is below it are never opened. Scores are whole numbers, so no rounding can drop a tie.
+Centroids, fitted on a bounded sample, part the vectors into clusters, and clusters into shards of bounded size. A task
+builds one tree for a shard and streams its queries past it. Rounds go from the most promising shard outward: every query
+first searches one shard of its best cluster, then that cluster's others, then all clusters; the k-th score found so far goes with
+it, and neither shards nor nodes whose upper bound is below it are opened. Scores are whole numbers, so no rounding can drop a tie.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.llm.scratch import Scratch
+
 #: A score below every possible one.
 NOTHING = -(2**62)
 
@@ -61,9 +66,11 @@ class BallTree:
             if not len(active):
                 return
             if children:
-                sums = [float((queries[active] @ self.nodes[c][2] + lengths[active] * self.nodes[c][3]).sum()) for c in children]
-                for c in sorted(zip(sums, children, strict=True), reverse=True):
-                    visit(c[1], active)
+                # Every query goes to the child of its own higher bound first.
+                left, right = (queries[active] @ self.nodes[c][2] + lengths[active] * self.nodes[c][3] for c in children)
+                for c, own in ((0, left >= right), (1, left < right), (1, left >= right), (0, left < right)):
+                    if own.any():
+                        visit(children[c], active[own])
                 return
             for lo in range(a, b, 4096):  # a leaf of equal points may be large
                 self._merge(scores, ids, query_ids, queries, active, lo, min(b, lo + 4096), k)
@@ -88,49 +95,115 @@ class BallTree:
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, point array<double> of whole numbers: floor(256 * x), x as double. Null vectors, ids, or ones with null, NaN or infinite components are left out."""
+    """vec_id, point array<double> of whole numbers: floor(256 * x), x as double.
+
+    Left out are null vectors and ids, vectors with null, NaN or infinite components, and those whose points have a squared
+    length of 2^53 or more (a component beyond 370,000): their scores could not be exact.
+    """
     x = F.transform(F.col(embedding).cast("array<double>"), lambda v: F.floor(v * 256).cast("double"))
-    fit = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    return vectors.where(fit).select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("point"))
+    finite = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    short = F.aggregate(F.col(embedding).cast("array<double>"), F.lit(0.0), lambda acc, v: acc + (F.abs(v) * 256 + 1) * (F.abs(v) * 256 + 1)) < 2.0**53
+    return vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite & short).select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("point"))
+
+
+def fit_centroids(points: np.ndarray, clusters: int, seed: int = 3, steps: int = 8) -> np.ndarray:
+    """Centroids by k-means steps on a sample; at most as many as there are different points."""
+    points = np.unique(points, axis=0)
+    centers = points[np.random.default_rng(seed).permutation(len(points))[:clusters]]
+    for _ in range(steps):
+        near = (points @ centers.T * 2 - (centers**2).sum(axis=1)).argmax(axis=1)
+        centers = np.stack([points[near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(len(centers))])
+    return centers
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_a_shard: int = 20_000, queries_a_block: int = 5_000) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows_a_shard: int = 20_000, queries_a_block: int = 50_000, sample_rows: int = 4_096, clusters: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k candidates of the highest inner product for each query, ties to the smaller vec_id.
 
-    Both inputs are rows of :func:`quantized`. A query id counts once and is no candidate of its own; a repeated row is a candidate each time.
-    With fewer candidates there are fewer rows, with none no row. Vectors of unequal dimensions never meet.
+    Both inputs are rows of :func:`quantized`. A query id counts once and is no candidate of its own; a repeated row is a
+    candidate each time. With fewer candidates there are fewer rows, with none no row. Vectors of unequal dimensions never meet.
+    ``sample_rows`` (those of the smallest id hashes) and ``clusters`` bound what the centroids are fitted on; every vector is
+    indexed and searched. A shard's vectors are copied once for each ``queries_a_block`` queries that reach it.
     """
-    n, n_queries = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // rows_a_shard)), max(1, -(-n_queries // queries_a_block))
-    dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    scratch = Scratch(vectors.sparkSession, "topk")
     dims = F.size("point").alias("dims")
-    stored = vectors.select("*", dims, dealt("vec_id", shards).alias("shard")).select("*", every(blocks).alias("block"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("point").alias("wanted"), dims, dealt("vec_id", blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("home")).dropDuplicates(["query_id"])
-    schema = "query_id long, vec_id long, score long"
-
-    def search(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(found) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        tree = BallTree(found["vec_id"].to_numpy(), np.stack(found["point"].to_numpy()))
-        query_ids = wanted["query_id"].to_numpy()
-        scores, ids = tree.search(query_ids, np.stack(wanted["wanted"].to_numpy()), wanted["floor"].to_numpy().astype(np.float64), k)
-        there = scores > NOTHING
-        return pd.DataFrame({"query_id": np.repeat(query_ids, k).reshape(scores.shape)[there], "vec_id": ids[there], "score": scores[there].astype(np.int64)})
-
-    def searched(wanted: DataFrame) -> DataFrame:
-        keys = ("shard", "block", "dims")
-        return stored.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(search, schema)
-
-    at_home = searched(asked.select("*", F.col("home").alias("shard"), F.lit(NOTHING).alias("floor")))
-    if shards == 1:
-        found = at_home
-    else:
-        from evidentia.llm.scratch import Scratch
-
-        at_home = Scratch(vectors.sparkSession, "topk").keep(at_home, "home")
-        kth = at_home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(NOTHING).alias("floor"))
-        away = asked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NOTHING))).select("*", every(shards).alias("shard")).where("shard <> home")
-        found = at_home.unionByName(searched(away))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    sample = vectors.select("vec_id", "point", dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    centers: dict[int, np.ndarray] = {}  # by dimensions, in all ``sample_rows`` vectors at most
+    for d in {r["dims"] for r in sample}:
+        own = [r["point"] for r in sample if r["dims"] == d]
+        centers[d] = fit_centroids(np.array(own, np.float64).reshape(len(own), d), clusters)
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for d, part in rows.groupby("dims"):
+                points = np.stack(part["point"].to_numpy()).reshape(len(part), d)
+                centers = shared.value.get(d, np.zeros((1, d)))
+                near = (points @ centers.T * 2 - (centers**2).sum(axis=1)).argmax(axis=1)
+                yield part.assign(cluster=near.astype(np.int32), away=np.sqrt(((points - centers[near]) ** 2).sum(axis=1)))
+
+    stored = scratch.keep(vectors.select("vec_id", "point", dims).mapInPandas(assign, "vec_id long, point array<double>, dims int, cluster int, away double"), "stored")
+    # At most ``clusters`` rows for each number of dimensions.
+    balls = {(r["dims"], r["cluster"]): (r["radius"], max(1, -(-r["n"] // rows_a_shard))) for r in stored.groupBy("dims", "cluster").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("point").alias("wanted"), dims).dropDuplicates(["query_id"])
+
+    def route(step: int):
+        """The shards that a query still has to search in a round, as (cluster, salt): only those whose bound reaches its k-th score."""
+
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for d, part in rows.groupby("dims"):
+                    own = sorted(c for e, c in balls if e == d)
+                    if not own:
+                        continue
+                    points = np.stack(part["wanted"].to_numpy()).reshape(len(part), d)
+                    radius = np.array([balls[d, c][0] for c in own])
+                    bound = points @ shared.value.get(d, np.zeros((1, d)))[own].T + np.sqrt((points**2).sum(axis=1))[:, None] * radius
+                    bound += 1e-6 * (1 + np.abs(bound))
+                    best = bound.argmax(axis=1)
+                    out = []
+                    for i, (query, floor) in enumerate(zip(part["query_id"].tolist(), part["floor"].tolist(), strict=True)):
+                        for j in [best[i]] if step < 2 else np.flatnonzero(bound[i] >= floor):
+                            if step == 2 and j == best[i]:
+                                continue
+                            salts = balls[d, own[j]][1]
+                            home = query % salts
+                            out += [(i, own[j], s) for s in range(salts) if (s == home) == (step == 0) or step == 2]
+                    at = [x[0] for x in out]
+                    yield part.iloc[at].assign(cluster=np.array([x[1] for x in out], np.int32), salt=np.array([x[2] for x in out], np.int32))
+
+        return of
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, tree = None, [], None
+        for rows in batches:
+            for own, part in rows.groupby(["dims", "cluster", "salt", "block"], sort=False):
+                if own != key:
+                    key, held, tree = own, [], None
+                stored_rows, wanted = part[part["kind"] == 0], part[part["kind"] == 1]
+                if len(stored_rows):
+                    held.append((stored_rows["id"].to_numpy(), np.stack(stored_rows["point"].to_numpy())))
+                if not len(wanted) or not held:
+                    continue
+                tree = tree or BallTree(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                ids = wanted["id"].to_numpy()
+                scores, found = tree.search(ids, np.stack(wanted["point"].to_numpy()), wanted["floor"].to_numpy().astype(np.float64), k)
+                there = scores > NOTHING
+                yield pd.DataFrame({"query_id": np.repeat(ids, k).reshape(scores.shape)[there], "vec_id": found[there], "score": scores[there].astype(np.int64)})
+
+    salts = F.array(*[F.lit(balls[key][1]) for key in sorted(balls)]) if balls else F.array(F.lit(1))  # a literal for each cluster
+    ball = F.array_position(F.array(*[F.lit(f"{d}-{c}") for d, c in sorted(balls)]) if balls else F.array(F.lit("")), F.concat_ws("-", "dims", "cluster"))
+    salt = F.pmod(F.xxhash64("vec_id"), F.element_at(salts, ball.cast("int"))).cast("int").alias("salt")
+    columns = ("dims", "cluster", "salt", "block", "kind", "id", "point", "floor")
+    best, schema = None, "query_id long, vec_id long, score long"
+    for step in range(3):
+        floors = asked.withColumn("floor", F.lit(NOTHING)) if best is None else asked.join(best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(NOTHING).alias("floor")), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NOTHING)))
+        routed = scratch.keep(floors.mapInPandas(route(step), "query_id long, wanted array<double>, dims int, floor long, cluster int, salt int"), f"routed-{step}")
+        reached = routed.groupBy("dims", "cluster", "salt").agg(F.ceil(F.count("*") / queries_a_block).cast("int").alias("blocks"))
+        wanted = routed.join(reached, ["dims", "cluster", "salt"]).select("dims", "cluster", "salt", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("wanted").alias("point"), "floor")
+        held = stored.select("dims", "cluster", salt, F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "point", F.lit(0).cast("long").alias("floor")).join(reached, ["dims", "cluster", "salt"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = held.select(*columns).unionByName(wanted.select(*columns)).repartition("dims", "cluster", "salt", "block").sortWithinPartitions("dims", "cluster", "salt", "block", "kind")
+        found = dealt.mapInPandas(search, schema)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
+        ranked = (found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)).select("*", rank).where(F.col("rank") <= k)
+        best = scratch.keep(ranked, f"best-{step}")
+    return scratch.last(best.select("query_id", "rank", "vec_id", "score"), "top")

@@ -205,6 +205,30 @@ def test_exact_top_k(spark):
     assert topk.top_k(lone, lone).count() == 0
 
 
+def test_clusters_and_shards_are_skipped_and_nothing_is_lost(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(6, 5)) * 20
+    points = np.round(np.concatenate([c + rng.normal(size=(60, 5)) * 0.2 for c in centers]), 2)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(1000 + i, [1.0, 2.0]) for i in range(4)] + [(2000, [1e30] * 5), (2001, []), (2002, [])]
+    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    kept, keep = {}, topk.Scratch.keep
+    monkeypatch.setattr(topk.Scratch, "keep", lambda self, rows, name: kept.setdefault(name, keep(self, rows, name).cache()))
+    monkeypatch.setattr(topk.Scratch, "last", lambda self, rows, name: rows)
+    queries = vectors.where("vec_id % 50 = 0 or vec_id = 2001")
+    got = defaultdict(list)
+    for r in topk.top_k(vectors, queries, 3, rows_a_shard=25, clusters=6).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    stored = [(i, np.floor(256 * np.asarray(p, float))) for i, p in rows if i != 2000]
+    for q, point in stored:
+        if q % 50 == 0 or q == 2001:
+            scores = sorted((-int(point @ p), i) for i, p in stored if i != q and len(p) == len(point))[:3]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    shards = kept["stored"].where("dims = 5").select("cluster").distinct().count()
+    searched = kept["routed-2"].where("dims = 5").count()
+    assert shards == 6 and searched < 0.5 * 5 * kept["routed-0"].where("dims = 5").count()
+    assert kept["routed-1"].count() > 0 and 2000 not in {r.vec_id for r in kept["stored"].collect()}
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\/s>", "<<SYS>>", "<<<SYS>><</s>", "[TURN AA]x[/TURN]", "\\", "[\\\\INST]", "", None, "plain", "a\nb", "[/INST", "<"]
     roles = ["user", "assistant", "system", "tool]\n", None, ""]
