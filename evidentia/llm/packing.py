@@ -3,8 +3,8 @@
 A document's whole windows are sequences of their own; what remains has a length below the window. The histogram of these
 lengths (as many counts as the window has tokens, whatever the corpus) goes to the driver, which enumerates shallow
 combinations of lengths that fill a window exactly, solves for non-negative repeat counts against the histogram, and
-rounds them down. Ranks within a length deal the remainders to the combinations' slots. The residual remainders are laid
-end to end and cut at window ends; the last, partial window is cut into powers of two, which need no padding.
+rounds them down; fillings of what is left are packed greedily. Ranks within a length deal the remainders to the
+combinations' slots. The residual remainders are laid end to end and cut at window ends; the last, partial window is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -52,8 +52,11 @@ def plan(histogram: np.ndarray, window: int) -> tuple[list[tuple], int, np.ndarr
             columns[length, j] = times
     counts = np.floor(solve_counts(columns, histogram.astype(float)) + 1e-9).astype(np.int64)
     left, used, slots, sequences = histogram.astype(np.int64).copy(), np.zeros(window, np.int64), [], 0
-    for j in np.argsort(-counts, kind="stable"):
-        n = min(int(counts[j]), *(int(left[length]) // times for length, times in found[j].items()))
+    solved = [(int(j), int(counts[j])) for j in np.argsort(-counts, kind="stable")]
+    # What rounding down has left is packed greedily: fillings with the longest piece first, as often as lengths are left for them.
+    greedy = sorted(range(len(found)), key=lambda j: (-max(found[j]), sum(found[j].values())))
+    for j, most in solved + [(j, int(histogram.sum())) for j in greedy]:
+        n = min(most, *(int(left[length]) // times for length, times in found[j].items()))
         if n <= 0:
             continue
         offset = 0
@@ -168,11 +171,11 @@ def pack(
     )
 
     # Whole windows: numbered within buckets, after the sequences above.
-    per_bucket = {r["bucket"]: r["n"] for r in dealt.groupBy("bucket").agg(F.sum(F.size("whole_crcs")).alias("n")).collect()}
-    first = sequences + full // window + len(ends) + np.concatenate([[0], np.cumsum([per_bucket.get(b, 0) for b in range(buckets)])])[:buckets]
+    per_bucket = dealt.groupBy("bucket").agg(F.sum(F.size("whole_crcs")).alias("n"))  # a row for each ``rows_a_bucket`` rests
+    first = per_bucket.select("bucket", (F.lit(sequences + full // window + len(ends)) + F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("first"))
     running = F.sum(F.size("whole_crcs")).over(Window.partitionBy("bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) - F.size("whole_crcs")
     whole = (
-        dealt.where("size(whole_crcs) > 0").select("doc_id", "doc_tokens", "whole_crcs", (F.get(longs(first), F.col("bucket").cast("int")) + running).alias("first"))
+        dealt.where("size(whole_crcs) > 0").withColumn("running", running).join(first, "bucket").select("doc_id", "doc_tokens", "whole_crcs", (F.col("first") + F.col("running")).alias("first"))
         .select("doc_id", "doc_tokens", "first", F.posexplode("whole_crcs").alias("k", "ids_crc32"))
         .select("doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     )
