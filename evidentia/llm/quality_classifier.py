@@ -130,7 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, text: s
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     sample = usable.select("doc_id", F.col("quality").cast("double").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # The sample's size is bounded by the parameter, so it may be broadcast.
-    rows = with_features(docs.select("doc_id", text).join(F.broadcast(sample), "doc_id"), text).select("doc_id", "quality", *FEATURES).toPandas().sort_values(["doc_id", "quality"])
+    found = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id")
+    # A doc_id may have many rows: the sample is bounded again, by rows.
+    order = F.xxhash64("doc_id", text, "quality").alias("_order")
+    rows = with_features(found.select("*", order), text).select("doc_id", "quality", "_order", *FEATURES).orderBy("_order").limit(sample_rows).toPandas().sort_values(["doc_id", "quality", "_order"])
     return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["quality"].to_numpy(np.float64))
 
 
