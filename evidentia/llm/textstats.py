@@ -30,21 +30,50 @@ def with_words(docs: DataFrame, text: str = "text", into: str = "_w") -> DataFra
     return docs.withColumn(into, words(F.coalesce(F.col(text), F.lit(""))))
 
 
-def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words; ``_w`` stays for further rules."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    at = lambda i: F.get("_w", i)
-    windows = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
-    docs = with_words(docs, text).withColumn("_h", F.coalesce(windows, F.array().cast("array<long>"))).withColumn("_l", lines_with_words(content))
-    docs = docs.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda e, j: F.coalesce(F.get("_s", j)["h"] == e["h"], F.lit(False))
-    twice = F.filter("_s", lambda e, j: ((j > 0) & same(e, j - 1)) | same(e, j + 1))
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def n_symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(SYMBOLS)).cast("long")
+
+
+def word_chars(w: Column) -> Column:
+    return F.length(F.array_join(w, "")).cast("long")
+
+
+def window_hashes(w: Column) -> Column:
+    at = lambda i: F.get(w, i)
+    return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<long>"))
+
+
+def covered_words(s: Column) -> Column:
+    """Words in windows whose hash is there twice or more, from sorted (h, i): the windows' hashes and places."""
+    same = lambda e, j: F.coalesce(F.get(s, j)["h"] == e["h"], F.lit(False))
+    twice = F.filter(s, lambda e, j: ((j > 0) & same(e, j - 1)) | same(e, j + 1))
     places = F.array_sort(F.transform(twice, lambda e: e["i"]))
     zero = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     step = lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last"))
-    covered = F.aggregate(places, zero, step, lambda acc: acc["n"])
+    return F.aggregate(places, zero, step, lambda acc: acc["n"])
+
+
+def sorted_windows(h: Column) -> Column:
+    """(h, i) in order where a window is there twice, else null."""
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+
+
+def n_repeat_words(w: Column) -> Column:
+    return let(window_hashes(w), lambda h: let(sorted_windows(h), lambda s: F.coalesce(covered_words(s), F.lit(0)))).cast("long")
+
+
+def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words; ``_w`` stays for further rules."""
+    content = F.coalesce(F.col(text), F.lit(""))
+    docs = with_words(docs, text).withColumn("_h", window_hashes(F.col("_w"))).withColumn("_l", lines_with_words(content))
+    docs = docs.withColumn("_s", sorted_windows(F.col("_h")))
     return fixed(
-        docs, ["_h", "_s", "_l"], F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        docs, ["_h", "_s", "_l"], F.size("_w").cast("long").alias("n_words"), word_chars(F.col("_w")).alias("word_chars"),
+        n_symbols(content).alias("n_symbols"), F.size("_l").cast("long").alias("n_lines"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.coalesce(covered_words(F.col("_s")), F.lit(0)).cast("long").alias("n_repeat_words"),
     )

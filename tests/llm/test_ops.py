@@ -187,6 +187,17 @@ def test_rules(docs, spark):
     assert quality_rules.apply_rules(docs.limit(0)).count() == 0
 
 
+def test_rules_without_statistics_keep_the_same(spark, docs):
+    some = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text")).union(spark.createDataFrame([(-1, "A" * 3_000_000), (-2, "many words " * 200_000)], "doc_id long, text string"))
+    full, lean = (Counter((r.doc_id, r.kept) for r in quality_rules.apply_rules(some, statistics=s).collect()) for s in (True, False))
+    assert full == lean and 0 < sum(n for (_, kept), n in full.items() if kept) < sum(full.values())
+    assert [r.name for r in quality_rules.order_rules(some)] == [r.name for r in quality_rules.order_rules(some)]
+    first = lambda rules: quality_rules.order_rules(spark.createDataFrame([(1, "WORD # " * 60)] * 3, "doc_id long, text string"), rules)[0].name
+    dear = quality_rules.Rule("dear", lambda t, w: F.length(t) > 0, lambda t, w: F.length(t) * 1000)
+    assert first((dear, quality_rules.RULES[0])) == "symbols" and first((quality_rules.RULES[2], dear)) == "dear"
+    assert quality_rules.apply_rules(docs, statistics=False).columns[-1] == "kept" and quality_rules.apply_rules(docs.limit(0), statistics=False).count() == 0
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(3)
     points = np.round(rng.normal(size=(700, 8)), 1)
