@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Directories that hold no sources of one's own, and what a relative import may stand for.
-EXCLUDED = (".git", ".next", "build", "coverage", "dist", "node_modules", "out", "target", "vendor")
+EXCLUDED = (".git", "node_modules", "target", "dist", "build", "coverage", ".next", ".turbo")
 SUFFIXES = ("", ".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts")
 
 
@@ -30,16 +30,16 @@ def is_test(path: Column) -> Column:
 
 
 def normalize(path: Column) -> Column:
-    """A path without ``.`` and ``..`` segments; null where it leaves its root, is absolute or names a drive."""
+    """A path without ``.`` and ``..`` segments; null where it leaves its root, is absolute, or holds a backslash or a drive."""
     step = lambda acc, s: F.when(acc.isNull() | (s == "") | (s == "."), acc).when((s == "..") & (F.size(acc) == 0), F.lit(None)).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
-    folded = F.aggregate(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), F.array().cast("array<string>"), step)
-    return F.when(~path.rlike(r"^([/\\]|[A-Za-z]:)"), F.array_join(folded, "/"))
+    folded = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(~path.rlike(r"^/|\\|^[A-Za-z]:"), F.array_join(folded, "/"))
 
 
 def resolve_relative(importer: Column, specifier: Column) -> Column:
-    """The normalized path that a ``./`` or ``../`` specifier names from the importing file's directory."""
+    """The normalized path that a ``./`` or ``../`` specifier names from the importing file's directory; null for one with a colon or a backslash."""
     folder = F.regexp_replace(importer, r"[^/]*$", "")
-    return F.when(specifier.rlike(r"^\.\.?(/|$)"), normalize(F.concat(folder, specifier)))
+    return F.when(specifier.rlike(r"^\.\.?(/|$)") & ~specifier.rlike(r"[:\\]"), normalize(F.concat(folder, specifier)))
 
 
 def candidates(path: Column) -> Column:

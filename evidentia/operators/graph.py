@@ -23,7 +23,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int, directed: bool = T
         frontier = cut(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # of written levels: none is written again
     return seen
 
 

@@ -63,9 +63,11 @@ class GitReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         at, step = partition.value
         mark = "%x01%H%x02%P%x02%ct%x02%s"
-        out = self._git("log", "--first-parent", "-m", "--name-status", "--no-renames", f"--skip={at}", f"--max-count={step}", f"--format={mark}", self.revision)
+        # -z: paths come as they are, each ended by NUL; without it git quotes those that aren't ASCII.
+        out = self._git("log", "-z", "--first-parent", "-m", "--name-status", "--no-renames", f"--skip={at}", f"--max-count={step}", f"--format={mark}", self.revision)
         for i, entry in enumerate(out.split("\x01")[1:]):
-            head, *changes = [line for line in entry.split("\n") if line]
-            sha, parents, when, summary = head.split("\x02", 3)
-            for status, path in (c.split("\t", 1) for c in changes) if changes else [(None, None)]:
+            head, *fields = entry.split("\0")
+            sha, parents, when, summary = head.rstrip("\n").split("\x02", 3)
+            fields = [f.lstrip("\n") if k % 2 == 0 else f for k, f in enumerate(f for f in fields if f.strip("\n"))]
+            for status, path in zip(fields[::2], fields[1::2], strict=True) if fields else [(None, None)]:
                 yield sha, parents.split(), summary, int(when), at + i, status, path

@@ -1,51 +1,71 @@
-"""Append-only parquet tables with one pointer: readers see a version only after all its tables are written."""
+"""Versions of parquet tables in folders of their own: a version appears with all its tables by one rename, or not at all."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class EvidenceStore:
-    """``<root>/<table>/version=N`` and ``<root>/CURRENT.json``, on any file system that Spark writes to.
+    """``<root>/version-N/<table>``, on any file system whose rename of a folder is atomic (HDFS, local; not object stores).
 
-    A failed commit leaves files that no pointer names; ``expected`` (the version that a writer has read) refuses a
-    commit on top of another writer's.
+    A writer fills a folder of its own and renames it to the version that follows the one it has read (``expected``). Of two
+    writers after the same version one finds the name taken and is refused; it has touched nothing of the other's. A
+    writer that dies leaves a folder that no reader looks at.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = lambda *parts: path("/".join((self.root, *parts)))
-        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = lambda *parts: hadoop.Path("/".join((self.root, *parts)))
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path().getFileSystem(conf)
+        self._files = hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
+        # No option: an existing target is an error.
+        self._no_option = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._path()):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path())]
+        return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
 
     def current(self) -> int | None:
-        if not self._fs.exists(self._path("CURRENT.json")):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/CURRENT.json").collect()))["version"]
+        return max(self.versions(), default=None)
 
-    def commit(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
-        """Writes all tables as the next version, then moves the pointer by a rename."""
-        now = self.current()
-        if now != expected:
-            raise ValueError(f"stale tip: expected version {expected}, found {now}")
-        version = (now or 0) + 1
-        for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
-        staged = self._path(f"CURRENT-{version}.json")
-        out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
+    def stage(self, tables: dict[str, DataFrame]) -> str:
+        """Writes all tables to a new folder and returns its name; no reader sees it yet."""
+        name = f"staged-{uuid.uuid4().hex}"
+        for table, rows in tables.items():
+            rows.write.parquet(f"{self.root}/{name}/{table}")
+        out = self._fs.create(self._path(name, "tables.json"), False)
+        out.write(bytearray(json.dumps(sorted(tables)).encode()))
         out.close()
+        return name
+
+    def publish(self, staged: str, expected: int | None) -> int:
+        """Makes a staged folder the version after ``expected``, unless there is one already."""
+        version = (expected or 0) + 1
         if self.current() != expected:
-            raise ValueError("stale tip: another writer moved the pointer")
-        self._fs.delete(self._path("CURRENT.json"), False)
-        if not self._fs.rename(staged, self._path("CURRENT.json")):
-            raise OSError("the pointer could not be moved")
+            raise ValueError(f"stale tip: expected version {expected}, found {self.current()}")
+        try:
+            self._files.rename(self._path(staged), self._path(f"version-{version}"), self._no_option)
+        except Exception as error:
+            if version in self.versions():
+                raise ValueError(f"stale tip: another writer has committed version {version}") from error
+            raise
         return version
 
+    def commit(self, tables: dict[str, DataFrame], expected: int | None = None) -> int:
+        """Writes all tables, then publishes them together as the version after ``expected``, the one that the writer has read."""
+        if self.current() != expected:
+            raise ValueError(f"stale tip: expected version {expected}, found {self.current()}")
+        return self.publish(self.stage(tables), expected)
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         version = version or self.current()
         if version is None:
             raise LookupError("nothing is committed")
-        return self.spark.read.parquet(f"{self.root}/{table}/version={version}")
+        return self.spark.read.parquet(f"{self.root}/version-{version}/{table}")

@@ -77,3 +77,30 @@ def test_commits(spark, tmp_path):
     spark.dataSource.register(GitCommits)
     rows = spark.read.format("git-commits").option("path", str(tmp_path)).option("partitions", 2).load().orderBy("position").collect()
     assert [(r.summary, r.status, r.path, len(r.parents)) for r in rows] == [(f"change {i}", "A", f"f{i}", int(i > 0)) for i in range(4, -1, -1)]
+
+
+def test_commits_with_paths_beyond_ascii(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for names in (["é.ts", "a b.ts"], ["日本\tx.ts"], []):
+        for n in names:
+            (tmp_path / n).write_text("x")
+        git("add", "-A")
+        git("commit", "--allow-empty", "-qm", f"with {len(names)}")
+    (tmp_path / "é.ts").write_text("y")
+    git("commit", "-aqm", "again")
+    spark.dataSource.register(GitCommits)
+    rows = spark.read.format("git-commits").option("path", str(tmp_path)).option("partitions", 1).load().collect()
+    assert {(r.summary, r.status, r.path) for r in rows} == {("with 2", "A", "a b.ts"), ("with 2", "A", "é.ts"), ("with 1", "A", "日本\tx.ts"), ("with 0", None, None), ("again", "M", "é.ts")}
+
+
+def test_paths(spark):
+    from pyspark.sql import functions as F
+
+    from evidentia.functions.paths import is_excluded, normalize, resolve_relative
+
+    rows = [("src/a.ts", "./b", "src/b"), ("src/a.ts", "../b/./c", "b/c"), ("a.ts", "../b", None), ("src/a.ts", "./c:d", None), ("src/a.ts", ".\\b", None), ("src/a.ts", "./x\\y", None), ("src/a.ts", "b", None)]
+    frame = spark.createDataFrame(rows, "importer string, specifier string, want string")
+    assert all(r.got == r.want for r in frame.withColumn("got", resolve_relative(F.col("importer"), F.col("specifier"))).collect())
+    one = spark.range(1).select(normalize(F.lit("a//b/../c")).alias("a"), normalize(F.lit("/a")).alias("b"), normalize(F.lit("a\\b")).alias("c"), *[is_excluded(F.lit(p)).alias(f"x{i}") for i, p in enumerate(["out/a.ts", "vendor/a.ts", ".turbo/a.ts", "a/dist/b.ts", "dist.ts"])]).first()
+    assert tuple(one) == ("a/c", None, None, False, False, True, True, False)

@@ -20,6 +20,31 @@ def test_store_moves_its_pointer_last(spark, tmp_path):
     assert store.read("nodes").count() == 5 and store.read("nodes", 1).count() == 3
 
 
+def test_of_two_writers_one_is_refused_and_touches_nothing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    one, two = EvidenceStore(spark, root), EvidenceStore(spark, root)
+    one.commit({"nodes": spark.range(3)})
+    first, second = one.stage({"nodes": spark.range(9)}), two.stage({"nodes": spark.range(55)})
+    assert one.current() == two.current() == 1
+    assert one.publish(first, 1) == 2
+    with pytest.raises(ValueError):
+        two.publish(second, 1)
+    two.current = lambda: 1  # both have looked before either has renamed
+    with pytest.raises(ValueError):
+        two.publish(second, 1)
+    assert one.read("nodes").count() == 9 and one.versions() == [1, 2]
+
+
+def test_a_writer_that_dies_before_its_rename_leaves_the_store_as_it_was(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store = EvidenceStore(spark, root)
+    store.commit({"nodes": spark.range(3), "edges": spark.range(2)})
+    store.stage({"nodes": spark.range(7)})
+    again = EvidenceStore(spark, root)
+    assert again.current() == 1 and again.read("nodes").count() == 3
+    assert again.commit({"nodes": spark.range(4)}, expected=1) == 2 and again.read("nodes").count() == 4 and again.read("edges", 1).count() == 2
+
+
 def test_stream_states(spark, tmp_path):
     machine = Machine("none", {("none", "P"): "pending", ("pending", "C"): "active"})
     spark.createDataFrame([(1, 2, "C"), (1, 1, "P"), (2, 1, "C")], "k int, t int, e string").coalesce(1).write.parquet(str(tmp_path / "in"))
