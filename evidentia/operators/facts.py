@@ -1,7 +1,8 @@
 """Facts of TypeScript sources by column expressions: imports, exports, declarations, calls and heritage.
 
-The expressions read comment-free text line by line; what they don't cover (computed names, template literals that hold code,
-decorators) yields no fact rather than a guess.
+Literals and comments are told apart in one pass, so that neither hides in the other. Specifiers are read from text without
+comments; calls, declarations and heads from text whose literals are emptied, too. What the expressions don't cover (computed
+names, code inside templates, decorators) yields no fact rather than a guess.
 """
 
 from __future__ import annotations
@@ -15,17 +16,28 @@ _DECLARATION = rf"(?m)^(export\s+)?(default\s+)?(?:declare\s+)?(abstract\s+)?(?:
 _CALL = rf"(?<![\w$.])(new\s+)?({_NAME}(?:\.{_NAME})?)\s*\("
 _HEADER = rf"(?m)^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface)\s+({_NAME})\b([^{{]*)"
 _BINDING = rf"(type\s+)?({_NAME})(?:\s+as\s+({_NAME}))?"
+# Possessive: a long literal takes no stack.
+_LITERAL = r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`)"""
+_CLAUSE = r"(?m)^[ \t]*export\s+(type\s+)?\{([^}]*)\}(?!\s*from\b)"
+_DEFAULT = rf"(?m)^[ \t]*export\s+default\s+(?!(?:async\s+)?function\b|(?:abstract\s+)?class\b|interface\b)(?:({_NAME})\s*(?:;|$))?"
+_UNPACKED = r"(?m)^export\s+(?:const|let|var)\s*[{\[]([^}\]=]*(?:=[^}\],]*[^}\]=]*)*)[}\]]\s*="
+_METHOD = rf"(?m)^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*[*#]?({_NAME})\s*(?:<[^<>()]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^{{}};=\n]+)?\{{"
 #: Words before a bracket that are no calls.
 _KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "constructor", "super", "await", "import")
 
 
 def code(text: Column) -> Column:
-    """Text without block and line comments."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"(?m)(^|[\s;{}(,])//[^\n]*", "$1")
+    """Text without block and line comments; literals stay whole, whatever they hold."""
+    return F.regexp_replace(text, rf"(?s){_LITERAL}|//[^\n]*|/\*.*?\*/", "$1")
 
 
-def _matches(files: DataFrame, pattern: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all(code(F.col("text")), F.lit(pattern), F.lit(0)))
+def bare(text: Column) -> Column:
+    """Text without comments whose literals are empty."""
+    return F.regexp_replace(code(text), rf"(?s){_LITERAL}", '""')
+
+
+def _matches(files: DataFrame, pattern: str, literals: bool = False) -> DataFrame:
+    found = F.explode(F.regexp_extract_all((code if literals else bare)(F.col("text")), F.lit(pattern), F.lit(0)))
     return files.select("path", found.alias("m"))
 
 
@@ -35,8 +47,8 @@ def _group(pattern: str, n: int) -> Column:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """path, specifier, kind (default, namespace, named, side-effect, re-export, export-all), local_name, imported_name, type_only; one row a binding."""
-    rows = _matches(files, _IMPORT).select("path", _group(_IMPORT, 1).alias("verb"), F.coalesce(_group(_IMPORT, 2), F.lit("")).alias("clause"), _group(_IMPORT, 4).alias("specifier"))
+    """path, specifier, kind (default, namespace, named, side-effect, re-export, namespace-export, export-all), local_name, imported_name, type_only; one row a binding."""
+    rows = _matches(files, _IMPORT, literals=True).select("path", _group(_IMPORT, 1).alias("verb"), F.coalesce(_group(_IMPORT, 2), F.lit("")).alias("clause"), _group(_IMPORT, 4).alias("specifier"))
     rows = rows.withColumn("type_only", F.col("clause").rlike(r"^type\b(?!\s*(,|from|$))")).withColumn("clause", F.regexp_replace("clause", r"^type\s+(?=[\w${*])", ""))
     # An export without a source clause that ends in a string isn't a re-export.
     rows = rows.where("verb = 'import' or clause rlike '^([*]|[{])'").withColumn("names", F.regexp_extract("clause", r"\{([^}]*)\}", 1))
@@ -55,7 +67,7 @@ def imports(files: DataFrame) -> DataFrame:
     space, default = F.nullif(F.regexp_extract(outside, rf"\*\s+as\s+({_NAME})", 1), F.lit("")), F.nullif(F.regexp_extract(outside, rf"^\s*({_NAME})", 1), F.lit(""))
     parts = F.array(
         F.when((F.col("verb") == "import") & default.isNotNull(), one("default", default, F.lit("default"))),
-        F.when(space.isNotNull(), one("namespace", space, F.lit("*"))), F.when((F.col("verb") == "import") & (F.col("clause") == ""), one("side-effect", nothing, nothing)),
+        F.when(space.isNotNull() & (F.col("verb") == "import"), one("namespace", space, F.lit("*"))), F.when(space.isNotNull() & (F.col("verb") == "export"), one("namespace-export", space, F.lit("*"))), F.when((F.col("verb") == "import") & (F.col("clause") == ""), one("side-effect", nothing, nothing)),
         F.when((F.col("verb") == "export") & outside.rlike(r"^\s*\*\s*$"), one("export-all", F.lit("*"), F.lit("*"))),
     )
     return rows.select("path", "specifier", F.explode(F.concat(F.filter(parts, lambda p: p.isNotNull()), named)).alias("b")).select("path", "specifier", "b.*").distinct()
@@ -70,12 +82,19 @@ def declarations(files: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def methods(files: DataFrame) -> DataFrame:
+    """path, name, heads: heads of methods with a body, and how many of the name a file has."""
+    rows = _matches(files, _METHOD).select("path", _group(_METHOD, 1).alias("name"))
+    return rows.where(~F.col("name").isin(*_KEYWORDS)).groupBy("path", "name").agg(F.count("*").alias("heads"))
+
+
 def calls(files: DataFrame) -> DataFrame:
     """path, receiver, callee, constructs, occurrence_count; a call through a longer chain than receiver.callee is left out."""
     target = _group(_CALL, 2)
     rows = _matches(files, _CALL).select("path", F.when(target.contains("."), F.substring_index(target, ".", 1)).alias("receiver"), F.substring_index(target, ".", -1).alias("callee"), _group(_CALL, 1).isNotNull().alias("constructs"))
-    # A declaration's own parameter list looks like a call of its name.
-    own = declarations(files).where("kind = 'function'").select("path", F.col("name").alias("callee"), F.lit(1).alias("declared"))
+    # The parameter lists of a declaration and of a method's head look like calls of their names.
+    heads = declarations(files).where("kind = 'function'").select("path", "name").unionByName(methods(files).select("path", "name", F.explode(F.sequence(F.lit(1), F.col("heads").cast("int")))).select("path", "name"))
+    own = heads.groupBy("path", F.col("name").alias("callee")).agg(F.count("*").alias("declared"))
     counted = rows.where(~F.col("callee").isin(*_KEYWORDS)).groupBy("path", "receiver", "callee", "constructs").agg(F.count("*").alias("n"))
     less = counted.join(own, ["path", "callee"], "left").withColumn("occurrence_count", F.col("n") - F.when(F.col("receiver").isNull() & ~F.col("constructs"), F.coalesce("declared", F.lit(0))).otherwise(0))
     return less.where("occurrence_count > 0").select("path", "receiver", "callee", "constructs", "occurrence_count")
@@ -91,7 +110,24 @@ def heritage(files: DataFrame) -> DataFrame:
 
 
 def exports(files: DataFrame) -> DataFrame:
-    """module, name, source_module (a specifier), source_name: local exports (no source), re-exports and ``*``, as export_closure reads them once sources are resolved."""
-    declared = declarations(files).where("exported").select(F.col("path").alias("module"), F.when(F.col("is_default"), "default").otherwise(F.col("name")).alias("name"), F.lit(None).cast("string").alias("source_module"), F.lit(None).cast("string").alias("source_name"))
-    again = imports(files).where("kind in ('re-export', 'export-all')").select(F.col("path").alias("module"), F.col("local_name").alias("name"), F.col("specifier").alias("source_module"), F.col("imported_name").alias("source_name"))
-    return declared.unionByName(again).distinct()
+    """module, name, source_module (a specifier), source_name: local exports (no source), re-exports and ``*``, as export_closure reads them once sources are resolved.
+
+    Local exports are declarations, the names of clauses, default expressions and unpacked names, with their local name as
+    source_name where that is another; ``* as ns`` exports ns.
+    """
+    nothing = F.lit(None).cast("string")
+    local = lambda rows: rows.select(F.col("path").alias("module"), "name", nothing.alias("source_module"), nothing.alias("source_name"))
+    declared = local(declarations(files).where("exported").select("path", F.when(F.col("is_default"), "default").otherwise(F.col("name")).alias("name")))
+    bindings = lambda names: F.filter(F.split(names, ","), lambda b: F.trim(b) != "")
+    listed = _matches(files, _CLAUSE).select("path", F.explode(bindings(F.regexp_extract("m", _CLAUSE, 2))).alias("b"))
+    renamed = lambda rows: rows.select(F.col("path").alias("module"), "name", nothing.alias("source_module"), F.when(F.col("own") != F.col("name"), F.col("own")).alias("source_name"))
+    own = F.regexp_extract("b", _BINDING, 2)
+    clauses = renamed(listed.select("path", own.alias("own"), F.coalesce(F.nullif(F.regexp_extract("b", _BINDING, 3), F.lit("")), own).alias("name")))
+    default = renamed(_matches(files, _DEFAULT).select("path", F.lit("default").alias("name"), _group(_DEFAULT, 1).alias("own")))
+    parts = _matches(files, _UNPACKED).select("path", F.explode(bindings(F.regexp_extract("m", _UNPACKED, 1))).alias("b"))
+    # a, a: b, a = 1, ...rest: the local name is the last one before a default value.
+    unpacked = local(parts.select("path", F.regexp_extract(F.regexp_replace("b", r"=.*$", ""), rf"({_NAME})\s*$", 1).alias("name")).where("name <> ''"))
+    again = imports(files).where("kind in ('re-export', 'export-all', 'namespace-export')").select(
+        F.col("path").alias("module"), F.col("local_name").alias("name"), F.col("specifier").alias("source_module"), F.col("imported_name").alias("source_name"),
+    )
+    return declared.unionByName(clauses).unionByName(default).unionByName(unpacked).unionByName(again).distinct()

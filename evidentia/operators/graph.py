@@ -30,13 +30,13 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int, directed: bool = T
 def export_closure(exports: DataFrame, max_hops: int = 32) -> DataFrame:
     """Resolves re-exports: (module, name, target_module, target_name, hops, status).
 
-    ``exports`` rows: module, name, source_module, source_name; a local export has no source; ``*`` as name and source_name
+    ``exports`` rows: module, name, source_module, source_name; a local export has no source module, and as source_name its local name where that is another; ``*`` as name and source_name
     forwards every name but ``default``. An explicit binding of a module beats ``*``. Outcomes: resolved, ambiguous
     (several targets), unresolved; a name still forwarded after ``max_hops`` is ``cycle-or-depth``.
     """
     named = exports.where("name <> '*'")
     stars = exports.where("name = '*'").select("module", "source_module")
-    local = cut(named.where("source_module is null").select("module", "name", F.col("module").alias("target_module"), F.col("name").alias("target_name"), F.lit(0).alias("hops")))
+    local = cut(named.where("source_module is null").select("module", "name", F.col("module").alias("target_module"), F.coalesce("source_name", "name").alias("target_name"), F.lit(0).alias("hops")))
     forwards = named.where("source_module is not null").select("module", F.col("name").alias("own"), "source_module", "source_name")
     explicit = named.select("module", "name").distinct()
     known, fresh = local, local

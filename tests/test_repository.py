@@ -51,6 +51,48 @@ def test_facts(spark, root):
     assert {(r.owner, r.relation, r.reference) for r in facts.heritage(files).collect()} == {("Main", "extends", "def"), ("Main", "implements", "T"), ("Main", "implements", "U")}
 
 
+def test_renamed_local_exports_lead_to_their_declaration(spark):
+    from evidentia.operators.graph import export_closure
+
+    rows = [("a", "h", None, "helper"), ("a", "k", None, None), ("b", "again", "a", "h"), ("b", "k", "a", "k")]
+    closed = export_closure(spark.createDataFrame(rows, "module string, name string, source_module string, source_name string")).collect()
+    assert {(r.module, r.name): (r.target_module, r.target_name) for r in closed} == {("a", "h"): ("a", "helper"), ("a", "k"): ("a", "k"), ("b", "again"): ("a", "helper"), ("b", "k"): ("a", "k")}
+
+
+def test_exports_and_calls_of_every_form(spark):
+    text = """import { z } from 'pkg//x'; // import { no } from './no'
+const helper = 1, url = "http://a/*b*/"; /* f('x') */
+export { helper as h, type T, other };
+export * as ns from './x';
+export { q as r } from './y';
+export default helper;
+export const { a, b: c, d = f(1), ...rest } = make();
+export const [e] = list();
+const s = "g() and 'h()'", t = `k()`;
+class K {
+  m(n: () => void) {
+    this.m(1); helper2(s);
+  }
+  static async go<T>(x: T): Promise<void> {
+    if (x) { m(2); }
+  }
+}
+"""
+    files = spark.createDataFrame([("src/k.ts", text), ("src/l.ts", "export default class {}\nexport default async function run() { run(); }\nexport default 5\n"), ("src/m.ts", "'" + "x" * 300_000 + "'; f();")], "path string, text string")
+    found = {(r.module, r.name, r.source_module, r.source_name) for r in facts.exports(files).collect()}
+    local = {n for m, n, source, _ in found if m == "src/k.ts" and source is None}
+    assert local == {"h", "T", "other", "default", "a", "c", "d", "rest", "e"}
+    assert {(n, own) for m, n, source, own in found if m == "src/k.ts" and source is None and own} == {("h", "helper"), ("default", "helper")}
+    assert {x[1:] for x in found if x[2]} == {("ns", "./x", "*"), ("r", "./y", "q")} and ("src/l.ts", "default", None, None) in found
+    assert {(r.specifier, r.kind) for r in facts.imports(files).collect()} == {("pkg//x", "named"), ("./x", "namespace-export"), ("./y", "re-export")}
+    called = {(r.path, r.receiver, r.callee): r.occurrence_count for r in facts.calls(files).collect()}
+    assert called == {
+        ("src/k.ts", None, "f"): 1, ("src/k.ts", None, "make"): 1, ("src/k.ts", None, "list"): 1, ("src/k.ts", "this", "m"): 1, ("src/k.ts", None, "helper2"): 1, ("src/k.ts", None, "m"): 1,
+        ("src/l.ts", None, "run"): 1, ("src/m.ts", None, "f"): 1,
+    }
+    assert {(r.path, r.name, r.heads) for r in facts.methods(files).collect()} == {("src/k.ts", "m", 1), ("src/k.ts", "go", 1)}
+
+
 def test_graph(spark, root):
     graph = repository_graph.build(spark, root)
     outcome = {(r.path, r.reference): (r.status, r.reason, r.target) for r in graph.resolutions.collect()}
