@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.plans import delta, relational
+from evidentia.plans import delta, evidence, relational
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (delta, relational):
+for module in (delta, relational, evidence):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
