@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.plans import delta, evidence, relational
+from evidentia.plans import delta, evidence, relational, sources
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (delta, relational, evidence):
+for module in (delta, relational, evidence, sources):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

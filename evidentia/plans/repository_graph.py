@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.fingerprints import fingerprint
 from evidentia.functions.lineage import cut
 from evidentia.functions.paths import candidates, is_test, resolve_relative
-from evidentia.operators import facts
+from evidentia.operators import calls, facts
 from evidentia.operators.graph import export_closure, reach
 from evidentia.operators.resolution import first_match
 from evidentia.sources.repository import source_files
@@ -43,6 +43,22 @@ def resolve_imports(files: DataFrame, imported: DataFrame) -> DataFrame:
     return imported.join(matched.select("path", "specifier", "target", routing.alias("routing")), ["path", "specifier"])
 
 
+def resolved_exports(files: DataFrame, imported: DataFrame, declared: DataFrame) -> DataFrame:
+    """The closure of all exports of files (path, text); ``imported`` has targets, and a default export goes by the name of its declaration."""
+    sources = imported.select(F.col("path").alias("module"), F.col("specifier").alias("source_module"), F.col("target").alias("_t")).distinct()
+    exported = facts.exports(files).join(sources, ["module", "source_module"], "left")
+    closure = export_closure(exported.select("module", "name", F.when(F.col("source_module").isNotNull(), F.coalesce("_t", F.col("source_module"))).alias("source_module"), "source_name"))
+    default = declared.where("is_default").select(F.col("path").alias("target_module"), F.lit("default").alias("target_name"), F.col("name").alias("default_name"))
+    return closure.join(default, ["target_module", "target_name"], "left").withColumn("target_name", F.coalesce("default_name", "target_name")).drop("default_name")
+
+
+def resolved_calls(files: DataFrame) -> DataFrame:
+    """Every call of sources (path, text) with its caller and outcome, see ``operators.calls.resolve_calls``."""
+    imported = cut(resolve_imports(files, facts.imports(files)))
+    declared = cut(facts.declarations(files))
+    return calls.resolve_calls(calls.owned_calls(files), imported, resolved_exports(files, imported, declared), declared, calls.members(files))
+
+
 def build(spark: SparkSession, root: str) -> Graph:
     """Scans a repository and derives its graph. File bodies end here: no table of the graph holds them."""
     with_text = cut(source_files(spark, root))
@@ -50,12 +66,7 @@ def build(spark: SparkSession, root: str) -> Graph:
     imported = cut(resolve_imports(files, facts.imports(with_text)))
     declared = cut(facts.declarations(with_text))
     called = facts.calls(with_text)
-    exported = facts.exports(with_text).join(imported.select(F.col("path").alias("module"), F.col("specifier").alias("source_module"), F.col("target").alias("_t")).distinct(), ["module", "source_module"], "left")
-    closure = export_closure(exported.select("module", "name", F.when(F.col("source_module").isNotNull(), F.coalesce("_t", F.col("source_module"))).alias("source_module"), "source_name"))
-
-    # A default export goes by the name of its declaration.
-    default = declared.where("is_default").select(F.col("path").alias("target_module"), F.lit("default").alias("target_name"), F.col("name").alias("default_name"))
-    closure = closure.join(default, ["target_module", "target_name"], "left").withColumn("target_name", F.coalesce("default_name", "target_name")).drop("default_name")
+    closure = resolved_exports(with_text, imported, declared)
 
     # What a local name of a file stands for: an import's resolved export, else a declaration of the same file.
     bound = imported.where("kind in ('default', 'named') and not type_only").join(
