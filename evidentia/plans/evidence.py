@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import validation
-from evidentia.operators import aliases, chains, flows, observations, references
+from evidentia.operators import aliases, applicability, chains, entries, flows, observations, references
 from evidentia.tables import table
 
 # Two graph versions: orders as nodes, customers as files, lines as edges from an order to a part.
@@ -41,6 +41,17 @@ _EDGES = """select distinct concat('o', cast(l_orderkey as string)) as src, conc
 _TEXTS = """select doc_id, coalesce(text, '') as text, case doc_id % 10 when 0 then concat('node src/', cast(doc_id as string), '.ts') when 1 then concat('deno run ', lang) when 2 then concat('bun  ', lang, ' ') when 3 then concat('tsx -w ', lang)
   when 4 then concat('tsc; node ', lang) when 5 then '' when 6 then concat('npm run ', lang) when 7 then concat('ts-node "', lang, '"') when 8 then 'node' else 'bun run test.ts' end as command from documents"""
 
+_ENTRIES = r"""select p_partkey, case p_partkey % 9 when 0 then concat('./src/', p_type) when 1 then concat('src/x/../', p_type, '/', cast(p_size as string), '/index.tsx') when 2 then concat('../', p_type) when 3 then concat('dist/', p_type, '.js')
+  when 4 then concat('/', p_type) when 5 then concat('c:', p_type) when 6 then concat('lib/', p_type) when 7 then concat('src/', p_type, '/', cast(p_size as string)) else concat('src/', p_type, '.d.ts') end as target from part"""
+_CANDIDATES = """select o_orderkey as candidate, o_custkey as context, case when o_orderkey % 17 = 0 then 'fork' else 'repo' end as repository, 'p' as project, case when o_orderkey % 13 = 0 then 2 else 1 end as definition, c_mktsegment as basis,
+    case when o_orderkey % 19 = 0 then 'old' else 'works' end as expected, case when o_orderkey % 11 = 0 then 'partial' else 'complete' end as integrity, case when o_orderkey % 23 = 0 then null else concat('o', cast(o_orderkey % 50 as string)) end as observation,
+    o_orderkey % 50 as graph_version, concat('g', cast(case when o_orderkey % 29 = 0 then 0 else o_orderkey % 50 end as string)) as graph_id, concat('r', cast(o_orderkey % 50 as string)) as revision, case when o_orderkey % 31 = 0 then null when o_orderkey % 37 = 0 then 'c0' else 'c1' end as contract
+  from orders join customer on c_custkey = o_custkey"""
+_CONTEXTS = """select c_custkey as context, 'repo' as repository, 'p' as project, 1 as definition, case when c_custkey % 41 = 0 then 'other' else c_mktsegment end as basis, 'works' as expected, 'c1' as contract from customer"""
+_SEEN = """select distinct concat('o', cast(o_orderkey % 50 as string)) as observation, 'p' as project, o_orderkey % 50 as graph_version, concat('r', cast(o_orderkey % 50 as string)) as revision, o_orderkey % 50 = 7 as dirty from orders where o_orderkey % 50 <> 8"""
+_VERSIONS = """select distinct o_orderkey % 50 as graph_version, concat('g', cast(o_orderkey % 50 as string)) as graph_id, 'c1' as contract from orders where o_orderkey % 50 <> 9"""
+_LINEAGE = """select distinct concat('r', cast(o_orderkey % 50 as string)) as revision from orders where o_orderkey % 50 < 40"""
+
 
 def _rows(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """Rows of a query over the driver's tables of these names."""
@@ -80,8 +91,8 @@ def ordered_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = lines.where("l_linenumber = 1").select(F.col("p").alias("src"), F.col("s").alias("dst"), kind.alias("kind"), F.col("l_returnflag").alias("evidence"))
     edges = down.unionByName(up).distinct()
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    entries = table(spark, sf_dir, "supplier").select(F.concat(F.lit("entry:"), F.col("s_suppkey").cast("string")).alias("entry"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"))
-    steps, totals = flows.project_flows(entries, nodes, edges)
+    starts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("entry:"), F.col("s_suppkey").cast("string")).alias("entry"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"))
+    steps, totals = flows.project_flows(starts, nodes, edges)
     return steps.join(totals.select("entry", "n_steps", "n_edges", "status", F.array_join("omissions", ",").alias("omissions")), "entry")
 
 
@@ -123,6 +134,22 @@ def graph_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations.graph_id({"edges": edges, "files": _rows(spark, sf_dir, "select c_custkey, c_mktsegment from customer", "customer")}, "p", "derivation-1")
 
 
+def entry_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.resolve_targets(_rows(spark, sf_dir, _ENTRIES, "part"), _rows(spark, sf_dir, _KNOWN, "part"))
+
+
+def good_state_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda text: _rows(spark, sf_dir, text, "orders", "customer")
+    return applicability.applicability(*map(read, (_CANDIDATES, _CONTEXTS, _SEEN, _VERSIONS, _LINEAGE)))
+
+
+def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an insert of all lines adds to a store of the odd orders' first lines, a row for each order and part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    stored = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 1 and l_linenumber = 1")
+    return applicability.missing_rows(lines, stored, ["l_orderkey", "l_partkey"])
+
+
 def value_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, _TEXTS, "documents").withColumn("s", validation.script(F.col("command")))
     head = F.substring_index("text", " ", 1)
@@ -153,10 +180,22 @@ _CHANGES = f"""with v as (select 'node' as category, graph_version as v, node_id
 """
 
 NAMES = (
-    "context_freshness flow_freshness alias_imports chain_check ordered_flows observation_delta observation_changes graph_reuse node_fingerprints graph_identity value_validation"
+    "context_freshness flow_freshness alias_imports chain_check ordered_flows observation_delta observation_changes graph_reuse node_fingerprints graph_identity value_validation entry_targets good_state_applicability insert_or_ignore"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLES = {
+    "entry_targets": f"""with e as ({_DUCK(_ENTRIES)}), k as ({_DUCK(_KNOWN)}), t as (select *, p_partkey % 9 as c, case p_partkey % 9 when 0 then target[3:] when 1 then replace(target, 'x/../', '') else target end as n from e),
+      m as (select p_partkey, min(x.i) as i, min_by(n || x.suffix, x.i) as path from t join (values (0, ''), (1, '.ts'), (2, '.tsx'), (3, '/index.ts'), (4, '/index.tsx'), (5, '.d.ts'), (6, '/index.d.ts')) as x(i, suffix) on i in (0, 5, 6) or c <> 1
+        join k on k.path = n || x.suffix where c in (0, 1, 6, 7) group by p_partkey)
+      select t.p_partkey, target, case when i < 5 then path end as path, case c when 2 then 'entry-target-escapes-repository' when 3 then 'entry-target-javascript-output-unsupported' when 4 then 'entry-target-absolute-or-invalid' when 5 then 'entry-target-absolute-or-invalid'
+        when 8 then 'entry-target-declaration-file-unsupported' else case when i < 5 then 'entry-target-resolved' when i is not null then 'entry-target-declaration-file-unsupported' else 'entry-target-missing-or-not-typescript' end end as reason
+      from t left join m on m.p_partkey = t.p_partkey""",
+    "good_state_applicability": f"""with c as ({_DUCK(_CANDIDATES)}), r as (select candidate, case when repository = 'fork' then 'repository-identity-mismatch' when definition = 2 or expected = 'old' or context % 41 = 0 then 'context-definition-or-expected-behavior-changed'
+        when integrity = 'partial' then 'integrity-incomplete' when observation is null then 'graph-basis-unavailable' when graph_version in (7, 8) then 'observation-unavailable-or-mismatched' when graph_version = 9 then 'graph-contract-unavailable'
+        when contract is null then 'evidence-contract-unavailable' when contract = 'c0' or graph_id <> 'g' || graph_version then 'evidence-contract-incompatible' when graph_version >= 40 then 'revision-not-on-first-parent-lineage' else '' end as reason from c)
+      select candidate, reason, case when reason = '' then 'applicable' when reason like 'repository%' then 'repository-mismatch' when reason like 'context%' then 'context-basis-mismatch' when reason = 'evidence-contract-incompatible' then 'contract-incompatible'
+        when reason like 'revision%' then 'out-of-lineage' else 'basis-unavailable' end as status from r""",
+    "insert_or_ignore": """select l_orderkey, l_partkey, min(l_quantity) as l_quantity from lineitem where (l_orderkey, l_partkey) not in (select (l_orderkey, l_partkey) from lineitem where l_orderkey % 2 = 1 and l_linenumber = 1) group by all""",
     "context_freshness": _BASIS + """select uri, case when first in ('node-identity-missing', 'node-fingerprint-changed') then 'stale' when first in ('origin-observation-current', 'node-fingerprint-match') then 'current'
         when first in ('insufficient-origin-evidence', 'incompatible-fingerprint-contract') then 'unresolved' else 'unavailable' end as status,
       case when first in ('node-identity-missing', 'node-fingerprint-changed') and scope = 'node' and n is not null then case when n > 1 then 'exact-successor-ambiguous' when with_uri = 1 then 'unique-exact-candidate' else 'successor-reference-unavailable' end else first end as reason,
