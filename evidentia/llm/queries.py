@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.llm.best_fit import pack_best_fit
 from evidentia.llm.bpe_codec import encode_documents
 from evidentia.llm.chat_format import digests, format_conversations
 from evidentia.llm.ngram_jaccard import near_duplicates
 from evidentia.llm.packing import pack
+from evidentia.llm.periodic_runs import periodic_runs
 from evidentia.llm.quality_classifier import classify
 from evidentia.llm.quality_rules import apply_rules
 from evidentia.llm.secret_scan import scan
@@ -66,6 +68,35 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.unionByName(extra)))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in every text whose id's CRC ends in 0, the words from a certain one on repeat with a certain period."""
+    crc = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))  # without an id, the text stays as it is
+    words = F.when(crc % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    split = docs.select("doc_id", "text", F.floor(crc / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    first = F.col("g") % F.col("n")
+    period = 1 + F.floor((F.col("n") - F.col("first")) / (3 + F.col("g") % 8))
+    placed = split.withColumn("first", F.when(F.col("n") > 0, first)).withColumn("period", F.when(F.col("n") > 0, period))
+    source = lambda i: F.when(i < F.col("first"), i).otherwise(F.col("first") + (i - F.col("first")) % F.col("period"))
+    repeated = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", source(i).cast("int")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return runs.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), (-F.col("longest.minus")).alias("length"),
+        F.col("longest.period").alias("period"), F.floor(-F.col("longest.minus") * 1000 / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _OP6 = """
 with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') as w from documents),
 said as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
@@ -102,6 +133,28 @@ s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
+#: Words are joined into windows of six: a run of at least 12 words and two periods has six equal ones in a row, a period apart.
+_OP12 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as w from documents),
+crc as (select doc_id, w, len(w) as n, xor(list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: list_transform(range(8), lambda k: (ascii(ch) >> k) & 1))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295) as h from d),
+placed as (select doc_id, w, n, h, (h // 10) % greatest(n, 1) as a, h // 10 as g from crc),
+said as (select doc_id, unnest(case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end) as x,
+  generate_subscripts(w, 1) - 1 as i from placed),
+six as (select doc_id, i, x || chr(10) || lead(x) over d || chr(10) || lead(x, 2) over d || chr(10) || lead(x, 3) over d || chr(10)
+  || lead(x, 4) over d || chr(10) || lead(x, 5) over d as v from said window d as (partition by doc_id order by i)),
+pairs as (select l.doc_id, l.i, r.i - l.i as q from six l join six r on l.doc_id = r.doc_id and l.v = r.v and l.i < r.i where l.v is not null),
+islands as (select doc_id, q, min(i) as s, max(i) - min(i) + 6 + q as n from (select *, i - row_number() over (partition by doc_id, q order by i) as k from pairs) group by doc_id, q, k),
+long as (select * from islands where n >= greatest(12, 2 * q)),
+runs as (select * from long l where not exists (select 1 from long s where s.doc_id = l.doc_id and s.q < l.q and s.s <= l.s and s.s + s.n >= l.s + l.n)),
+listed as (select doc_id, count(*) as n_runs, arg_min({'s': s, 'n': n, 'q': q}, [-n, s, q]) as best, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) as lines from runs group by doc_id),
+dropped as (select distinct doc_id, unnest(range(s + q, s + n)) as i from runs),
+kept as (select said.doc_id, string_agg(x, ' ' order by said.i) as t from said left join dropped on said.doc_id = dropped.doc_id and said.i = dropped.i where dropped.i is null group by said.doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.n as length, best.q as period, 1000 * best.n // best.q as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from d left join listed on d.doc_id = listed.doc_id left join kept on d.doc_id = kept.doc_id
+"""
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_token_counts": op2_token_counts, "op3_secret_scan": op3_secret_scan, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format}
-ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op7_top_k": _OP7, "op10_chat_format": _OP10}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_token_counts": op2_token_counts, "op3_secret_scan": op3_secret_scan, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format, "op11_best_fit": op11_best_fit, "op12_periodic_runs": op12_periodic_runs}
+ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op7_top_k": _OP7, "op10_chat_format": _OP10, "op12_periodic_runs": _OP12}
