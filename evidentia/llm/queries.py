@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.best_fit import pack_best_fit
 from evidentia.llm.bpe_codec import encode_documents
 from evidentia.llm.chat_format import digests, format_conversations
+from evidentia.llm.lexical import build_index, search
 from evidentia.llm.ngram_jaccard import near_duplicates
 from evidentia.llm.packing import pack
 from evidentia.llm.periodic_runs import periodic_runs
@@ -97,6 +98,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 _OP6 = """
 with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') as w from documents),
 said as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
@@ -155,6 +160,19 @@ select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.n as lengt
   sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
 from d left join listed on d.doc_id = listed.doc_id left join kept on d.doc_id = kept.doc_id
 """
+_OP13 = r"""
+with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null),
+lengths as (select doc_id, len(w) as n from d where len(w) > 0),
+totals as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from lengths),
+items as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+tf as (select doc_id, term, cast(count(*) as bigint) as tf from (select doc_id, unnest(w) as term from d) where term in (select term from items) group by doc_id, term),
+weights as (select term, cast(floor(1000 * ln(cast(2 * (select docs from totals) + 2 as double) / (2 * count(*) + 1))) as bigint) as weight from tf group by term),
+m as (select doc_id, 10 + (90 * n * (select docs from totals)) // (select terms from totals) as m from lengths),
+scores as (select item_id, tf.doc_id as doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from tf join m on tf.doc_id = m.doc_id join weights on tf.term = weights.term join items on tf.term = items.term group by item_id, tf.doc_id),
+ranked as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 10
+"""
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_token_counts": op2_token_counts, "op3_secret_scan": op3_secret_scan, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format, "op11_best_fit": op11_best_fit, "op12_periodic_runs": op12_periodic_runs}
-ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op7_top_k": _OP7, "op10_chat_format": _OP10, "op12_periodic_runs": _OP12}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_token_counts": op2_token_counts, "op3_secret_scan": op3_secret_scan, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_quality_classifier": op8_quality_classifier, "op9_bpe_codec": op9_bpe_codec, "op10_chat_format": op10_chat_format, "op11_best_fit": op11_best_fit, "op12_periodic_runs": op12_periodic_runs, "op13_lexical_search": op13_lexical_search}
+ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op7_top_k": _OP7, "op10_chat_format": _OP10, "op12_periodic_runs": _OP12, "op13_lexical_search": _OP13}
