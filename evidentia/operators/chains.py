@@ -10,13 +10,8 @@ from pyspark.sql import functions as F
 from evidentia.functions.lineage import cut
 
 
-def chain_status(events: DataFrame) -> DataFrame:
-    """(key, n_events, status) of ``events`` (key, event, predecessor; event ids are unique and a root has none before it).
-
-    root-invalid: not exactly one root; predecessor-invalid: an event that follows itself or an unknown one, or two that follow the
-    same; disconnected: not all events lead back to the root; else linear. Keys that pass the first two tests hold one path and
-    perhaps cycles, so pointers are doubled as often as the longest chain needs: no chain is walked in one task.
-    """
+def _linked(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n_events, early) and, for keys without an early failure, (key, event, to, hops): where a pointer ends, null at the root, and how far that is."""
     ids = events.select(F.col("key").alias("key"), F.col("event").alias("predecessor"), F.lit(True).alias("_known"))
     linked = events.join(ids, ["key", "predecessor"], "left")
     followers = events.where("predecessor is not null").groupBy("key", "predecessor").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max("_n").alias("most"))
@@ -27,11 +22,34 @@ def chain_status(events: DataFrame) -> DataFrame:
 
     open_keys = sums.where("early is null")
     longest = open_keys.agg(F.max("n_events")).first()[0] or 0
-    links = cut(events.join(open_keys.select("key"), "key").select("key", "event", F.col("predecessor").alias("to")))
+    hops = F.when(F.col("predecessor").isNotNull(), 1).otherwise(0).cast("long").alias("hops")
+    links = cut(events.join(open_keys.select("key"), "key").select("key", "event", F.col("predecessor").alias("to"), hops))
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
         # An event whose pointer is null has reached the root, and stays there.
-        beyond = links.select("key", F.col("event").alias("to"), F.col("to").alias("next"))
-        links = cut(links.join(beyond, ["key", "to"], "left").select("key", "event", F.col("next").alias("to")))
+        beyond = links.select("key", F.col("event").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        links = cut(links.join(beyond, ["key", "to"], "left").select("key", "event", F.col("next").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+    return sums, links
+
+
+def _status(sums: DataFrame, links: DataFrame) -> DataFrame:
     lost = links.where("to is not null").groupBy("key").agg(F.count("*").alias("lost"))
     status = F.coalesce(F.col("early"), F.when(F.col("lost") > 0, "disconnected").otherwise("linear"))
     return sums.join(lost, "key", "left").select("key", "n_events", status.alias("status"))
+
+
+def chain_status(events: DataFrame) -> DataFrame:
+    """(key, n_events, status) of ``events`` (key, event, predecessor; event ids are unique and a root has none before it).
+
+    root-invalid: not exactly one root; predecessor-invalid: an event that follows itself or an unknown one, or two that follow the
+    same; disconnected: not all events lead back to the root; else linear. Keys that pass the first two tests hold one path and
+    perhaps cycles, so pointers are doubled as often as the longest chain needs: no chain is walked in one task.
+    """
+    return _status(*_linked(events))
+
+
+def chain_positions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The statuses of :func:`chain_status`, and (key, event, position) of the events of linear keys; the root is at 0."""
+    sums, links = _linked(events)
+    status = cut(_status(sums, links))
+    linear = status.where("status = 'linear'").select("key")
+    return status, links.join(linear, "key", "left_semi").select("key", "event", F.col("hops").alias("position"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.plans import delta, evidence, relational, sources
+from evidentia.plans import delta, evidence, lifecycles, relational, sources
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (delta, relational, evidence, sources):
+for module in (delta, relational, evidence, lifecycles, sources):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
