@@ -1,81 +1,30 @@
-"""Calls with their callers, members of classes, and what each call stands for, with an outcome for every one.
-
-Text without comments and literals is cut at lines that start at its left edge: such a piece is one top-level statement, named by
-the declaration it starts with. The piece of a class is cut again at lines of its first indentation, which are its members. Sources
-that aren't laid out so yield calls of the whole statement or file, not of a wrong member.
-"""
+"""Calls with their callers, members of classes, and what each call stands for, with an outcome for every one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.facts import _DECLARATION, _KEYWORDS, _NAME, bare
+from evidentia.operators.facts import call_sites, member_rows
 
-_MEMBER = rf"^\s*((?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*)([*#]?)({_NAME})\s*(?:<[^<>()]*>)?\("
-_CALL = rf"(?<![\w$.#])(new\s+)?({_NAME}(?:\.#?{_NAME})?)\s*\("
-_HEAD = rf"^((?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*){_NAME}"
-_BOUND = rf"^(?:export\s+)?(?:const|let|var)\s+{_NAME}"
-_INNER = rf"\bfunction\s*\*?\s+{_NAME}\s*\("
-_PARAMETERS = r"(?:\b(?:if|while|for|switch|with)\s*)?\([^()]*\)\s*(?::[^=;{}()]+)?(?:=>|\{)"
-_PARAMETER = rf"^\s*(?:\.\.\.)?(?:(?:public|private|protected|readonly)\s+)*({_NAME})"
 #: Kinds of declarations that a plain call may stand for.
-CALLABLE = ("function", "variable")
-
-
-def statements(files: DataFrame) -> DataFrame:
-    """path, owner, owner_kind, text: top-level statements; owner is null where one declares nothing."""
-    pieces = files.select("path", F.explode(F.split(bare(F.col("text")), r"\n(?=[^\s})\]])")).alias("text"))
-    head = rf"\A{_DECLARATION}"
-    kind = F.nullif(F.regexp_extract("text", head, 4), F.lit(""))
-    return pieces.select("path", F.nullif(F.regexp_extract("text", head, 5), F.lit("")).alias("owner"), F.when(kind.isin("const", "let", "var"), "variable").otherwise(kind).alias("owner_kind"), "text")
-
-
-def _parts(rows: DataFrame) -> DataFrame:
-    """Statements, those of classes cut into members: adds part, member, modifiers, which are null outside members."""
-    indent = F.regexp_extract("text", r"\n([ \t]+)\S", 1)
-    cut = F.split(F.col("text"), F.concat(F.lit(r"\n(?="), indent, F.lit(r"[^\s})\]])")))
-    parts = rows.select("path", "owner", "owner_kind", "text", F.posexplode(F.when((F.col("owner_kind") == "class") & (indent != ""), cut).otherwise(F.array("text"))).alias("n", "part"))
-    name = F.when(F.col("n") > 0, F.nullif(F.regexp_extract("part", _MEMBER, 3), F.lit("")))
-    modifiers = F.concat(F.regexp_extract("part", _MEMBER, 1), F.regexp_extract("part", _MEMBER, 2))
-    return parts.withColumn("member", name).withColumn("modifiers", F.when(name.isNotNull(), modifiers))
+CALLABLE = ("function", "function-signature", "variable")
 
 
 def members(files: DataFrame) -> DataFrame:
     """path, owner, name, kind (method, constructor, accessor), static, visibility, heads (how often a class has such a head); fields and computed names are none."""
-    rows = _parts(statements(files)).where("member is not null")
-    kind = F.when(F.col("member") == "constructor", "constructor").when(F.col("modifiers").rlike(r"\b[gs]et\b"), "accessor").otherwise("method")
-    visibility = F.when(F.col("modifiers").rlike(r"\bprivate\b|#"), "private").when(F.col("modifiers").contains("protected"), "protected").otherwise("public")
-    found = rows.select("path", "owner", F.col("member").alias("name"), kind.alias("kind"), F.col("modifiers").rlike(r"\bstatic\b").alias("static"), visibility.alias("visibility"))
-    return found.groupBy(*found.columns).agg(F.count("*").alias("heads"))
-
-
-def _bound_names(text: Column) -> Column:
-    """Names that variables and parameters of a statement bind, wherever in it."""
-    inside = F.regexp_replace(text, _BOUND, "")
-    variables = F.regexp_extract_all(inside, F.lit(rf"\b(?:const|let|var)\s+({_NAME})"), F.lit(1))
-    alone = F.regexp_extract_all(inside, F.lit(rf"({_NAME})\s*=>"), F.lit(1))
-    lists = F.filter(F.regexp_extract_all(inside, F.lit(_PARAMETERS), F.lit(0)), lambda m: ~m.rlike("^[a-z]"))
-    listed = F.flatten(F.transform(lists, lambda m: F.transform(F.split(F.regexp_extract(m, r"^\(([^()]*)\)", 1), ","), lambda p: F.regexp_extract(p, _PARAMETER, 1))))
-    return F.concat(variables, alone, listed)
+    rows = member_rows(files).where("owner_kind = 'class'")
+    kind = F.when(F.col("kind").isin("constructor", "accessor"), F.col("kind")).otherwise("method")
+    return rows.groupBy("path", "owner", "name", kind.alias("kind"), "static", "visibility").agg(F.count("*").alias("heads"))
 
 
 def owned_calls(files: DataFrame) -> DataFrame:
     """path, owner, owner_kind, member, receiver, callee, form (identifier, member, this-member, constructor), shadowed, occurrence_count.
 
-    ``shadowed``: the first name of the call is bound by a variable or parameter of the same top-level declaration. Calls through
-    longer chains than receiver.callee are left out.
+    ``shadowed``: the first name of the call is bound by a variable or parameter of the same top-level declaration. Dynamic
+    calls (longer chains than receiver.callee, computed names, optional calls) are left out.
     """
-    # Signatures of interfaces and types are no calls.
-    code = statements(files).where("owner_kind is null or owner_kind not in ('interface', 'type')")
-    rows = _parts(code).withColumn("names", F.when(F.col("owner").isNotNull(), _bound_names(F.col("text"))).otherwise(F.array().cast("array<string>")))
-    body = F.when(F.col("member").isNotNull(), F.regexp_replace("part", _MEMBER, "(")).otherwise(F.regexp_replace("part", _HEAD, "$1"))
-    found = rows.select("path", "owner", "owner_kind", "member", "names", F.explode(F.regexp_extract_all(F.regexp_replace(body, _INNER, "("), F.lit(_CALL), F.lit(0))).alias("m"))
-    target = F.replace(F.regexp_extract("m", _CALL, 2), F.lit("#"), F.lit(""))
-    receiver = F.when(target.contains("."), F.substring_index(target, ".", 1))
-    form = F.when(F.trim(F.regexp_extract("m", _CALL, 1)) != "", "constructor").when(receiver == "this", "this-member").when(receiver.isNotNull(), "member").otherwise("identifier")
-    calls = found.select("path", "owner", "owner_kind", "member", receiver.alias("receiver"), F.substring_index(target, ".", -1).alias("callee"), form.alias("form"), F.array_contains("names", F.coalesce(receiver, target)).alias("shadowed"))
-    calls = calls.where(~F.col("callee").isin("async", *_KEYWORDS) | F.col("receiver").isNotNull())
+    calls = call_sites(files).where("callee is not null").drop("n", "line", "column")
     return calls.groupBy(*calls.columns).agg(F.count("*").alias("occurrence_count"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.plans import delta, evidence, lifecycles, relational, sources
+from evidentia.plans import delta, evidence, lifecycles, relational, scripts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (delta, relational, evidence, lifecycles, sources):
+for module in (delta, relational, evidence, lifecycles, scripts):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

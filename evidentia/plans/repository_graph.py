@@ -13,17 +13,29 @@ from evidentia.functions.paths import candidates, is_test, resolve_relative
 from evidentia.operators import calls, facts
 from evidentia.operators.graph import export_closure, reach
 from evidentia.operators.resolution import first_match
+from evidentia.operators.tokens import bracket_balance, source_hashes, tokenize
 from evidentia.sources.repository import source_files
 
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes``: id, kind, path, name, fingerprint. ``edges``: src, dst, kind. ``resolutions``: path, reference, form, status, reason, target, occurrence_count."""
+    """``nodes``: id, kind, path, name, fingerprint. ``edges``: src, dst, kind. ``resolutions``: path, reference, form, status, reason, target, occurrence_count.
+
+    At the level of callers: ``members``: id, kind, path, owner, name, visibility, fingerprint (the canonical hash; repeated
+    heads under one id are summed up); ``declared``: id, kind, path, name, fingerprint, likewise; ``calls``: caller, reference,
+    form, status, reason, target, occurrence_count, for every call; ``call_edges``: src, dst, kind (calls, constructs,
+    declares-member), from callers to what they resolve to. ``sources``: path, n_tokens, canonical_fingerprint, recovered.
+    """
 
     files: DataFrame
     nodes: DataFrame
     edges: DataFrame
     resolutions: DataFrame
+    members: DataFrame
+    declared: DataFrame
+    calls: DataFrame
+    call_edges: DataFrame
+    sources: DataFrame
 
 
 def file_id(path: str) -> Column:
@@ -54,19 +66,21 @@ def resolved_exports(files: DataFrame, imported: DataFrame, declared: DataFrame)
 
 def resolved_calls(files: DataFrame) -> DataFrame:
     """Every call of sources (path, text) with its caller and outcome, see ``operators.calls.resolve_calls``."""
-    imported = cut(resolve_imports(files, facts.imports(files)))
-    declared = cut(facts.declarations(files))
-    return calls.resolve_calls(calls.owned_calls(files), imported, resolved_exports(files, imported, declared), declared, calls.members(files))
+    tokens = cut(tokenize(files))
+    imported = cut(resolve_imports(files, facts.imports(tokens)))
+    declared = cut(facts.declarations(tokens))
+    return calls.resolve_calls(calls.owned_calls(tokens), imported, resolved_exports(tokens, imported, declared), declared, calls.members(tokens))
 
 
 def build(spark: SparkSession, root: str) -> Graph:
     """Scans a repository and derives its graph. File bodies end here: no table of the graph holds them."""
     with_text = cut(source_files(spark, root))
     files = with_text.drop("text")
-    imported = cut(resolve_imports(files, facts.imports(with_text)))
-    declared = cut(facts.declarations(with_text))
-    called = facts.calls(with_text)
-    closure = resolved_exports(with_text, imported, declared)
+    tokens = cut(tokenize(with_text))
+    imported = cut(resolve_imports(files, facts.imports(tokens)))
+    declared = cut(facts.declarations(tokens))
+    called = facts.calls(tokens)
+    closure = cut(resolved_exports(tokens, imported, declared))
 
     # What a local name of a file stands for: an import's resolved export, else a declaration of the same file.
     bound = imported.where("kind in ('default', 'named') and not type_only").join(
@@ -92,12 +106,24 @@ def build(spark: SparkSession, root: str) -> Graph:
     edge_kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("routing"))
     imports = imported.select(file_id("path").alias("src"), to.alias("dst"), edge_kind.alias("kind"))
     call_edges = resolutions.where("status = 'resolved'").select(file_id("path").alias("src"), F.col("target").alias("dst"), F.when(F.col("form") == "constructor", "constructs").otherwise("calls").alias("kind"))
-    inherits = facts.heritage(with_text).join(outcomes.select("path", F.col("callee").alias("reference"), "t"), ["path", "reference"]).where("t.status = 'resolved'").select(symbol_id("path", "owner").alias("src"), F.col("t.target").alias("dst"), F.col("relation").alias("kind"))
+    inherits = facts.heritage(tokens).join(outcomes.select("path", F.col("callee").alias("reference"), "t"), ["path", "reference"]).where("t.status = 'resolved'").select(symbol_id("path", "owner").alias("src"), F.col("t.target").alias("dst"), F.col("relation").alias("kind"))
     edges = cut(declares.unionByName(imports).unionByName(call_edges).unionByName(inherits).distinct())
     modules = imported.where("routing <> 'local'").select(to.alias("id"), F.concat("routing", F.lit("-module")).alias("kind"), F.lit(None).cast("string").alias("path"), F.col("specifier").alias("name"), fingerprint("module", "specifier").alias("fingerprint")).distinct()
     file_nodes = files.select(file_id("path").alias("id"), F.lit("file").alias("kind"), "path", F.lit(None).cast("string").alias("name"), F.col("hash").alias("fingerprint"))
     symbols = declared.select(symbol_id("path", "name").alias("id"), "kind", "path", "name", fingerprint("symbol", "path", "name", "kind").alias("fingerprint"))
-    return Graph(files, cut(file_nodes.unionByName(symbols).unionByName(modules).dropDuplicates(["id"])), edges, resolutions)
+    nodes = cut(file_nodes.unionByName(symbols).unionByName(modules).dropDuplicates(["id"]))
+
+    heads = lambda rows, *by: rows.groupBy("id", "path", *by).agg(F.min("kind").alias("kind"), fingerprint("heads", F.array_join(F.array_sort(F.collect_list("fingerprint")), ",")).alias("fingerprint"))
+    member_id = F.concat(symbol_id("path", "owner"), F.lit("."), F.col("name"))
+    members = heads(facts.member_rows(tokens).withColumn("id", member_id), "owner", "name", "visibility")
+    own = heads(facts.declaration_rows(tokens).withColumn("id", symbol_id("path", "name")), "name")
+    outcomes_of_calls = cut(calls.resolve_calls(calls.owned_calls(tokens), imported, closure, declared, calls.members(tokens)))
+    reached = outcomes_of_calls.where("status = 'resolved'").select(F.col("caller").alias("src"), F.col("target").alias("dst"), F.when(F.col("form") == "constructor", "constructs").otherwise("calls").alias("kind"))
+    members = cut(members)
+    held = members.select(symbol_id("path", "owner").alias("src"), F.col("id").alias("dst"), F.lit("declares-member").alias("kind"))
+    balance = bracket_balance(tokens).select("path", "recovered")
+    return Graph(files, nodes, edges, resolutions, members, cut(own), outcomes_of_calls, reached.unionByName(held).distinct(), cut(source_hashes(tokens).join(balance, "path")))
+
 
 
 def flow(graph: Graph, entry: DataFrame, max_depth: int = 64) -> DataFrame:

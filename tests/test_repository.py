@@ -146,3 +146,27 @@ def test_paths(spark):
     assert all(r.got == r.want for r in frame.withColumn("got", resolve_relative(F.col("importer"), F.col("specifier"))).collect())
     one = spark.range(1).select(normalize(F.lit("a//b/../c")).alias("a"), normalize(F.lit("/a")).alias("b"), normalize(F.lit("a\\b")).alias("c"), *[is_excluded(F.lit(p)).alias(f"x{i}") for i, p in enumerate(["out/a.ts", "vendor/a.ts", ".turbo/a.ts", "a/dist/b.ts", "dist.ts"])]).first()
     assert tuple(one) == ("a/c", None, None, False, False, True, True, False)
+
+
+def test_graph_of_callers_and_members(spark, tmp_path):
+    texts = {
+        "src/a.ts": "import { B } from './b';\nexport class A extends B {\n  private one() { return 1; }\n  run() { this.one(); return new B(); }\n}\nexport const go = () => B.make();\n",
+        "src/b.ts": "export class B { static make() { return 'SENTINEL'; } over(a: string): void; over(a) {} }\nfunction broken( {\n",
+    }
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    graph = repository_graph.build(spark, str(tmp_path))
+    assert {tuple(r) for r in graph.call_edges.select("src", "dst", "kind").collect()} == {
+        ("symbol:src/a.ts#A.run", "symbol:src/a.ts#A.one", "calls"), ("symbol:src/a.ts#A.run", "symbol:src/b.ts#B", "constructs"), ("symbol:src/a.ts#go", "symbol:src/b.ts#B.make", "calls"),
+        ("symbol:src/a.ts#A", "symbol:src/a.ts#A.one", "declares-member"), ("symbol:src/a.ts#A", "symbol:src/a.ts#A.run", "declares-member"),
+        ("symbol:src/b.ts#B", "symbol:src/b.ts#B.make", "declares-member"), ("symbol:src/b.ts#B", "symbol:src/b.ts#B.over", "declares-member"),
+    }
+    assert {r.path: r.recovered for r in graph.sources.collect()} == {"src/a.ts": False, "src/b.ts": True}
+    before = {r.id: r.fingerprint for r in graph.members.unionByName(graph.declared, allowMissingColumns=True).collect()}
+    (tmp_path / "src/a.ts").write_text(texts["src/a.ts"].replace("return 1;", "return 2; /* other */").replace("B.make()", "B . make( /* same */ )"))
+    again = repository_graph.build(spark, str(tmp_path))
+    after = {r.id: r.fingerprint for r in again.members.unionByName(again.declared, allowMissingColumns=True).collect()}
+    assert {i for i in before if before[i] != after[i]} == {"symbol:src/a.ts#A.one"}
+    for rows in (graph.members, graph.declared, graph.calls, graph.call_edges, graph.sources):
+        assert "SENTINEL" not in str(rows.collect())

@@ -1,4 +1,4 @@
-"""Queries over sources: two modules are written for every supplier and nation, and read back as facts and resolved calls.
+"""A fixture: two modules are written for every supplier and nation, and read back as facts and resolved calls.
 
 The SQL knows what was written, not how it is read, so it states the outcomes from the tables alone.
 """
