@@ -29,7 +29,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes that aren't in a term become a space, A-Z become a-z; what is beyond ASCII stays.
 FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 #: How many documents a task arranges at a time, and how many postings or documents end a block or such a chunk.
-CHUNK, CHUNK_POSTINGS, BLOCK, BLOCK_POSTINGS = 4096, 2_000_000, 64, 65_536
+CHUNK, CHUNK_POSTINGS, BLOCK, BLOCK_POSTINGS = 2048, 500_000, 64, 65_536
 #: Up to so many different terms, a batch of queries is sent to all tasks to count who holds them; beyond, Spark joins.
 BROADCAST_TERMS = 500_000
 _INDEX = (
@@ -59,7 +59,7 @@ class LexicalIndex:
     n_terms: int
 
 
-def _blocks(docs: list[tuple[int | None, Counter, int]], number: int, n_docs: int, n_terms: int) -> Iterator[tuple[int, dict]]:
+def _blocks(docs: list[tuple[int | None, Counter, int]], number: int, n_docs: int, n_terms: int) -> Iterator[dict]:
     """Rows of the index for a chunk of documents. Those with the same most frequent term (so of one language) lie together, by length."""
     docs.sort(key=lambda d: (max(d[1].items(), key=lambda x: (x[1], x[0]))[0], d[2]))
     at = 0
