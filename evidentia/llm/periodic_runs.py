@@ -3,7 +3,8 @@
 Each run holds, at the place of one of its Lyndon roots, the longest Lyndon word that starts there, under one order of the
 words or under the reverse order. A stack scanned from right to left gives these words under both orders; comparing two
 suffixes and extending a root both ways ask for longest common extensions, which a binary search over rolling hashes
-answers. What a run claims is compared word by word in the end; if a hash was wrong, the text is done again with another base.
+answers. Each answer is compared word by word; if a hash was wrong, the text is done again with another base. Inside a run
+that is known already, the run itself answers, so that long extensions aren't asked for again and again.
 
 Only the stretches that can hold a run are scanned: a run of at least 12 words and two periods has at least six words in a
 row that stand again one period on, so every word of it lies in a window of six words that occurs twice in the text.
@@ -60,7 +61,7 @@ class Extensions:
             if size + step <= most and self.equal(i + size, j + size, step):
                 size += step
             step //= 2
-        if size < most and words[i + size] == words[j + size]:
+        if words[i : i + size] != words[j : j + size] or (size < most and words[i + size] == words[j + size]):
             raise WrongHash
         return size
 
@@ -74,7 +75,7 @@ class Extensions:
             if size + step <= i and self.equal(i - size - step, j - size - step, step):
                 size += step
             step //= 2
-        if size < i and words[i - size - 1] == words[j - size - 1]:
+        if words[i - size : i] != words[j - size : j] or (size < i and words[i - size - 1] == words[j - size - 1]):
             raise WrongHash
         return size
 
@@ -111,6 +112,8 @@ def _scan(words: list[int], sign: int, ext: Extensions, least: int, found: dict[
         if missing > 0 and (missing > i or keys[i - 1] != keys[j - 1] or not ext.equal(i - missing, j - missing, missing)):
             continue
         start = i - ext.left(i, j)
+        if i - start < missing:
+            continue
         known[period] = (start, j + common)
         found[start, period] = j + common - start
 
@@ -122,9 +125,6 @@ def find_runs(words: list[int], least: int = 12) -> list[tuple[int, int, int]]:
             ext, found = Extensions(words, base), {}
             _scan(words, 1, ext, least, found)
             _scan(words, -1, ext, least, found)
-            for (start, period), length in found.items():
-                if words[start : start + length - period] != words[start + period : start + length]:
-                    raise WrongHash
             return sorted((start, length, period) for (start, period), length in found.items())
         except WrongHash:
             continue
