@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.textstats import NOT_BLANK, SYMBOLS, fixed, with_words
+from evidentia.llm.textstats import NOT_BLANK, SYMBOLS, fixed, put_back, set_aside, with_words
 
 #: Inputs of a score; ids, languages, sources and labels are none.
 FEATURES = ("log_words", "word_length", "symbols", "exclamations", "bars", "digits", "shouted", "distinct", "stutter", "dup_lines")
@@ -141,9 +141,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_
     """Adds held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0) to every row.
 
     Null and empty texts are scored as texts without words; a null doc_id is not held out. Columns of ``docs`` with the
-    names that are added or used for statistics are replaced.
+    names that are added, in any case, are replaced, all others stay whatever their names.
     """
+    docs, names, (text,) = set_aside(docs, ("held_out", "score", "predicted"), (*FEATURES, "_w", "_l"), text)
     model = train(docs, labels, sample_rows, text)
-    own = [c for c in docs.columns if c not in (*FEATURES, "held_out", "score", "predicted", "_w", "_l")]
+    own = docs.columns
     scored = fixed(with_features(docs.select(*own), text), list(FEATURES), model.score().alias("score"))
-    return scored.select(*own, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    out = scored.select(*own, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return put_back(out, names)

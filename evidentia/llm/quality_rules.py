@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.textstats import fixed, let, lines_with_words, n_repeat_words, n_symbols, with_stats, with_words, word_chars
+from evidentia.llm.textstats import fixed, let, lines_with_words, n_repeat_words, n_symbols, put_back, set_aside, with_stats, with_words, word_chars
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -70,21 +70,22 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept to every row; without ``statistics`` only kept.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are judged each; columns of ``docs`` with
-    these names are replaced. An empty table gives no rows. Without ``statistics`` nothing is counted for a document that
+    these names, in any case, are replaced, all others stay whatever their names. An empty table gives no rows. Without ``statistics`` nothing is counted for a document that
     an earlier rule has rejected.
     """
+    added = (*STATS, "base_failed", "kept") if statistics else ("kept",)
+    docs, names, (text,) = set_aside(docs, added, ("_w", "_h", "_s", "_l", "n_lines"), text)
     ordered = order_rules(docs, rules, sample_rows, text)
+    own = docs.columns
     if not statistics:
-        own = [c for c in docs.columns if c not in ("kept", "_w")]
         content, w = F.coalesce(F.col(text), F.lit("")), F.col("_w")
         kept = F.when(F.size(w) < 50, False)
         for rule in ordered:
             kept = kept.when(rule.rejects(content, w), False)
         kept = kept.when(base_failed(F.size(w).cast("long"), n_repeat_words(w)), False)  # the dearest last
-        return fixed(with_words(docs.select(*own), text), ["_w"], kept.otherwise(True).alias("kept"))
-    own = [c for c in docs.columns if c not in (*STATS, "n_lines", "base_failed", "kept", "_w")]
+        return put_back(fixed(with_words(docs.select(*own), text), ["_w"], kept.otherwise(True).alias("kept")), names)
     stats = with_stats(docs.select(*own), text).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     kept = F.when(F.col("base_failed"), False)
     for rule in ordered:
         kept = kept.when(rule.known() if rule.known else rule.rejects(F.coalesce(F.col(text), F.lit("")), F.col("_w")), False)
-    return stats.withColumn("kept", kept.otherwise(True)).select(*own, *STATS, "base_failed", "kept")
+    return put_back(stats.withColumn("kept", kept.otherwise(True)).select(*own, *STATS, "base_failed", "kept"), names)

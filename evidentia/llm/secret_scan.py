@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.textstats import put_back, set_aside
+
 #: Runs of at least 16 key characters; the same patterns serve Spark (to skip texts) and the scan.
 CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 #: A name of a secret up to where its value starts.
@@ -250,10 +252,12 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5,
                 masked.append("".join([*parts, content[at:]]) if hits else None)
             yield pd.DataFrame({"n_candidates": seen, "findings": found, "redacted": masked})
 
-    own = [c for c in docs.columns if c not in ("n_candidates", "n_secrets", "findings", "redacted", "_found")]
+    docs, names, (text, path) = set_aside(docs, ("n_candidates", "n_secrets", "findings", "redacted"), ("_found",), text, path)
+    own = docs.columns
     where = F.col(path) if path in docs.columns else F.lit(None).cast("string")
     # Only texts with a candidate go to Python.
     rows = docs.select(*own, look(F.when(F.col(text).rlike(f"{CANDIDATE}|(?i:{ASSIGNMENT})"), F.col(text)), where).alias("_found"))
-    return rows.select(
+    out = rows.select(
         *own, "_found.n_candidates", F.size("_found.findings").cast("long").alias("n_secrets"), "_found.findings", F.coalesce("_found.redacted", text).alias("redacted"),
     )
+    return put_back(out, names)

@@ -25,6 +25,28 @@ def fixed(rows: DataFrame, without: list[str], *added: Column) -> DataFrame:
     return rows.select(*kept, F.inline(F.array(F.struct(*added))))
 
 
+def set_aside(docs: DataFrame, added: tuple[str, ...], inner: tuple[str, ...], *used: str) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """``docs`` without the columns of ``added`` names, and with other names for columns that are called, in any case, like an operator's own ones.
+
+    Also gives the new names with the old ones, for :func:`put_back`, and the names that the ``used`` columns have now.
+    """
+    kept = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
+    taken, names = {c.lower() for c in (*kept, *added, *inner)}, {}
+    for column in kept:
+        if column.lower() in {i.lower() for i in inner}:
+            new = f"_{column}"
+            while new.lower() in taken:
+                new = f"_{new}"
+            taken.add(new.lower())
+            names[new] = column
+    now = {old: new for new, old in names.items()}
+    return docs.select(*[F.col(f"`{c}`").alias(now.get(c, c)) for c in kept]), names, [now.get(u, u) for u in used]
+
+
+def put_back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in rows.columns]) if names else rows
+
+
 def with_words(docs: DataFrame, text: str = "text", into: str = "_w") -> DataFrame:
     """Adds the words of a text (null: none) as an array."""
     return docs.withColumn(into, words(F.coalesce(F.col(text), F.lit(""))))

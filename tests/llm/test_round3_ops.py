@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidentia.llm import best_fit, lexical, periodic_runs, queries
+from evidentia.llm import best_fit, lexical, periodic_runs, quality_classifier, quality_rules, queries, secret_scan
 
 SF = "/root/testdata/sf0.001"
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -268,3 +268,24 @@ def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
     asked = lexical.Queries([(0, b"common", 2), (0, b"rare", 9000)], 1, 1)
     (out,) = lexical._scores(asked, 512, 2048, np.zeros(1, np.int64))(iter([batch]))
     assert out.column(1).to_pylist() == [7] and len(scored) == 1
+
+
+# Columns named like an operator's own ones, in any case
+
+OWN_NAMES = ("_H", "_s", "_L", "_W", "_t", "N_lines", "Word_Chars", "_order", "_Found", "Quality", "_doc", "__w", "_x")
+
+
+@pytest.mark.parametrize("added, apply", [
+    (("N_WORDS", "Kept", "base_Failed"), lambda d: quality_rules.apply_rules(d)),
+    (("KEPT",), lambda d: quality_rules.apply_rules(d, statistics=False)),
+    (("Score", "HELD_out", "Predicted"), lambda d: quality_classifier.classify(d, d.select("doc_id", F.lit(1).alias("quality")))),
+    (("Findings", "REDACTED", "n_Secrets"), lambda d: secret_scan.scan(d, path="no such column")),
+])
+def test_columns_of_any_name_stay(spark, added, apply):
+    plain = spark.createDataFrame([(1, "some words here " * 30), (2, None), (2, "key = 'a8f3b1c9d7e2f4a6b8c0'"), (None, "")], "doc_id long, text string")
+    clashing = plain.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in (*OWN_NAMES, *added)})
+    got, want = apply(clashing), apply(plain)
+    assert set(got.columns) == {*want.columns, *(c for c in OWN_NAMES if c.lower() not in {w.lower() for w in want.columns})}
+    key = lambda r: repr(tuple(r))
+    assert sorted(got.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+    assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in got.collect() for c in OWN_NAMES if c in got.columns and c not in want.columns)
