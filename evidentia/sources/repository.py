@@ -55,17 +55,33 @@ class GitReader(DataSourceReader):
     def _git(self, *args: str) -> str:
         return subprocess.run(["git", "-C", self.path, *args], check=True, capture_output=True, text=True, errors="replace").stdout
 
+    def _entries(self, *args: str) -> Iterator[str]:
+        """The parts of git's output between marks, as they come: a partition's log is never held as a whole."""
+        with subprocess.Popen(["git", "-C", self.path, *args], stdout=subprocess.PIPE) as run:
+            rest = b""
+            while chunk := run.stdout.read(1 << 16):
+                *whole, rest = (rest + chunk).split(b"\x01")
+                for part in whole:
+                    yield part.decode(errors="replace")
+            yield rest.decode(errors="replace")
+        if run.returncode:
+            raise subprocess.CalledProcessError(run.returncode, "git")
+
     def partitions(self) -> list[InputPartition]:
-        n = int(self._git("rev-list", "--first-parent", "--count", self.revision))
+        # Resolved once: a commit made meanwhile moves no partition's range.
+        commit = self._git("rev-parse", "--verify", "--end-of-options", f"{self.revision}^{{commit}}").strip()
+        n = int(self._git("rev-list", "--first-parent", "--count", commit))
         step = max(1, -(-n // self.count))
-        return [InputPartition((at, step)) for at in range(0, n, step)]
+        return [InputPartition((commit, at, step)) for at in range(0, n, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        at, step = partition.value
+        commit, at, step = partition.value
         mark = "%x01%H%x02%P%x02%ct%x02%s"
         # -z: paths come as they are, each ended by NUL; without it git quotes those that aren't ASCII.
-        out = self._git("log", "-z", "--first-parent", "-m", "--name-status", "--no-renames", f"--skip={at}", f"--max-count={step}", f"--format={mark}", self.revision)
-        for i, entry in enumerate(out.split("\x01")[1:]):
+        entries = self._entries("log", "-z", "--first-parent", "-m", "--name-status", "--no-renames", f"--skip={at}", f"--max-count={step}", f"--format={mark}", commit)
+        for i, entry in enumerate(entries, -1):
+            if i < 0:  # what stands before the first mark
+                continue
             head, *fields = entry.split("\0")
             sha, parents, when, summary = head.rstrip("\n").split("\x02", 3)
             fields = [f.lstrip("\n") if k % 2 == 0 else f for k, f in enumerate(f for f in fields if f.strip("\n"))]

@@ -170,3 +170,16 @@ def test_graph_of_callers_and_members(spark, tmp_path):
     assert {i for i in before if before[i] != after[i]} == {"symbol:src/a.ts#A.one"}
     for rows in (graph.members, graph.declared, graph.calls, graph.call_edges, graph.sources):
         assert "SENTINEL" not in str(rows.collect())
+
+
+def test_commits_made_while_a_history_is_read_move_nothing(spark, tmp_path):
+    from evidentia.sources.repository import GitReader
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for i in range(6):
+        git("commit", "--allow-empty", "-qm", f"change {i}")
+    reader = GitReader(str(tmp_path), "HEAD", 3)
+    parts = reader.partitions()
+    git("commit", "--allow-empty", "-qm", "later")
+    assert [row[2] for p in parts for row in reader.read(p)] == [f"change {i}" for i in range(5, -1, -1)]
