@@ -58,3 +58,41 @@ def export_closure(exports: DataFrame, max_hops: int = 32) -> DataFrame:
         everything.join(forwarded, ["module", "name"], "left").join(modules, "_s", "left")
         .select("module", "name", F.when(F.col("n") == 1, F.col("t.target_module")).alias("target_module"), F.when(F.col("n") == 1, F.col("t.target_name")).alias("target_name"), "hops", status.alias("status"))
     )
+
+
+def unresolved_exports(exports: DataFrame, closure: DataFrame, max_hops: int = 32) -> DataFrame:
+    """(module, name, reason) for the names of a closure that aren't resolved or ambiguous, and for exported names that forward nowhere.
+
+    Reasons, the first that holds for any way the name is forwarded: external-reexport (leaves the known modules),
+    re-export-depth-capped (goes on after ``max_hops``), re-export-cycle (comes back to where it has been), missing-export
+    (ends at a module that doesn't export the name). ``exports`` are the rows of :func:`export_closure`; an explicit binding beats ``*``.
+    Only the ways of names that have failed are walked, a join a hop for all of them.
+    """
+    named = exports.where("name <> '*'").select("module", "name", "source_module", "source_name")
+    stars = exports.where("name = '*'").select("module", F.col("source_module").alias("star"))
+    known = exports.select(F.col("module").alias("at")).distinct().withColumn("known", F.lit(True))
+    failed = closure.where("status not in ('resolved', 'ambiguous')").select("module", "name")
+    start = cut(failed.select("module", "name", F.col("module").alias("at"), F.col("name").alias("wanted")))
+    forwards = named.select(F.col("module").alias("at"), F.col("name").alias("wanted"), "source_module", F.coalesce("source_name", "name").alias("source_name")).distinct()
+    through = stars.select(F.col("module").alias("at"), "star").distinct()
+    seen, frontier, ends = start, start, None
+    for hop in range(1, max_hops + 1):
+        here = frontier.join(forwards, ["at", "wanted"], "left")
+        explicit = here.where("source_module is not null").select("module", "name", F.col("source_module").alias("to"), F.col("source_name").alias("next"))
+        starred = here.where("source_module is null and wanted <> 'default'").join(through, "at").select("module", "name", F.col("star").alias("to"), F.col("wanted").alias("next"))
+        stuck = here.where("source_module is null").join(through.select("at").distinct().withColumn("_star", F.lit(True)), "at", "left")
+        missing = stuck.where("_star is null or wanted = 'default'").select("module", "name", F.lit("missing-export").alias("reason"))
+        steps = explicit.unionByName(starred).distinct().join(known.withColumnRenamed("at", "to"), "to", "left")
+        outside = steps.where("known is null").select("module", "name", F.lit("external-reexport").alias("reason"))
+        inside = steps.where("known").select("module", "name", F.col("to").alias("at"), F.col("next").alias("wanted"))
+        been = inside.join(seen, ["module", "name", "at", "wanted"], "left_semi").select("module", "name", F.lit("re-export-cycle").alias("reason"))
+        fresh = cut(inside.join(seen, ["module", "name", "at", "wanted"], "left_anti"))
+        found = cut(missing.unionByName(outside).unionByName(been).distinct())
+        ends = found if ends is None else ends.unionByName(found)
+        frontier = fresh
+        if fresh.isEmpty():
+            break
+        seen = cut(seen.unionByName(fresh))
+    late = frontier.select("module", "name", F.lit("re-export-depth-capped").alias("reason"))
+    rank = F.array_position(F.array(*[F.lit(r) for r in ("external-reexport", "re-export-depth-capped", "re-export-cycle", "missing-export")]), F.col("reason"))
+    return (late if ends is None else ends.unionByName(late)).groupBy("module", "name").agg(F.min_by("reason", rank).alias("reason"))

@@ -183,3 +183,20 @@ def test_commits_made_while_a_history_is_read_move_nothing(spark, tmp_path):
     parts = reader.partitions()
     git("commit", "--allow-empty", "-qm", "later")
     assert [row[2] for p in parts for row in reader.read(p)] == [f"change {i}" for i in range(5, -1, -1)]
+
+
+def test_unresolved_exports_are_told_apart(spark):
+    from evidentia.operators.graph import export_closure, unresolved_exports
+
+    rows = [
+        ("out", "x", "pkg", "x"), ("back", "y", "forth", "y"), ("forth", "y", "back", "y"), ("gone", "z", "leaf", "z"), ("leaf", "other", None, None), ("all", "*", "leaf", "*"), ("via", "w", "all", "w"), ("via", "other", "all", "other"),
+        ("default", "d", "all", "default"), ("both", "q", "pkg", "q"), ("both", "q", "forth", "y"), ("star-out", "*", "pkg", "*"), ("via-out", "v", "star-out", "v"), *[(f"m{i}", "n", f"m{i + 1}", "n") for i in range(40)], ("m40", "k", None, None),
+    ]
+    exports = spark.createDataFrame(rows, "module string, name string, source_module string, source_name string")
+    got = {(r.module, r.name): r.reason for r in unresolved_exports(exports, export_closure(exports)).collect()}
+    chain = {(f"m{i}", "n"): "re-export-depth-capped" if i < 9 else "missing-export" for i in range(40)}
+    assert got == {
+        ("out", "x"): "external-reexport", ("back", "y"): "re-export-cycle", ("forth", "y"): "re-export-cycle", ("gone", "z"): "missing-export", ("via", "w"): "missing-export", ("default", "d"): "missing-export",
+        ("both", "q"): "external-reexport", ("via-out", "v"): "external-reexport", **chain,
+    }
+    assert unresolved_exports(exports.limit(0), export_closure(exports.limit(0))).count() == 0
