@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.plans import delta, diagnoses, evidence, lifecycles, packets, relational, scripts
+from evidentia.plans import delta, diagnoses, evidence, lifecycles, packets, relational, scripts, settings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (delta, relational, evidence, lifecycles, diagnoses, packets, scripts):
+for module in (delta, relational, evidence, lifecycles, diagnoses, packets, scripts, settings):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
