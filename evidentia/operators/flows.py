@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.fingerprints import fingerprint
 from evidentia.functions.lineage import cut
 
 
@@ -47,8 +48,8 @@ def project_flows(entries: DataFrame, nodes: DataFrame, edges: DataFrame, caps:
         steps = steps.unionByName(level)
         if depth == caps.depth:
             break
-        # The last step and the edges so far of every flow that may go on.
-        at = steps.groupBy("entry").agg(F.max("position").alias("last"), F.sum("degree").alias("edges"))
+        # The last step and the edges so far of every flow that may go on: both are those of its level's last step.
+        at = level.groupBy("entry").agg(F.max("position").alias("last"), F.max(F.col("before") + F.col("degree")).alias("edges"))
         follow = level.where(F.col("position") < caps.steps).select("entry", "node", "position", "before").join(out, F.col("node") == F.col("src"))
         # An edge beyond the cap is not followed.
         follow = follow.where(F.col("before") + F.col("n") <= caps.edges)
@@ -70,3 +71,18 @@ def project_flows(entries: DataFrame, nodes: DataFrame, edges: DataFrame, caps:
     omissions = F.filter(F.array(*[F.when(F.col(c), F.lit(f"flow {name} capped at {n}")) for name, c, n in caps_met]), lambda o: o.isNotNull())
     flows = sums.withColumn("omissions", omissions).select("entry", "n_steps", "n_edges", F.when(F.size("omissions") > 0, "truncated").otherwise("complete").alias("status"), "omissions")
     return steps.where(inside).select("entry", "position", "node", "role", "depth"), flows
+
+
+def flow_fingerprints(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entry, n_inner, fingerprint) of the flows with ``steps``: the followed kinds of edges between two of their steps, and a hash of steps and edges.
+
+    A flow has no more steps than its cap, so its ordered list is one short row. Edges are summed as whole numbers of 64 bits of their
+    digests (wrapping never happens in 38 digits), which combines before the shuffle.
+    """
+    inside = lambda side: steps.where("position > 0").select("entry", F.col("node").alias(side))
+    inner = edges.where("kind in ('calls', 'constructs')").select("src", "dst", "kind", "evidence").distinct().join(inside("src"), "src").join(inside("dst"), ["entry", "dst"])
+    digest = F.conv(F.substring(fingerprint("flow-edge", "src", "kind", "dst", "evidence"), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = inner.groupBy("entry").agg(F.count("*").alias("n_inner"), F.sum(digest).alias("sum"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda s: s["node"])
+    rows = steps.groupBy("entry").agg(order.alias("nodes")).join(sums, "entry", "left")
+    return rows.select("entry", F.coalesce("n_inner", F.lit(0)).alias("n_inner"), fingerprint("flow", F.array_join("nodes", "\0"), F.coalesce("sum", F.lit(0))).alias("fingerprint"))

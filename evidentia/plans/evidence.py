@@ -65,6 +65,16 @@ def _store(spark: SparkSession, sf_dir: str) -> references.Store:
     return references.Store(state, spark.sql(_OBSERVATIONS), _rows(spark, sf_dir, _NODES, "orders"), _rows(spark, sf_dir, _SOURCES, "customer"), _rows(spark, sf_dir, _FLOWS, "part"))
 
 
+FLOW_CAPS = flows.Caps(steps=48, edges=72, depth=4)
+# Layers, so that no node is met on two levels: customer, order, part, supplier, nation, region.
+_CALLS = """select distinct src, dst, kind, evidence from (
+    select concat('c', cast(o_custkey as string)) as src, concat('o', cast(o_orderkey as string)) as dst, case when o_totalprice < 250000 then 'calls' else 'constructs' end as kind, o_orderpriority as evidence from orders
+    union all select concat('o', cast(l_orderkey as string)), concat('p', cast(l_partkey as string)), case when l_linenumber < 3 then 'calls' else 'constructs' end, l_returnflag from lineitem where l_quantity > 35
+    union all select concat('p', cast(l_partkey as string)), concat('s', cast(l_suppkey as string)), case when l_discount < 0.05 then 'calls' else 'imports' end, l_returnflag from lineitem where l_quantity < 8
+    union all select concat('s', cast(s_suppkey as string)), concat('n', cast(s_nationkey as string)), 'constructs', '' from supplier where s_acctbal < 1000
+    union all select concat('n', cast(n_nationkey as string)), concat('r', cast(n_regionkey as string)), 'calls', '' from nation) as x"""
+
+
 def context_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     contracts = references.Contracts("node", "node-1", "file", "file-1")
     out = references.context_freshness(_rows(spark, sf_dir, _REFERENCES, "orders", "customer"), _store(spark, sf_dir), contracts)
@@ -83,19 +93,25 @@ def chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.chain_status(_rows(spark, sf_dir, _EVENTS, "conversations"))
 
 
-def ordered_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows from every supplier over the parts and suppliers of all lines: steps in order."""
-    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), "l_returnflag", "l_linenumber")
-    kind = F.when(F.col("l_linenumber") % 2 == 0, "constructs").otherwise("calls")
-    down = lines.select(F.col("s").alias("src"), F.col("p").alias("dst"), kind.alias("kind"), F.col("l_returnflag").alias("evidence"))
-    up = lines.where("l_linenumber = 1").select(F.col("p").alias("src"), F.col("s").alias("dst"), kind.alias("kind"), F.col("l_returnflag").alias("evidence"))
-    edges = down.unionByName(up).distinct()
+def _flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges = _rows(spark, sf_dir, _CALLS, "orders", "lineitem", "supplier", "nation")
     nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    starts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("entry:"), F.col("s_suppkey").cast("string")).alias("entry"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target"))
-    steps, totals = flows.project_flows(starts, nodes, edges)
+    starts = _rows(spark, sf_dir, "select concat('entry:', cast(c_custkey as string)) as entry, concat('c', cast(c_custkey as string)) as target from customer", "customer")
+    return *flows.project_flows(starts, nodes, edges, FLOW_CAPS), edges
+
+
+def ordered_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows from every customer over orders, parts, suppliers, nations and regions: steps in order, and which caps ended them."""
+    steps, totals, _ = _flows(spark, sf_dir)
     return steps.join(totals.select("entry", "n_steps", "n_edges", "status", F.array_join("omissions", ",").alias("omissions")), "entry")
 
 
+def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every flow the number of edges between its steps."""
+    steps, _, edges = _flows(spark, sf_dir)
+    return flows.flow_fingerprints(steps, edges).select("entry", "n_inner")
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of two categories between the two graph versions: files by hash, nodes by fingerprint."""
     both = _rows(spark, sf_dir, f"select 'node' as category, graph_version, node_id as key, fingerprint from ({_NODES}) union all select 'source', graph_version, path, hash from ({_SOURCES}) where graph_version = 1 or path not like '%4'", "orders", "customer")
@@ -180,10 +196,25 @@ _CHANGES = f"""with v as (select 'node' as category, graph_version as v, node_id
 """
 
 NAMES = (
-    "context_freshness flow_freshness alias_imports chain_check ordered_flows observation_delta observation_changes graph_reuse node_fingerprints graph_identity value_validation entry_targets good_state_applicability insert_or_ignore"
+    "context_freshness flow_freshness alias_imports chain_check ordered_flows flow_edges observation_delta observation_changes graph_reuse node_fingerprints graph_identity value_validation entry_targets good_state_applicability insert_or_ignore"
 ).split()
+_WALKS = f"""with recursive e as ({_DUCK(_CALLS)}), o as (select src, dst, row_number() over (partition by src order by kind, dst, evidence) as n from e where kind in ('calls', 'constructs')), g as (select src, count(*) as degree from o group by src),
+  k as (select src as id from e union select dst from e),
+  b(entry, node, depth, place) as (select 'entry:' || c_custkey, 'c' || c_custkey, 0, cast(1 as bigint) from customer where 'c' || c_custkey in (select id from k)
+    union all select entry, node, depth + 1, row_number() over (partition by entry order by s) from (select b.entry, o.dst as node, b.depth, min((b.place, o.n)) as s from b join o on o.src = b.node where b.depth < {FLOW_CAPS.depth} group by all)),
+  p as (select b.*, row_number() over (partition by entry order by depth, place) as position, case when depth < {FLOW_CAPS.depth} then coalesce(degree, 0) else 0 end as degree from b left join g on g.src = b.node),
+  q as (select *, coalesce(sum(degree) over (partition by entry order by position rows between unbounded preceding and 1 preceding), 0) as before from p),
+  i as (select * from q where before < {FLOW_CAPS.edges} and position < {FLOW_CAPS.steps}),
+  m as (select distinct entry from q where before < {FLOW_CAPS.edges} and position = {FLOW_CAPS.steps}),
+  t as (select i.entry, count(*) + 1 as n_steps, sum(least(degree, {FLOW_CAPS.edges} - before)) as n_edges, concat_ws(',', case when bool_or(depth >= {FLOW_CAPS.depth}) then 'flow depth capped at {FLOW_CAPS.depth}' end,
+      case when bool_or(before + degree > {FLOW_CAPS.edges}) then 'flow edges capped at {FLOW_CAPS.edges}' end, case when bool_or(m.entry is not null) then 'flow steps capped at {FLOW_CAPS.steps}' end) as omissions from i left join m on m.entry = i.entry group by i.entry),
+  z as (select 'entry:' || c_custkey as entry, 0 as position, 'entry:' || c_custkey as node, 'entry' as role, 0 as depth from customer union all select entry, position, node, case when position = 1 then 'target' else 'callee' end, depth from i)"""
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLES = {
+    "ordered_flows": _WALKS + """ select z.entry, cast(position as integer) as position, node, role, depth, cast(coalesce(n_steps, 1) as bigint) as n_steps, cast(coalesce(n_edges, 0) as bigint) as n_edges,
+      case when coalesce(omissions, '') = '' then 'complete' else 'truncated' end as status, coalesce(omissions, '') as omissions from z left join t on t.entry = z.entry""",
+    "flow_edges": _WALKS + """, w as (select x.entry, count(*) as n from z x join e on e.src = x.node join z y on y.entry = x.entry and y.node = e.dst where kind in ('calls', 'constructs') and x.position > 0 and y.position > 0 group by x.entry)
+      select distinct z.entry, coalesce(n, 0) as n_inner from z left join w on w.entry = z.entry""",
     "entry_targets": f"""with e as ({_DUCK(_ENTRIES)}), k as ({_DUCK(_KNOWN)}), t as (select *, p_partkey % 9 as c, case p_partkey % 9 when 0 then target[3:] when 1 then replace(target, 'x/../', '') else target end as n from e),
       m as (select p_partkey, min(x.i) as i, min_by(n || x.suffix, x.i) as path from t join (values (0, ''), (1, '.ts'), (2, '.tsx'), (3, '/index.ts'), (4, '/index.tsx'), (5, '.d.ts'), (6, '/index.d.ts')) as x(i, suffix) on i in (0, 5, 6) or c <> 1
         join k on k.path = n || x.suffix where c in (0, 1, 6, 7) group by p_partkey)

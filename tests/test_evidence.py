@@ -57,6 +57,16 @@ def test_flows_match_a_plain_walk(spark, caps):
         assert sums[entry].n_steps == len(nodes) + 1 and sums[entry].status == ("truncated" if omissions else "complete")
 
 
+def test_fingerprints_of_flows(spark):
+    steps = spark.createDataFrame([(e, i, n) for e, line in {"a": "aST", "b": "bST", "c": "cTS", "d": "dSU", "e": "e"}.items() for i, n in enumerate(line)], "entry string, position int, node string")
+    edges = [("S", "T", "calls", "x"), ("S", "T", "calls", "x"), ("S", "T", "calls", "y"), ("T", "T", "constructs", "x"), ("S", "T", "declares", "x"), ("T", "V", "calls", "x"), ("a", "S", "calls", "x")]
+    make = lambda rows: {r.entry: (r.n_inner, r.fingerprint) for r in flows.flow_fingerprints(steps.where("position > 0 or entry = 'e'"), spark.createDataFrame(rows, "src string, dst string, kind string, evidence string")).collect()}
+    got, less = make(edges), make(edges[1:2] + edges[3:])
+    assert {k: n for k, (n, _) in got.items()} == {"a": 3, "b": 3, "c": 3, "d": 0, "e": 0}
+    assert got["a"] == got["b"] != got["c"] and len({f for _, f in got.values()}) == 4
+    assert less["a"][0] == 2 and less["a"][1] != got["a"][1] and less["d"] == got["d"]
+
+
 def test_flows_of_empty_tables(spark):
     empty = lambda schema: spark.createDataFrame([], schema)
     steps, totals = flows.project_flows(empty("entry string, target string"), empty("id string"), empty("src string, dst string, kind string, evidence string"))
