@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia.plans import continuities, delta, diagnoses, evidence, lifecycles, packets, relational, scripts, settings
+from evidentia.plans import commands, continuities, delta, diagnoses, evidence, lifecycles, packets, relational, scripts, settings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (delta, relational, evidence, lifecycles, diagnoses, packets, scripts, settings, continuities):
+for module in (delta, relational, evidence, lifecycles, diagnoses, packets, scripts, settings, continuities, commands):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
