@@ -12,7 +12,7 @@ from evidentia.operators import ancestry, continuity
 from evidentia.tables import table
 
 LIMITS = continuity.Limits(paths=60, nodes=10, edges=12, flows=3)
-# What follows reads alike in Spark and in DuckDB.
+# What follows reads alike in Spark and in DuckDB, but for the lateral views.
 _TREE = """select commit, case when n % 4 = 0 then third else previous end as parent from (select o_orderkey as commit, row_number() over w as n, lag(o_orderkey, 1) over w as previous, lag(o_orderkey, 3) over w as third
   from orders window w as (partition by o_custkey order by o_orderkey)) as x"""
 _PAIRS = """select o_orderkey as a, o_orderkey as b from orders union select o_orderkey, o_orderkey + 1 from orders
@@ -23,13 +23,13 @@ _PARTS = {
     "snapshots": """select concat('r', cast(v as string)) as revision, case when v % 13 = 7 then 'q' else 'p' end as project, case when v = 9 then null when v = 17 then 'fork' else 'i' end as repository,
       case when v = 21 then null when v >= 31 then 'k2' else 'k1' end as contract, v % 6 = 2 as truncated from (select distinct o_orderkey % 40 as v from orders) as x where v <> 25""",
     "files": """select concat('r', cast((o_orderkey + s) % 40 as string)) as revision, concat('src/c', cast(o_custkey % 400 as string), '.ts') as path, concat('h', cast(max(o_orderkey) % 3 as string)) as hash
-      from orders cross join (select 0 as s union all select 1 union all select 2) as y group by (o_orderkey + s) % 40, o_custkey % 400""",
+      from orders lateral view explode(array(0, 1, 2)) y as s group by (o_orderkey + s) % 40, o_custkey % 400""",
     "nodes": """select concat('r', cast((o_orderkey + s) % 40 as string)) as revision, concat('n', cast(o_custkey as string)) as node, concat('kind', cast(o_custkey % 3 as string)) as kind,
-      case when max(o_orderkey) % 7 = 0 then '' else concat('f', cast(max(o_orderkey) % 4 as string)) end as fingerprint from orders cross join (select 0 as s union all select 1 union all select 2) as y group by (o_orderkey + s) % 40, o_custkey""",
+      case when max(o_orderkey) % 7 = 0 then '' else concat('f', cast(max(o_orderkey) % 4 as string)) end as fingerprint from orders lateral view explode(array(0, 1, 2)) y as s group by (o_orderkey + s) % 40, o_custkey""",
     "edges": """select concat('r', cast((l_orderkey + s) % 40 as string)) as revision, concat('n', cast(o_custkey as string)) as src, concat('n', cast(l_partkey % 1000 as string)) as dst, concat('e', cast(l_linenumber % 3 as string)) as kind
-      from lineitem join orders on o_orderkey = l_orderkey cross join (select 0 as s union all select 1) as y""",
+      from lineitem join orders on o_orderkey = l_orderkey lateral view explode(array(0, 1)) y as s""",
     "flows": """select distinct concat('r', cast(v as string)) as revision, concat('F', cast(l_suppkey as string)) as flow, concat('n', cast(o_custkey as string)) as node, concat('p', cast(max(l_orderkey) over (partition by v, l_suppkey) % 3 as string)) as fingerprint
-      from (select (l_orderkey + s) % 40 as v, l_suppkey, l_orderkey, o_custkey from lineitem join orders on o_orderkey = l_orderkey cross join (select 0 as s union all select 1) as y) as x""",
+      from (select (l_orderkey + s) % 40 as v, l_suppkey, l_orderkey, o_custkey from lineitem join orders on o_orderkey = l_orderkey lateral view explode(array(0, 1)) y as s) as x""",
     "questions": """select concat('q', cast(c_custkey as string)) as question, 'p' as project, case when c_custkey % 31 = 0 then 'q' else 'p' end as origin_project, case when c_custkey % 37 <> 0 then 'i' end as repository, c_custkey % 29 = 0 as dirty,
       case c_custkey % 5 when 0 then concat('r', cast((c_custkey + 35) % 40 as string)) when 1 then concat('r', cast((c_custkey + 39) % 40 as string)) end as from_revision,
       case when c_custkey % 17 <> 0 then concat('r', cast(c_custkey % 40 as string)) end as to_revision, 'r39' as head_revision, concat('n', cast(c_custkey as string)) as node, c_custkey % 4 <> 0 as current from customer""",
@@ -57,7 +57,7 @@ def continuity_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _continuity(spark, sf_dir)[1].withColumn("key", F.translate("key", "\0", " "))
 
 
-_DUCK = lambda text: text.replace("as string)", "as varchar)")
+_DUCK = lambda text: text.replace("as string)", "as varchar)").replace("lateral view explode(array(0, 1, 2)) y as s", "cross join (values (0), (1), (2)) as y(s)").replace("lateral view explode(array(0, 1)) y as s", "cross join (values (0), (1)) as y(s)")
 _SIDES = lambda name, key, value, node: f"""{name}_b as (select p.f, p.t{node}, {key} as key, {value} as value from asks p join {name} x on x.revision = p.f{node and " and x.node = p.node"}),
   {name}_a as (select p.f, p.t{node}, {key} as key, {value} as value from asks p join {name} x on x.revision = p.t{node and " and x.node = p.node"}),
   {name}_c as (select coalesce(b.f, a.f) as f, coalesce(b.t, a.t) as t{node and ", coalesce(b.node, a.node) as node"}, coalesce(b.key, a.key) as key, coalesce(b.value, a.value) as value, case when b.key is null then 'added' when a.key is null then 'removed' else 'changed' end as status
