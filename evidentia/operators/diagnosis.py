@@ -8,10 +8,12 @@ ever rebuilt, and one pass answers any number of questions. A rank is a signal o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.lineage import cut
 from evidentia.functions.paths import is_typescript
 
 # What a candidate starts with, what a hit adds once, what each hit adds, and the reasons they give.
@@ -52,6 +54,14 @@ def changes(intervals: DataFrame, keys: Sequence[str], *values: str) -> DataFram
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def _path_sets(moved: DataFrame) -> DataFrame:
+    """version, paths (sorted, distinct), n: how many changed edges (src, dst) have their ends at just these paths."""
+    # The places of two nodes at one version: two, unless files share a node.
+    places = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("src_path", "dst_path")))))
+    edges = moved.repartition("version", "src", "dst").groupBy("version", "src", "dst").agg(places.alias("paths"))
+    return edges.groupBy("version", "paths").agg(F.count("*").alias("n"))
+
+
 def _sums(rows: DataFrame, **flags: Column) -> DataFrame:
     """context, version and a count for every kind of hit, zero where it isn't given."""
     return rows.select("context", "version", *[flags.get(n, F.lit(0)).cast("long").alias(n) for n in REASONS])
@@ -84,23 +94,34 @@ def rank_history(
         F.greatest(F.col("good_version"), F.col("head_version") - max_commits).alias("after_version"), F.when(gate == "confirmed", length).otherwise(0).alias("length"),
     )
     open_ = gated.where("status = 'confirmed'").select("context", "after_version", "head_version", "by_flow")
-    roles = focus.groupBy("context", "path").agg(F.max("in_focus").alias("in_focus")).join(open_, "context")
+    roles = cut(focus.groupBy("context", "path").agg(F.max("in_focus").alias("in_focus")).join(open_, "context"))
     in_range = (F.col("version") > F.col("after_version")) & (F.col("version") <= F.col("head_version"))
     near, far = F.col("in_focus").cast("int"), (~F.col("in_focus")).cast("int")
 
     # Paths that count: sources, and the manifest for questions about flows.
     touched = changed_paths.select("version", "path").distinct()
     source = is_typescript(F.col("path"))
-    hit = touched.where(source | (F.col("path") == MANIFEST)).join(roles, "path").where(in_range & (is_typescript(F.col("path")) | F.col("by_flow")))
-    paths = _sums(hit, focus_path=near, cone_path=F.lit(1))
-    file_hits = changes(files, ["path"], "hash").select("version", "path").join(roles, "path").where(in_range)
-    nodes = _sums(file_hits, focus_file=near, cone_file=far)
-
-    kept = edges.where(F.col("kind").isin(*EDGE_KINDS))
-    moved = changes(kept, ["src", "dst", "kind", "src_path", "dst_path"]).select("version", "src", "dst", "src_path", "dst_path").distinct()
-    ends = moved.select("version", "src", "dst", F.explode(F.array_distinct(F.array("src_path", "dst_path"))).alias("path"))
-    edge_hits = ends.join(roles, "path").where(in_range).groupBy("context", "version", "src", "dst").agg(F.max("in_focus").alias("in_focus"))
-    links = _sums(edge_hits, focus_edge=near, cone_edge=far)
+    # Merged intervals of an edge don't touch: each start and each end is a change.
+    bounds = F.explode(F.array("valid_from", "valid_to")).alias("version")
+    moved = edges.where(F.col("kind").isin(*EDGE_KINDS)).select(bounds, "src", "dst", "src_path", "dst_path").where("version > 0")
+    sets = cut(_path_sets(moved))
+    # What happens to a path at a version is summed up before any context asks for it.
+    none = F.lit(0).cast("long")
+    parts = [
+        touched.where(source | (F.col("path") == MANIFEST)).select("version", "path", F.lit(1).cast("long").alias("touched"), none.alias("file"), none.alias("edges")),
+        changes(files, ["path"], "hash").select("version", "path", none.alias("touched"), F.lit(1).cast("long").alias("file"), none.alias("edges")),
+        sets.select("version", F.explode("paths").alias("path"), none.alias("touched"), none.alias("file"), F.col("n").alias("edges")),
+    ]
+    at_paths = reduce(DataFrame.unionByName, parts).groupBy("version", "path").agg(*[F.sum(c).alias(c) for c in ("touched", "file", "edges")])
+    hit = at_paths.join(roles, "path").where(in_range)
+    counts = F.col("touched") * (is_typescript(F.col("path")) | F.col("by_flow")).cast("int")
+    paths = _sums(hit, focus_path=near * counts, cone_path=counts, focus_file=near * F.col("file"), cone_file=far * F.col("file"), focus_edge=near * F.col("edges"), cone_edge=far * F.col("edges"))
+    # An edge with an end in the focus is none of the cone's: it is taken off at each of its ends there. What is left is above zero
+    # exactly where an edge has ends in the cone and none in the focus, so edges are never paired with the contexts of their cones.
+    ends = sets.where(F.size("paths") > 1).select("version", "paths", "n", F.explode("paths").alias("path"))
+    own = ends.join(roles.where("in_focus"), "path").where(in_range).select("context", "version", "paths", "n").distinct()
+    own = own.select("context", "version", "n", F.explode("paths").alias("path")).join(roles.where("not in_focus").select("context", "path"), ["context", "path"])
+    links = _sums(own, cone_edge=-F.col("n"))
 
     shifted = changes(flows, ["flow"], "fingerprint", "entry", "entry_record", "tests")
     differs = lambda f: ~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}"))
@@ -111,10 +132,7 @@ def rank_history(
     # An entry's record may change while the flow keeps its entry; that counts once a commit, and only then.
     records = flow_hits.select("context", "version", *[F.lit(0).cast("long").alias(n) for n in REASONS], F.col("r").cast("int").alias("record"))
 
-    none = F.lit(0)
-    all_hits = paths.withColumn("record", none)
-    for more in (nodes.withColumn("record", none), links.withColumn("record", none), moves, records):
-        all_hits = all_hits.unionByName(more)
+    all_hits = reduce(DataFrame.unionByName, [paths.withColumn("record", F.lit(0)), links.withColumn("record", F.lit(0)), moves, records])
     sums = all_hits.groupBy("context", "version").agg(*[F.sum(n).alias(n) for n in REASONS], F.max("record").alias("record"))
     sums = sums.withColumn("entry", F.when((F.col("entry") == 0) & (F.col("record") > 0), 1).otherwise(F.col("entry")))
     score = F.lit(BASE)
@@ -136,17 +154,18 @@ def rank_history(
     each = counted.withColumn("by_flow", F.explode(F.when(F.col("manifest"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     first = each.withColumn("place", place).where(F.col("place") <= max_paths).join(newest, "path", "left").join(then, ["path", "version"], "left")
     listed = first.groupBy("version", "by_flow").agg(F.array_sort(F.collect_list(F.struct("path", "now", "then"))).alias("listed"))
-    known = sizes.join(listed, ["version", "by_flow"])
     gone = F.exists("listed", lambda p: p["now"].isNull())
     stays = F.exists("listed", lambda p: p["now"].isNotNull())
     differs_now = F.exists("listed", lambda p: p["now"].isNotNull() & ~p["now"].eqNullSafe(p["then"]))
     retention = F.when(~stays, "removed").when(differs_now | gone, "changed").otherwise("retained")
-    fates = known.select("version", "by_flow", "n_all", "n_paths", F.transform("listed", lambda p: p["path"]).alias("paths"), retention.alias("retention"))
-    found = scored.join(open_.select("context", "by_flow"), "context").join(fates, ["version", "by_flow"]).join(commits, "version")
+    fates = listed.select("version", "by_flow", F.transform("listed", lambda p: p["path"]).alias("paths"), retention.alias("retention"))
+    found = scored.join(open_.select("context", "by_flow"), "context").join(sizes.where("n_paths > 0"), ["version", "by_flow"]).join(commits, "version")
 
+    # Lists of paths are joined to what the bound keeps only.
     rank = F.row_number().over(Window.partitionBy("context").orderBy(F.desc("score"), "commit"))
     given = F.concat("reasons", F.array(F.lit(AFTER))).alias("reasons")
-    ranked = found.select("context", rank.alias("rank"), "commit", "version", "score", given, "n_paths", "paths", "retention")
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= max_candidates).join(fates, ["version", "by_flow"])
+    ranked = ranked.select("context", "rank", "commit", "version", "score", given, "n_paths", "paths", "retention")
     note = F.when(F.col("n_paths") > max_paths, f" paths capped at {max_paths}").when(F.col("n_all") > F.col("n_paths"), " contained non-TypeScript paths omitted from candidate evidence")
     # At most ``max_commits`` notes a context.
     totals = found.groupBy("context").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.concat(F.lit("commit "), "commit", note))).alias("cut"))
@@ -157,4 +176,4 @@ def rank_history(
         "context", "status", F.least("length", F.lit(max_commits)).alias("commits_inspected"), "total",
         ((F.col("length") > max_commits) | (F.col("total") > max_candidates)).alias("truncated"), F.concat(F.coalesce("cut", F.array().cast("array<string>")), capped).alias("omissions"),
     )
-    return ranked.where(F.col("rank") <= max_candidates), summary
+    return ranked, summary

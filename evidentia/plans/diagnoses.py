@@ -35,7 +35,7 @@ def _diagnosis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for name in ("orders", "lineitem", "customer"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     read = lambda what: spark.sql(f"with {_COMMON} select {what}")
-    edges = cut(diagnosis.merge_intervals(read("src, dst, kind, src_path, dst_path, valid_from, valid_to from raw"), ["src", "dst", "kind", "src_path", "dst_path"]))
+    edges = cut(diagnosis.merge_intervals(read("src, dst, kind, src_path, dst_path, valid_from, valid_to from raw where kind <> 'declares'"), ["src", "dst", "kind", "src_path", "dst_path"]))
     files = read("path, hash, valid_from, valid_to from files where path like 'src/%'")
     focus = cut(read("* from focus"))
     tables = [read(f"* from {t}") for t in ("contexts", "commits", "touched")]
