@@ -73,15 +73,29 @@ def event_errors(candidates: DataFrame, events: DataFrame, schema: str) -> DataF
     return _first(rows, reason, "position", "event")
 
 
+def _setters() -> dict[str, Column]:
+    none = F.struct(F.lit(None).cast("string").alias("candidate"))
+    return {
+        "pending": F.when(F.col("type") == "PROPOSE", F.struct("candidate")).when(F.col("type").isin("CONFIRM", "REJECT"), none),
+        "active": F.when(F.col("type") == "CONFIRM", F.struct("candidate")).when(F.col("type") == "REVOKE", none),
+    }
+
+
+def states_inside(events: DataFrame) -> DataFrame:
+    """The columns of :func:`states_before`, for contexts of few events each."""
+    rows = events.withColumns({f"_{n}": s for n, s in _setters().items()})
+    before = Window.partitionBy("context").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    copy = F.row_number().over(Window.partitionBy("context", "candidate").orderBy("position"))
+    rows = rows.select(*events.columns, *[F.last(f"_{n}", ignorenulls=True).over(before)["candidate"].alias(n) for n in _setters()])
+    return rows.withColumn("mentioned", copy > 1)
+
+
 def states_before(events: DataFrame, stretch: int = 65_536) -> DataFrame:
     """Adds pending, active (candidates, null for none) and mentioned (whether an earlier event names the candidate).
 
     ``events``: context, event, position (gapless from 0), type, candidate. ``stretch`` positions of a context are one group.
     """
-    setters = {
-        "pending": F.when(F.col("type") == "PROPOSE", F.struct("candidate")).when(F.col("type").isin("CONFIRM", "REJECT"), F.struct(F.lit(None).cast("string").alias("candidate"))),
-        "active": F.when(F.col("type") == "CONFIRM", F.struct("candidate")).when(F.col("type") == "REVOKE", F.struct(F.lit(None).cast("string").alias("candidate"))),
-    }
+    setters = _setters()
     rows = events.withColumn("_stretch", F.floor(F.col("position") / stretch)).withColumns({f"_{n}": s for n, s in setters.items()})
     inside = Window.partitionBy("context", "_stretch").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy("context", "_stretch").agg(*[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("position"))).alias(f"_{n}") for n in setters])
@@ -124,12 +138,20 @@ def reduce_lifecycles(
     wrong = candidate_errors(candidates, candidate_schema)
     wrong = cut(wrong.unionByName(event_errors(candidates, events, event_schema).join(wrong, "context", "left_anti")))
     sound = events.join(wrong, "context", "left_anti")
-    status, positions = chain_positions(sound.select(F.col("context").alias("key"), "event", "predecessor"))
+    kept = ("type", "candidate", "replaces")
+    status, positions = chain_positions(sound.select(F.col("context").alias("key"), "event", "predecessor", *kept), *kept)
+    status = cut(status)
     reason = F.element_at(F.create_map(*[F.lit(x) for pair in CHAIN.items() for x in pair]), F.col("status"))
     broken = status.where("status <> 'linear'").select(F.col("key").alias("context"), reason.alias("reason"))
 
-    ordered = positions.select(F.col("key").alias("context"), "event", "position").join(sound.drop("position"), ["context", "event"])
-    ordered = cut(states_before(ordered.select("context", "event", "position", "type", "candidate", "replaces"), stretch))
+    # What is before an event of a context of one stretch takes no join.
+    ordered = positions.withColumnRenamed("key", "context")
+    large = status.where(F.col("n_events") > stretch).select(F.col("key").alias("context"))
+    if large.isEmpty():
+        ordered = states_inside(ordered)
+    else:
+        ordered = states_inside(ordered.join(large, "context", "left_anti")).unionByName(states_before(ordered.join(large, "context", "left_semi"), stretch))
+    ordered = cut(ordered)
     faults = _first(ordered, violation(ordered), "position")
     # After the last event: what its own type sets, else what was before it.
     last = ordered.groupBy("context").agg(F.max_by(F.struct("event", "type", "candidate", "pending", "active"), "position").alias("l"), F.count("*").alias("n_events"))
