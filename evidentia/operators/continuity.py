@@ -52,6 +52,19 @@ def judge(questions: DataFrame, commits: DataFrame, snapshots: DataFrame) -> Dat
     return rows.select("question", "node", "current", F.col("from").alias("from_revision"), F.col("to").alias("to_revision"), reason.alias("reason"), (reason.isNull() & cut_off).alias("truncated"))
 
 
+def near(rows: DataFrame, wanted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not among ``wanted``; never without others.
+
+    2^24 bits tell the hashes that are wanted, 2 MB however many rows there are, so they are broadcast and the rest isn't shuffled.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 24))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND((1 << 15) - 1)
+    bits = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))), F.lit(2)) == 1
+    return rows.join(F.broadcast(bits), (bucket == F.col("_bucket")) & is_set, "left_semi")
+
+
 def changes(asks: DataFrame, rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """from_revision, to_revision, ``by``, key, status (added, removed, changed) of ``rows`` (revision, ``by``, key, value) for distinct ``asks``.
 
@@ -61,6 +74,8 @@ def changes(asks: DataFrame, rows: DataFrame, by: tuple[str, ...] = ()) -> DataF
     pair = ("from_revision", "to_revision", *by)
     sides = asks.select(*pair, F.explode(F.array(F.struct(F.lit(True).alias("before"), F.col("from_revision").alias("revision")), F.struct(F.lit(False).alias("before"), F.col("to_revision").alias("revision")))).alias("s")).select(*pair, "s.*")
     held = F.struct(F.coalesce(F.col("value"), F.lit("")).alias("value"), F.col("value").isNull().alias("none"))
+    if by:
+        rows = near(rows, sides, ("revision", *by))
     both = sides.join(rows, ["revision", *by]).groupBy(*pair, "key").agg(F.min(F.when(F.col("before"), held)).alias("b"), F.min(F.when(~F.col("before"), held)).alias("a"))
     status = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
     return both.select(*pair, "key", status.alias("status"), F.when(F.col("b").isNull() | F.col("a").isNull(), F.coalesce("b.value", "a.value")).alias("value")).where("status is not null")
