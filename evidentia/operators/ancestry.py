@@ -51,24 +51,34 @@ def relate(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     end = lambda side: depths.select(F.col("commit").alias(side), F.lit(True).alias(f"{side}_known"), F.col("root").alias(f"{side}_root"), F.col("depth").alias(f"{side}_depth"))
     rows = cut(pairs.select("a", "b").distinct().join(end("a"), "a", "left").join(end("b"), "b", "left"))
     kin = F.col("a_root") == F.col("b_root")
-    open_pairs = rows.where(kin).select("a", "b", "a_depth", "b_depth", F.col("a").alias("x"), F.col("b").alias("y"))
-    # The deeper one goes up by the bits of the difference, then both go up by halving steps while they differ.
+    # The deeper one goes up by the bits of the difference, then both go up by halving steps while they differ. Pairs of one depth
+    # skip the first part, and pairs that have met skip the second.
+    gap = F.col("a_depth") - F.col("b_depth")
+    deeper = rows.where(kin).select("a", "b", F.when(gap < 0, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(gap < 0, F.col("a")).otherwise(F.col("b")).alias("y"), F.abs(gap).alias("gap"))
+    climbing = deeper.where("gap > 0")
     for k, level in enumerate(levels):
-        bit = lambda more, less, k=k: F.coalesce((F.greatest(F.col(more) - F.col(less), F.lit(0)).bitwiseAND(1 << k)) != 0, F.lit(False))
-        open_pairs = cut(_jump(_jump(open_pairs, "x", level, bit("a_depth", "b_depth")), "y", level, bit("b_depth", "a_depth")))
-    for level in reversed(levels):
+        climbing = _jump(climbing, "x", level, F.col("gap").bitwiseAND(1 << k) != 0)
+        # One checkpoint for several joins: each level reads the one before it once.
+        if k % 4 == 3:
+            climbing = cut(climbing)
+    level_pairs = cut(climbing.unionByName(deeper.where("gap = 0")).drop("gap"))
+    met, open_pairs = level_pairs.where("x = y"), level_pairs.where("x <> y")
+    for k, level in enumerate(reversed(levels)):
         up = lambda side: level.select(F.col("commit").alias(side), F.col("ancestor").alias(f"{side}_up"))  # noqa: B023, E731
-        apart = open_pairs.join(up("x"), "x", "left").join(up("y"), "y", "left").withColumn("_go", F.coalesce((F.col("x") != F.col("y")) & (F.col("x_up") != F.col("y_up")), F.lit(False)))
+        apart = open_pairs.join(up("x"), "x", "left").join(up("y"), "y", "left").withColumn("_go", F.coalesce(F.col("x_up") != F.col("y_up"), F.lit(False)))
         move = lambda side: F.when(F.col("_go"), F.col(f"{side}_up")).otherwise(F.col(side)).alias(side)
-        open_pairs = cut(apart.select("a", "b", "a_depth", "b_depth", move("x"), move("y")))
+        open_pairs = apart.select("a", "b", move("x"), move("y"))
+        if k % 4 == 3:
+            open_pairs = cut(open_pairs)
+    open_pairs = met.unionByName(open_pairs)
     if levels:
         parent = levels[0].select(F.col("commit").alias("x"), F.col("ancestor").alias("_p"))
         open_pairs = open_pairs.join(parent, "x", "left").withColumn("common", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("_p")))
     else:
         open_pairs = open_pairs.withColumn("common", F.col("x"))
     at = depths.select(F.col("commit").alias("common"), F.col("depth").alias("_d"))
-    found = open_pairs.join(at, "common").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "common", (F.col("b_depth") - F.col("_d")).alias("ahead"), (F.col("a_depth") - F.col("_d")).alias("behind"))
-    out = rows.join(found, rows["a"].eqNullSafe(found["_a"]) & rows["b"].eqNullSafe(found["_b"]), "left")
+    found = open_pairs.join(at, "common").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "common", "_d")
+    out = rows.join(found, rows["a"].eqNullSafe(found["_a"]) & rows["b"].eqNullSafe(found["_b"]), "left").withColumns({"ahead": F.col("b_depth") - F.col("_d"), "behind": F.col("a_depth") - F.col("_d")})
     relation = (
         F.when(F.col("a_known").isNull() | F.col("b_known").isNull(), "unknown").when(F.col("a_root").isNull() | F.col("b_root").isNull(), "cyclic").when(F.col("common").isNull(), "unrelated")
         .when(F.col("a") == F.col("b"), "same").when((F.col("behind") == 0) & (F.col("ahead") == 1), "adjacent").when(F.col("behind") == 0, "ancestor").when(F.col("ahead") == 0, "descendant").otherwise("diverged")
