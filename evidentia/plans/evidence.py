@@ -93,23 +93,26 @@ def chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.chain_status(_rows(spark, sf_dir, _EVENTS, "conversations"))
 
 
-def _flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A row for each flow, and the edges."""
     edges = _rows(spark, sf_dir, _CALLS, "orders", "lineitem", "supplier", "nation")
-    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     starts = _rows(spark, sf_dir, "select concat('entry:', cast(c_custkey as string)) as entry, concat('c', cast(c_custkey as string)) as target from customer", "customer")
-    return *flows.project_flows(starts, nodes, edges, FLOW_CAPS), edges
+    return flows.walk_flows(starts, nodes, edges, FLOW_CAPS), edges
 
 
 def ordered_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows from every customer over orders, parts, suppliers, nations and regions: steps in order, and which caps ended them."""
-    steps, totals, _ = _flows(spark, sf_dir)
-    return steps.join(totals.select("entry", "n_steps", "n_edges", "status", F.array_join("omissions", ",").alias("omissions")), "entry")
+    rows, _ = _flows(spark, sf_dir)
+    rows = rows.select("entry", F.posexplode("steps").alias("position", "s"), "n_steps", "n_edges", "status", F.array_join("omissions", ",").alias("omissions"))
+    return rows.select("entry", "position", "s.*", "n_steps", "n_edges", "status", "omissions")
 
 
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every flow the number of edges between its steps."""
-    steps, _, edges = _flows(spark, sf_dir)
-    return flows.flow_fingerprints(steps, edges).select("entry", "n_inner")
+    rows, edges = _flows(spark, sf_dir)
+    nodes = F.transform("steps", lambda s: s["node"])
+    return flows.listed_fingerprints(rows.select("entry", nodes.alias("nodes"), F.slice(nodes, 2, FLOW_CAPS.steps).alias("inner")), edges).select("entry", "n_inner")
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,14 @@ def test_flows_match_a_plain_walk(spark, caps):
         assert sums[entry].n_steps == len(nodes) + 1 and sums[entry].status == ("truncated" if omissions else "complete")
 
 
+def test_edges_beyond_the_last_depth_count_nothing(spark):
+    edges = [("a", "b", "calls", ""), ("a", "c", "calls", ""), *[("b", f"x{i}", "calls", "") for i in range(9)]]
+    nodes = {x for e in edges for x in e[:2]}
+    rows = spark.createDataFrame(edges, "src string, dst string, kind string, evidence string"), flows.Caps(256, 5, 1)
+    steps, totals = flows.project_flows(spark.createDataFrame([("e", "a")], "entry string, target string"), spark.createDataFrame([(n,) for n in nodes], "id string"), *rows)
+    assert ([r.node for r in steps.orderBy("position").collect()][1:], totals.first().n_edges, list(totals.first().omissions)) == walk("a", nodes, edges, rows[1])
+
+
 def test_fingerprints_of_flows(spark):
     steps = spark.createDataFrame([(e, i, n) for e, line in {"a": "aST", "b": "bST", "c": "cTS", "d": "dSU", "e": "e"}.items() for i, n in enumerate(line)], "entry string, position int, node string")
     edges = [("S", "T", "calls", "x"), ("S", "T", "calls", "x"), ("S", "T", "calls", "y"), ("T", "T", "constructs", "x"), ("S", "T", "declares", "x"), ("T", "V", "calls", "x"), ("a", "S", "calls", "x")]
