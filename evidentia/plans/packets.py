@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import manifests, packets
 from evidentia.sources.versions import upsert
-from evidentia.tables import table
+from evidentia.tables import table, tasks
 
 # What follows reads alike in Spark and in DuckDB.
 _ITEMS = """select o_custkey as packet, 'candidates' as section, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) - 1 as position, 20 + length(o_orderpriority) + o_orderkey % 30 as size from orders
@@ -20,16 +20,26 @@ _FILE = """concat('{"path":"', case when o_custkey % 9 = 1 and o_orderkey % 4 =
 _BOUNDS = {"max_bytes": 1200, "max_files": 14}
 
 
+def _trimmed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items as ``_ITEMS`` has them, numbered over tasks whose number grows with the lines."""
+    orders, lines = (table(spark, sf_dir, name) for name in ("orders", "lineitem"))
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    n = tasks(orders, lines)
+    lines.select("l_orderkey", "l_linenumber", "l_partkey").repartition(n, "l_orderkey").createOrReplaceTempView("lineitem")
+    orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").repartition(n, "o_orderkey").createOrReplaceTempView("orders")
+    joined = spark.sql("select o_custkey, l_orderkey, l_linenumber, l_partkey from lineitem join orders on o_orderkey = l_orderkey").repartition(n, "o_custkey")
+    joined.createOrReplaceTempView("packet_lines")
+    spark.table("orders").repartition(n, "o_custkey").createOrReplaceTempView("packet_orders")
+    items = spark.sql(_ITEMS.replace("from lineitem join orders on o_orderkey = l_orderkey", "from packet_lines").replace("from orders", "from packet_orders"))
+    return packets.trim(spark.sql(_ENVELOPES), items, 800, partitions=n)
+
+
 def packet_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("orders", "lineitem", "customer"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return packets.trim(spark.sql(_ENVELOPES), spark.sql(_ITEMS), 800)[0]
+    return _trimmed(spark, sf_dir)[0]
 
 
 def packet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("orders", "lineitem", "customer"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return packets.trim(spark.sql(_ENVELOPES), spark.sql(_ITEMS), 800)[1].withColumn("omissions", F.array_join("omissions", ","))
+    return _trimmed(spark, sf_dir)[1].withColumn("omissions", F.array_join("omissions", ","))
 
 
 def source_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

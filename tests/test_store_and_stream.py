@@ -10,6 +10,7 @@ from evidentia.operators import manifests, packets
 from evidentia.operators.sequences import Machine
 from evidentia.sources import versions
 from evidentia.streaming.lifecycle import follow
+from evidentia.tables import tasks
 
 
 def test_versions_and_replaced_partitions(spark, tmp_path):
@@ -57,6 +58,8 @@ def test_trimming_equals_popping_from_the_tails(spark, stretch):
     rows = spark.createDataFrame(items, "packet int, section string, position int, size int")
     got, summary = packets.trim(spark.createDataFrame(envelopes, "packet int, size int"), rows, 100, stretch=stretch)
     assert {tuple(r) for r in got.collect()} == kept and {r[0]: tuple(r)[1:] for r in summary.collect()} == sums
+    spread = packets.trim(spark.createDataFrame(envelopes, "packet int, size int"), rows, 100, stretch=stretch, partitions=9)
+    assert sorted(spread[0].collect()) == sorted(got.collect()) and sorted(spread[1].collect()) == sorted(summary.collect())
     assert [t.count() for t in packets.trim(spark.createDataFrame([], "packet int, size int"), rows.limit(0), 100)] == [0, 0]
     with pytest.raises(ValueError):
         packets.trim(summary, rows, 0)
@@ -89,3 +92,7 @@ def test_stream_states(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.k, r.state) for r in spark.table("states").collect()} == {(1, "active"), (2, "none")}
+
+
+def test_tasks_grow_with_the_rows(spark):
+    assert tasks(spark.range(40), spark.range(5), each=9) == 5 and tasks(spark.range(46), each=9) == 6 and tasks(spark.range(0)) == 4
