@@ -68,15 +68,19 @@ def multiset_sum(digest: Column) -> list[Column]:
     return [F.coalesce(F.sum(part(i)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"sum_{i}") for i in range(4)]
 
 
-def node_fingerprints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def node_fingerprints(nodes: DataFrame, edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id, fingerprint) of nodes (id, intrinsic): what they are, and all edges (src, dst, kind, evidence) in and out but ``declares``.
 
-    The order of edges is no part of it. An edge from a node to itself counts as outgoing, as it does once.
+    The order of edges is no part of it. An edge from a node to itself counts as outgoing, as it does once. The sums of nodes are
+    shuffled over ``partitions`` tasks if given; that number should grow with the edges, as a task holds the sums of its nodes.
     """
     links = edges.where("kind <> 'declares'")
-    out = links.select(F.col("src").alias("id"), fingerprint("out", "kind", "evidence", "dst").alias("_d"))
-    into = links.where("src <> dst").select(F.col("dst").alias("id"), fingerprint("in", "kind", "evidence", "src").alias("_d"))
-    sums = out.unionByName(into).groupBy("id").agg(*multiset_sum(F.col("_d")))
+    out = links.select(F.col("src").alias("id"), F.lit(True).alias("_out"), "kind", "evidence", F.col("dst").alias("_other"))
+    sides = out.unionByName(links.where("src <> dst").select(F.col("dst").alias("id"), F.lit(False).alias("_out"), "kind", "evidence", F.col("src").alias("_other")))
+    # Digests are longer than what they are made of, so they are made behind the shuffle where there is one for rows.
+    sides = sides.repartition(partitions, "id") if partitions else sides
+    digest = F.when(F.col("_out"), fingerprint("out", "kind", "evidence", "_other")).otherwise(fingerprint("in", "kind", "evidence", "_other"))
+    sums = sides.select("id", digest.alias("_d")).groupBy("id").agg(*multiset_sum(F.col("_d")))
     parts = [F.coalesce(f"sum_{i}", F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]
     return nodes.join(sums, "id", "left").select("id", fingerprint("node", "intrinsic", *parts).alias("fingerprint"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import validation
 from evidentia.operators import aliases, applicability, chains, entries, flows, observations, references
-from evidentia.tables import table
+from evidentia.tables import table, tasks
 
 # Two graph versions: orders as nodes, customers as files, lines as edges from an order to a part.
 _NODES = """select 1 as graph_version, cast(o_orderkey as string) as node_id, o_orderpriority as kind, concat('c', cast(o_custkey as string)) as path, concat(o_orderstatus, '-', cast(o_custkey % 500 as string)) as fingerprint
@@ -143,9 +143,11 @@ def graph_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _rows(spark, sf_dir, _EDGES, "lineitem")
+    # Lines are dealt to tasks before they are told apart; their number grows with the lines.
+    n = tasks(table(spark, sf_dir, "lineitem"), each=500_000)
+    edges = _rows(spark, sf_dir, _EDGES.replace("select distinct", "select", 1), "lineitem").repartition(n, "src", "dst").distinct()
     nodes = _rows(spark, sf_dir, "select concat('p', cast(p_partkey as string)) as id, p_type as intrinsic from part union all select concat('o', cast(o_orderkey as string)), o_orderstatus from orders", "part", "orders")
-    return observations.node_fingerprints(nodes, edges)
+    return observations.node_fingerprints(nodes, edges, n)
 
 
 def graph_identity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,12 @@ def test_flows_of_empty_tables(spark):
     assert steps.count() == 0 and totals.count() == 0
 
 
+def test_node_fingerprints_over_more_tasks(spark):
+    nodes = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "id string, intrinsic string")
+    edges = spark.createDataFrame([("a", "b", "calls", "1"), ("b", "b", "calls", None), ("b", "a", "declares", "1"), ("b", "a", "constructs", "2")], "src string, dst string, kind string, evidence string")
+    assert sorted(observations.node_fingerprints(nodes, edges, 7).collect()) == sorted(observations.node_fingerprints(nodes, edges).collect())
+
+
 def test_aliases(spark):
     rules = [("@/*", 0, "src/*"), ("@/*", 1, "lib/*"), ("@/a/*", 0, "a/*/*"), ("*.svg", 0, "assets/*"), ("exact", 0, "src/exact.ts"), ("ex*", 0, "none/*"), ("@/x*y", 0, "mid/*"), (None, 0, "src/null"), ("@/b*", 0, None)]
     known = ["src/m.ts", "lib/m.ts", "lib/only/index.ts", "a/q/q.tsx", "assets/pic", "src/exact.ts", "mid/z.d.ts"]
