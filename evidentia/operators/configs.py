@@ -204,4 +204,5 @@ def package_entries(manifests: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[D
     parts = [members("$.scripts", "script", "script-command-not-literal", True), members("$.bin", "bin", "bin-target-not-string", False), whole_bin, single("main", "entry-target-not-string"), single("module", "entry-target-not-string")]
     found = whole.select("root", F.inline(F.flatten(F.array(*[F.coalesce(p, F.array()) for p in parts])))).withColumn("s", script(F.col("command")))
     why = F.coalesce("why", F.when(F.col("s.reason") != "", F.col("s.reason")))
-    return judged, found.select("root", "kind", "key", "s.runner", F.coalesce("s.target", "target").alias("target"), why.alias("reason"))
+    # Whoever looks for targets reads the entries several times; a manifest is parsed once.
+    return judged, cut(found.select("root", "kind", "key", "s.runner", F.coalesce("s.target", "target").alias("target"), why.alias("reason")))

@@ -95,6 +95,7 @@ def test_package_entries(spark):
         ("a", "bin", "bin"): (None, "./c", None), ("a", "main", "main"): (None, "dist/a.js", None), ("a", "module", "module"): (None, None, "entry-target-not-string"),
         ("b", "bin", "one"): (None, "src/a.ts", None), ("b", "bin", "two"): (None, None, "bin-target-not-string"), ("f", "bin", "bin"): (None, None, "bin-not-string-or-object"),
     }
+    assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()  # read several times, parsed once
     files = spark.createDataFrame([("a", "src/a.ts"), ("b", "c.ts"), ("a", "b.ts")], "root string, path string")
     placed = entries.resolve_targets(found.where("reason is null").drop("reason"), files, by=("root",))
     assert {(r.root, r.key, r.path) for r in placed.collect()} == {("a", "x", "src/a.ts"), ("a", "w", "b.ts"), ("a", "bin", None), ("a", "main", None), ("b", "one", None)}
