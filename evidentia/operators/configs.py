@@ -77,32 +77,71 @@ def _parents(settings: DataFrame) -> DataFrame:
     return rows.select("*", refused.alias("refused"), F.when(refused.isNull(), named).alias("parent")).drop("_at")
 
 
-def extends_chains(settings: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(root, position, path), the root's own file at 0 and its parents after it, and (root, reason), null where a chain ends well.
+def _end_of_walk(at: Column, seen: Column, position: Column, file: Column, total: Column, max_files: int, max_bytes: int) -> Column:
+    """Why a chain ends at ``file`` (null where there is none) at the path ``at``; null where it goes on or ends well."""
+    return (
+        F.when(F.array_contains(seen, at), F.concat(F.lit(CYCLE), at)).when(position >= max_files, f"{FILES_CAPPED}{max_files}")
+        .when(file["valid"].isNull(), F.concat(F.lit(NOT_READ), at)).when(total > max_bytes, f"{BYTES_CAPPED}{max_bytes}")
+        .when(~file["valid"], F.concat(F.lit(INVALID), at)).otherwise(file["refused"])
+    )
 
-    All chains advance together, a join of their ends a level, and there are no more levels than ``max_files`` plus one. That bound
-    is the meaning of the operator; a recursive query would also be bounded in rows. A chain ends at the first of: a file that it
-    holds already, one file too many, a file that is not there, too many bytes, a file that is not valid, a parent outside.
-    """
-    files = cut(_parents(settings).select("root", F.col("path").alias("at"), "bytes", "valid", "refused", "parent"))
-    level = settings.where(F.col("path") == SETTINGS).select("root", F.lit(0).alias("position"), F.lit(SETTINGS).alias("at"), F.array().cast("array<string>").alias("seen"), F.lit(0).cast("long").alias("total"))
+
+def _walk_in_rows(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
+    """(root, visits: position, at, reason, held; in order) of roots with few files, each walked inside one row."""
+    rows = files.groupBy("root").agg(F.collect_list(F.struct("at", "bytes", "valid", "refused", "parent")).alias("files")).where(F.exists("files", lambda f: f["at"] == SETTINGS))
+    start = F.expr("struct(cast(array() as array<struct<position:int,at:string,reason:string,held:boolean>>) as visits, cast(array() as array<string>) as seen, cast(0 as bigint) as total, cast('" + SETTINGS + "' as string) as at)")
+
+    def visit(acc: Column, _: Column) -> Column:
+        def step(file: Column) -> Column:
+            total, position = acc["total"] + F.coalesce(file["bytes"], F.lit(0)), F.size(acc["seen"])
+            reason = _end_of_walk(acc["at"], acc["seen"], position, file, total, max_files, max_bytes)
+            held = (position < max_files) & file["valid"].isNotNull() & ~F.array_contains(acc["seen"], acc["at"])
+            return F.transform(F.array(reason), lambda r: F.struct(
+                F.concat(acc["visits"], F.array(F.struct(position.alias("position"), acc["at"].alias("at"), r.alias("reason"), held.alias("held")))).alias("visits"),
+                F.concat(acc["seen"], F.array(acc["at"])).alias("seen"), total.alias("total"), F.when(r.isNull(), file["parent"]).alias("at"),
+            ))[0]
+
+        # Lists of one element give a value a name, so that a file is looked up once a step.
+        return F.when(acc["at"].isNull(), acc).otherwise(F.transform(F.array(F.get(F.filter("files", lambda f: f["at"] == acc["at"]), F.lit(0))), step)[0])
+
+    return rows.select("root", F.aggregate(F.sequence(F.lit(0), F.lit(max_files)), start, visit)["visits"].alias("visits"))
+
+
+def _walk_by_levels(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
+    """(root, position, at, reason, held) of all roots of ``files`` by a join of their ends a level."""
+    level = files.where(F.col("at") == SETTINGS).select("root", F.lit(0).alias("position"), "at", F.array().cast("array<string>").alias("seen"), F.lit(0).cast("long").alias("total"))
     visits = None
     for _ in range(max_files + 1):
         total = F.col("total") + F.coalesce("bytes", F.lit(0))
-        reason = (
-            F.when(F.array_contains("seen", F.col("at")), F.concat(F.lit(CYCLE), "at")).when(F.col("position") >= max_files, f"{FILES_CAPPED}{max_files}")
-            .when(F.col("valid").isNull(), F.concat(F.lit(NOT_READ), "at")).when(total > max_bytes, f"{BYTES_CAPPED}{max_bytes}")
-            .when(~F.col("valid"), F.concat(F.lit(INVALID), "at")).otherwise(F.col("refused"))
-        )
+        reason = _end_of_walk(F.col("at"), F.col("seen"), F.col("position"), F.struct("valid", "refused"), total, max_files, max_bytes)
         visit = level.join(files, ["root", "at"], "left").select("root", "position", "at", "seen", total.alias("total"), reason.alias("reason"), "parent", F.col("valid").isNotNull().alias("there"))
         visit = cut(visit)
         visits = visit if visits is None else visits.unionByName(visit)
         level = visit.where("reason is null and parent is not null").select("root", (F.col("position") + 1).alias("position"), F.col("parent").alias("at"), F.concat("seen", F.array("at")).alias("seen"), "total")
         if level.isEmpty():
             break
-    held = visits.where((F.col("position") < max_files) & F.col("there") & ~F.array_contains("seen", F.col("at")))
-    ends = visits.groupBy("root").agg(F.max_by("reason", "position").alias("reason"))
-    return held.select("root", "position", F.col("at").alias("path")), ends
+    held = (F.col("position") < max_files) & F.col("there") & ~F.array_contains("seen", F.col("at"))
+    return visits.select("root", "position", "at", "reason", held.alias("held"))
+
+
+def extends_chains(settings: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, row_files: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(root, position, path), the root's own file at 0 and its parents after it, and (root, reason), null where a chain ends well.
+
+    A root of no more than ``row_files`` files is walked inside one row; all other chains advance together, a join of their ends a
+    level. There are no more steps than ``max_files`` plus one. That bound is the meaning of the operator; a recursive query would
+    also be bounded in rows. A chain ends at the first of: a file that it holds already, one file too many, a file that is not
+    there, too many bytes, a file that is not valid, a parent outside.
+    """
+    files = cut(_parents(settings).select("root", F.col("path").alias("at"), "bytes", "valid", "refused", "parent"))
+    large = cut(files.groupBy("root").count().where(F.col("count") > row_files).select("root"))
+    walked = cut(_walk_in_rows(files.join(large, "root", "left_anti"), max_files, max_bytes))
+    visits = walked.select("root", F.inline("visits"))
+    ends = walked.select("root", F.element_at("visits", -1)["reason"].alias("reason"))
+    if not large.isEmpty():
+        rest = _walk_by_levels(files.join(large, "root", "left_semi"), max_files, max_bytes)
+        visits = visits.unionByName(rest)
+        ends = ends.unionByName(rest.groupBy("root").agg(F.max_by("reason", "position").alias("reason")))
+    return visits.where("held").select("root", "position", F.col("at").alias("path")), ends
 
 
 def effective_settings(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -58,6 +58,14 @@ def test_chains(effective):
     assert settings["nulls"].exact_fingerprint != settings["none"].exact_fingerprint
 
 
+@pytest.mark.parametrize("row_files", [0, 3])
+def test_chains_in_rows_are_those_by_levels(spark, row_files):
+    rows = [(root, path, raw) for root, (files, *_) in ROOTS.items() for path, raw in files.items()]
+    settings = configs.read_settings(spark.createDataFrame(rows, FILES))
+    one, other = configs.extends_chains(settings), configs.extends_chains(settings, row_files=row_files)
+    assert [sorted(map(str, t.collect())) for t in one] == [sorted(map(str, t.collect())) for t in other]
+
+
 def test_mappings(effective):
     got = {}
     for r in effective[1].orderBy("root", "pattern", "target_order").collect():
