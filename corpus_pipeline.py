@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.llm.bitmaps import bit_blocks, having_bit
 from evidentia.llm.ngram_jaccard import join_documents
 from evidentia.llm.packing import pack
 from evidentia.llm.quality_classifier import classify
@@ -37,7 +38,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row of each group of near duplicates: one of the smallest doc_id, its first row if that id is there repeatedly.
 
     Rows are told apart by their place in the input, not by doc_id: different texts under one id that aren't alike all stay,
-    and copies go whatever their ids, null ones included. Texts without words are alone in their groups.
+    and copies go whatever their ids, null ones included. Texts without words are alone in their groups. The rows that stay are
+    told by a bit each, so that texts are not shuffled for it.
     """
     row = "row"
     while row in docs.columns:
@@ -46,7 +48,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     joined = join_documents(numbered, row=row)
     of_least_id = joined.where("component is not null and doc_id <=> component_id").groupBy("component").agg(F.min("row").alias(row))
     kept = of_least_id.select(row).unionByName(joined.where("component is null").select(F.col("row").alias(row)))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    bits = Scratch(spark, "firsts").keep(bit_blocks(kept, row), "bits")
+    return having_bit(numbered.select(F.struct(*docs.columns).alias("_doc"), row), row, bits, bits.count()).select("_doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

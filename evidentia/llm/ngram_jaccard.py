@@ -10,20 +10,23 @@ hold is one entry a task.
 In every shard, shingles hashed into groups give each set a vector of group counts, a point in an R-tree that is bulk-loaded
 by coordinates. The summed coordinate minima of two points bound the sets' overlap, and those of two nodes' upper corners
 bound it for all pairs below them. The tree joined with itself lists the pairs that the bound admits; nothing else lists
-pairs. First only points are shuffled; the sets of members with an admitted partner follow and are verified. A pair counts in the
-first shard that both its sets are in. Tasks return a row for each set, with its links and one set that it reaches, never pairs.
+pairs. First only points are shuffled, which are made with the first shingles, and only to shards in which another set is near
+enough in size; the sets of members with an admitted partner follow and are verified. A pair counts in the first shard that both its
+sets are in. Tasks return a row for each set, with its links and one set that it reaches, never pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.llm.bitmaps import bit_blocks, having_bit
 from evidentia.llm.scratch import Scratch
 
 #: Buckets of the shingle counts. With 5e12 shingles in all, one that 15,000 documents hold still stands out of its bucket.
@@ -160,14 +163,14 @@ def _stars(tokens: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, pairs[:, 0], pairs[:, 1]
 
 
-FOUND = "kind int, doc_id long, row long, th long, n int, hi long, lo long, ref long, part int, block binary, pivot long"
+FOUND = "kind int, doc_id long, row long, th long, n int, hi long, lo long, ref long, part int, block binary, pivot long, point binary"
 
 
 def first_shingles(texts: DataFrame, classes: np.ndarray, size: int, percent: int, bits: int) -> DataFrame:
-    """Rows of FOUND. Kind 0: a document with its set's key and ``ref``, a number that equal sets of a task share. Kind 1:
+    """Rows of FOUND. Kind 0: a document with its set's key and ``ref``, a number that equal sets of a task share, and with the first of these their point. Kind 1:
     entries of the first shingles of a task's sets, by their ``bits`` top bits. Kind 2: (ref, pivot), a member of a star inside a task."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)  # BUCKETS bytes
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("ref", pa.int64()), ("part", pa.int32()), ("block", pa.binary()), ("pivot", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("ref", pa.int64()), ("part", pa.int32()), ("block", pa.binary()), ("pivot", pa.int64()), ("point", pa.binary())])
 
     def rows(kind: int, **columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -193,10 +196,11 @@ def first_shingles(texts: DataFrame, classes: np.ndarray, size: int, percent: in
         base = TaskContext.get().partitionId() << 32
         tokens, counts, held, at = [], [], 0, base
         for batch in slices(batches):
-            n, keys, refs = [], [], []
+            n, keys, refs, points = [], [], [], []
             for text in batch.column(3).to_pylist():
                 found = shingles(text, size, hashes)
                 n.append(len(found))
+                points.append(None)
                 if not len(found):
                     keys.append((None, None))
                     refs.append(None)
@@ -207,13 +211,14 @@ def first_shingles(texts: DataFrame, classes: np.ndarray, size: int, percent: in
                     if len(seen) > SEEN:
                         seen.clear()
                     ref = seen[key] = at + len(counts)
+                    points[-1] = pack_point(group_counts(found))
                     own = classes[(found % np.uint64(BUCKETS)).astype(np.int64)]
                     first = np.argsort(own, kind="stable")[: len(found) - -(-percent * len(found) // 100) + 1]
                     tokens.append(found[first] >> np.uint64(16))
                     counts.append(len(first))
                     held += len(first)
                 refs.append(ref)
-            yield rows(0, doc_id=batch.column(0), row=batch.column(1), th=batch.column(2), n=n, hi=[k[0] for k in keys], lo=[k[1] for k in keys], ref=refs)
+            yield rows(0, doc_id=batch.column(0), row=batch.column(1), th=batch.column(2), n=n, hi=[k[0] for k in keys], lo=[k[1] for k in keys], ref=refs, point=points)
             if held > ENTRIES:
                 yield from flush(at, tokens, counts)
                 at += len(counts)
@@ -249,12 +254,16 @@ def group_counts(found: np.ndarray) -> np.ndarray:
 
 
 def pack_point(counts: np.ndarray) -> bytes:
-    """Counts in 8 bits each where they fit, else in 32; the first byte tells which."""
-    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\4" + counts.astype("<u4").tobytes()
+    """Counts in 8 bits each where they fit, else in 32, compressed; the first byte tells which."""
+    import zlib
+
+    return b"\1" + zlib.compress(counts.astype(np.uint8).tobytes(), 1) if counts.max() < 256 else b"\4" + zlib.compress(counts.astype("<u4").tobytes(), 1)
 
 
 def unpack_point(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else "<u4", offset=1).astype(np.int32)
+    import zlib
+
+    return np.frombuffer(zlib.decompress(packed[1:]), np.uint8 if packed[0] == 1 else "<u4").astype(np.int32)
 
 
 def _folded(point: np.ndarray, groups: int) -> np.ndarray:
@@ -388,32 +397,42 @@ def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, n
 
 
 def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ref, hi, lo, shards, into, text) of the wanted sets, from one document each. Buckets of hashes, at most BUCKETS, skip most other texts before the shuffle."""
-    bucket = F.pmod(F.col("th"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    near = texts.select("th", "text", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    """(ref, hi, lo, shards, into, text) of the wanted sets, from one document each. A bit for each wanted hash, among 16 times as many or more, skips most other texts before the shuffle."""
+    hashes = 1 << min(29, max(20, (16 * wanted.count()).bit_length()))
+    place = F.pmod("th", F.lit(hashes)).alias("place")
+    near = having_bit(texts.select("th", "text", place), "place", bit_blocks(wanted.select(place), "place"), hashes >> 15).drop("place")
     # A merge join leaves rows in the order of th, so that dropping repeated rows neither shuffles nor sorts.
     return near.join(wanted.hint("merge"), "th").dropDuplicates(["th", "ref"])
 
 
-def _dealt(fetched: DataFrame, size: int, sets: bool) -> DataFrame:
-    """Rows (shard, unit, ref, block, n, content, places), dealt and sorted by shard and unit; content is the set, or its point, places its shards."""
+def _dealt(members: DataFrame, size: int, sets: bool) -> DataFrame:
+    """Rows (shard, unit, ref, block, n, content, places), dealt and sorted by shard and unit; content is the set, of the text, or its point; places its earlier shards."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kinds = _WordHashes(), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+        def contents(c: dict[str, list]) -> Iterator[tuple[int, bytes] | None]:
+            if not sets:
+                yield from zip(c["n"], c["point"], strict=True)
+                return
+            for key, text in zip(zip(c["hi"], c["lo"], strict=True), c["text"], strict=True):
+                found = shingles(text, size, hashes)
+                # None: a text of the same 64-bit hash as the wanted one
+                yield (len(found), found.tobytes()) if set_key(found) == key else None
+
         for batch in slices(batches):
             out, c = [], {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
-            for ref, key, shards, into, text in zip(c["ref"], zip(c["hi"], c["lo"], strict=True), c["shards"], c["into"], c["text"], strict=True):
-                found = shingles(text, size, hashes)
-                if set_key(found) != key:  # a text of the same 64-bit hash as the wanted one
+            for ref, shards, into, content in zip(c["ref"], c["shards"], c["into"], contents(c), strict=True):
+                if content is None:
                     continue
-                content, places = found.tobytes() if sets else pack_point(group_counts(found)), np.sort(shards).astype(np.int64).tobytes()
+                places = np.sort(shards).astype(np.int64)
                 for shard, blocks in ((x["shard"], x["blocks"]) for x in into):
-                    own = own_block(ref, blocks)
-                    out += [(shard, unit, ref, own, len(found), content, places) for unit in units_of(own, blocks)]
+                    own, before = own_block(ref, blocks), places[: np.searchsorted(places, shard)].tobytes()
+                    out += [(shard, unit, ref, own, *content, before) for unit in units_of(own, blocks)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "unit", "ref", "block", "n", "content", "places"])
 
-    rows = fetched.mapInArrow(deal, "shard long, unit long, ref long, block int, n int, content binary, places binary")
+    rows = members.mapInArrow(deal, "shard long, unit long, ref long, block int, n int, content binary, places binary")
     return rows.repartition("shard", "unit").sortWithinPartitions("shard", "unit", "ref")
 
 
@@ -514,6 +533,21 @@ def shard_members(found: DataFrame, refs: DataFrame) -> DataFrame:
     return sized.select("shard", "ref", "n")
 
 
+def near_in_size(members: DataFrame, percent: int) -> DataFrame:
+    """The members (shard, ref, n) of shards in which another member's size doesn't rule out a link.
+
+    Sizes are counted by classes, inside which all may link, so a shard has few rows however many its members are. One alone
+    in its class is compared with the nearest sizes of the classes beside it.
+    """
+    width = max(math.log(100 / percent), 0.01)
+    classed = members.withColumn("size", F.floor(F.log("n") / width).cast("int"))
+    there = classed.groupBy("shard", "size").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    by_size = Window.partitionBy("shard").orderBy("size")
+    may_link = lambda small, large: 100 * small.cast("long") >= percent * large.cast("long")
+    near = (F.col("c") > 1) | may_link(F.lag("high").over(by_size), F.col("low")) | may_link(F.col("high"), F.lead("low").over(by_size))
+    return classed.join(there.withColumn("near", near).where("near").select("shard", "size"), ["shard", "size"], "left_semi").select("shard", "ref", "n")
+
+
 def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Per row: row (that column of ``docs``, a long, or null), doc_id, n_shingles, component_id, n_links and component, a number of the row's component (null for empty sets).
 
@@ -533,7 +567,7 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
     classes = sets.groupBy("hi", "lo").agg(F.min("ref").alias("id"), F.min("doc_id").alias("least_id"), F.min("th").alias("th"))
     refs = scratch.keep(sets.select("ref", "hi", "lo", "n").join(classes, ["hi", "lo"]), "refs")
 
-    members = scratch.keep(shard_members(found, refs), "members")
+    members = scratch.keep(near_in_size(shard_members(found, refs), percent), "members")
     shape = members.groupBy("shard").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("ref")).alias("x"), F.bit_xor(F.xxhash64("ref", F.lit(1))).alias("y"))
     first = shape.groupBy("c", "x", "y").agg(F.min("shard").alias("shard"))
 
@@ -543,11 +577,12 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, doc_id: st
         return members.join(sized, "shard").groupBy("ref").agg(F.collect_list(F.struct("shard", "blocks")).alias("into"))
 
     places = in_blocks(members.join(first.select("shard"), "shard", "left_semi"), F.count("*") / POINTS)
-    keys = refs.where("ref = id").select("ref", "hi", "lo", "th")
+    keys = refs.where("ref = id").select("ref", "hi", "lo", "th", "n")
     wanted = scratch.keep(places.withColumn("shards", F.col("into.shard")).join(keys, "ref"), "wanted")
 
-    hits = scratch.keep(admitted_members(_dealt(_fetch(texts, wanted), size, False), percent), "hits")
-    again = wanted.drop("into").join(in_blocks(hits, F.sum("n") / UNIT), "ref")
+    points = wanted.join(found.where("point is not null").select("ref", "point"), "ref").select("ref", "n", "shards", "into", "point")
+    hits = scratch.keep(admitted_members(_dealt(points, size, False), percent), "hits")
+    again = scratch.keep(wanted.drop("into").join(in_blocks(hits, F.sum("n") / UNIT), "ref"), "again")
     links = scratch.keep(verified(_dealt(_fetch(texts, again), size, True), percent), "links")
 
     labels = components(links.where("ref <> least").select(F.col("ref").alias("a"), F.col("least").alias("b")), scratch)

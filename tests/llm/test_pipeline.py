@@ -142,3 +142,15 @@ def test_classifier_stage_equals_plain_reading_of_its_rules(spark):
     kept = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, SF).collect()}
     own = train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     assert kept == {r.doc_id for r in docs.collect() if brute_quality(own, r.text) >= 0.3}
+
+
+def test_texts_are_not_shuffled_for_the_rows_that_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a table of any size
+    try:
+        out = corpus_pipeline.ngram_jaccard(spark, docs, SF)
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert 0 < out.count() < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
