@@ -32,6 +32,10 @@ FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)
 CHUNK, CHUNK_POSTINGS, BLOCK, BLOCK_POSTINGS = 2048, 500_000, 64, 65_536
 #: Up to so many different terms, a batch of queries is sent to all tasks to count who holds them; beyond, Spark joins.
 BROADCAST_TERMS = 500_000
+#: Spark's reader decodes up to 4,096 rows of a row group at once, long lists and all. Small groups bound what a task holds, however large its files.
+GROUPS = {"parquet.block.size": "4194304", "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16"}
+#: How many (query, entry) pairs and bounds are in memory at a time.
+PAIRS_AT_ONCE, BOUNDS_AT_ONCE = 1_000_000, 1_000_000
 _INDEX = (
     "block long, doc_ids array<long>, lengths array<long>, sizes array<int>, codes array<int>, counts array<int>, "
     "terms array<binary>, holding array<long>, maxima array<long>"
@@ -120,7 +124,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         yield from flush()
 
     given = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return LexicalIndex(Scratch(spark, "lexical").keep(given.mapInArrow(cut, _INDEX), "blocks"), n_docs, n_terms)
+    return LexicalIndex(Scratch(spark, "lexical").keep(given.mapInArrow(cut, _INDEX), "blocks", **GROUPS), n_docs, n_terms)
 
 
 class Queries:
@@ -136,8 +140,8 @@ class Queries:
         self.pointer = np.searchsorted(np.array([number[r[1]] for r in rows]), np.arange(len(number) + 1))
 
     def rows_at_once(self) -> int:
-        """How many blocks are bounded at a time: some million bounds."""
-        return max(1, 4_000_000 // max(1, self.n))
+        """How many blocks are bounded at a time: about a million bounds."""
+        return max(1, BOUNDS_AT_ONCE // max(1, self.n))
 
     def known(self, terms: pa.Array) -> np.ndarray:
         """The number of each term here, or -1."""
@@ -147,17 +151,24 @@ class Queries:
         """n_rows x queries: the sums of weight times value over the entries (term, row, value), for the wanted queries (or all)."""
         there = terms >= 0
         terms, rows, values = terms[there], rows[there], values[there]
-        first, n = self.pointer[terms], self.pointer[terms + 1] - self.pointer[terms]
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        query, row, value = self.query[at], np.repeat(rows, n), self.weight[at] * np.repeat(values, n)
-        width = self.n
+        width, column = self.n, None
         if wanted is not None:
             width, column = len(wanted), np.full(self.n, -1)
             column[wanted] = np.arange(width)
-            query = column[query]
-            row, value, query = row[query >= 0], value[query >= 0], query[query >= 0]
         sums = np.zeros(n_rows * width, np.int64)
-        np.add.at(sums, row * width + query, value)
+        first, n = self.pointer[terms], self.pointer[terms + 1] - self.pointer[terms]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIRS_AT_ONCE, side="right")) - 1)
+            own = n[at:to]
+            asked = np.repeat(first[at:to] - (ends[at:to] - ends[at]), own) + np.arange(own.sum())
+            query, row, value = self.query[asked], np.repeat(rows[at:to], own), self.weight[asked] * np.repeat(values[at:to], own)
+            if column is not None:
+                query = column[query]
+                row, value, query = row[query >= 0], value[query >= 0], query[query >= 0]
+            np.add.at(sums, row * width + query, value)
+            at = to
         return sums.reshape(n_rows, width)
 
 

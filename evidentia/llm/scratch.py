@@ -29,8 +29,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, rows: DataFrame, name: str) -> DataFrame:
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def keep(self, rows: DataFrame, name: str, **options: str) -> DataFrame:
+        rows.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(self.path(name))
         return self.spark.read.schema(rows.schema).parquet(self.path(name))
 
     def last(self, rows: DataFrame, name: str) -> DataFrame:

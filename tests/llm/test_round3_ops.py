@@ -270,6 +270,40 @@ def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
     assert out.column(1).to_pylist() == [7] and len(scored) == 1
 
 
+def test_row_groups_of_the_index_stay_small_in_large_files(spark):
+    """A reader decodes a row group's blocks at once, so a group must not grow with what a task writes."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", i), F.lit(100_000))))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id")).withColumn("text", F.array_join(words, " ")).coalesce(1)
+    index = lexical.build_index(docs)
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.blocks.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert len(files) == 1 and sum(g.num_rows for g in groups) == index.blocks.count() > 40
+    # Rows are taken up to a check of the size, so a group may hold somewhat more.
+    assert max(g.num_rows for g in groups) <= 20 and max(g.total_byte_size for g in groups) < 2 * int(lexical.GROUPS["parquet.block.size"])
+
+
+def test_bounds_of_many_queries_take_bounded_memory(monkeypatch):
+    """A term that all queries ask for is spread over them for every block: some at a time, to the same sums."""
+    import tracemalloc
+
+    asked = lexical.Queries([(q, b"%d" % t, 1 + (q + t) % 7) for q in range(1000) for t in range(40)], 1000, 10)
+    terms, rows, values = np.tile(np.arange(-1, 40), 250), np.repeat(np.arange(250), 41), np.arange(250 * 41)
+    tracemalloc.start()
+    got = asked.spread(terms, rows, values, 250)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000, peak
+    weight = np.array([[1 + (q + int(asked.vocabulary[t])) % 7 for q in range(1000)] for t in range(40)])
+    assert (got == values.reshape(250, 41)[:, 1:] @ weight).all()
+    wanted = np.array([3, 500, 999])
+    for at_once in (1, 2500, 10**9):
+        monkeypatch.setattr(lexical, "PAIRS_AT_ONCE", at_once)
+        assert (asked.spread(terms[:410], rows[:410], values[:410], 10, wanted) == got[:10][:, wanted]).all()
+    assert (asked.spread(np.full(3, -1), np.arange(3), np.arange(3), 3) == 0).all()
+
+
 # Columns named like an operator's own ones, in any case
 
 OWN_NAMES = ("_H", "_s", "_L", "_W", "_t", "N_lines", "Word_Chars", "_order", "_Found", "Quality", "_doc", "__w", "_x")
