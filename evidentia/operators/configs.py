@@ -48,13 +48,13 @@ def _place(base: Column, value: Column) -> Column:
     return F.struct(F.when(~absolute, inside).alias("path"), F.when(absolute, ABSOLUTE).when(inside.isNull(), ESCAPES).alias("reason"))
 
 
-def read_settings(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def read_settings(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """root, path, bytes, hash, valid, extends, base, paths (pattern to targets) of ``files`` (root, path, raw; one row a path).
 
     A file is valid if it is an object whose fields have their types; null stands for a field that is not there, but not for
-    compilerOptions. Repeated keys, text that is not JSON and null are not valid. No file beyond ``max_bytes`` is parsed.
+    compilerOptions. Repeated keys, text that is not JSON and null are not valid. No file beyond ``max_bytes`` (None: no bound) is parsed.
     """
-    small = F.when(F.octet_length("raw") <= max_bytes, F.col("raw"))
+    small = F.col("raw") if max_bytes is None else F.when(F.octet_length("raw") <= max_bytes, F.col("raw"))
     rows = files.where("root is not null and path is not null").select("root", "path", F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long").alias("bytes"), F.sha2(F.coalesce("raw", F.lit("")).cast("binary"), 256).alias("hash"), F.try_parse_json(strip_comments(small)).alias("v"))
     options = F.schema_of_variant(F.try_variant_get("v", "$.compilerOptions", "variant"))
     patterns = F.try_variant_get("v", "$.compilerOptions.paths", "map<string,variant>")
@@ -77,16 +77,16 @@ def _parents(settings: DataFrame) -> DataFrame:
     return rows.select("*", refused.alias("refused"), F.when(refused.isNull(), named).alias("parent")).drop("_at")
 
 
-def _end_of_walk(at: Column, seen: Column, position: Column, file: Column, total: Column, max_files: int, max_bytes: int) -> Column:
+def _end_of_walk(at: Column, seen: Column, position: Column, file: Column, total: Column, max_files: int | None, max_bytes: int | None) -> Column:
     """Why a chain ends at ``file`` (null where there is none) at the path ``at``; null where it goes on or ends well."""
-    return (
-        F.when(F.array_contains(seen, at), F.concat(F.lit(CYCLE), at)).when(position >= max_files, f"{FILES_CAPPED}{max_files}")
-        .when(file["valid"].isNull(), F.concat(F.lit(NOT_READ), at)).when(total > max_bytes, f"{BYTES_CAPPED}{max_bytes}")
-        .when(~file["valid"], F.concat(F.lit(INVALID), at)).otherwise(file["refused"])
-    )
+    end = F.when(F.array_contains(seen, at), F.concat(F.lit(CYCLE), at))
+    end = end if max_files is None else end.when(position >= max_files, f"{FILES_CAPPED}{max_files}")
+    end = end.when(file["valid"].isNull(), F.concat(F.lit(NOT_READ), at))
+    end = end if max_bytes is None else end.when(total > max_bytes, f"{BYTES_CAPPED}{max_bytes}")
+    return end.when(~file["valid"], F.concat(F.lit(INVALID), at)).otherwise(file["refused"])
 
 
-def _walk_in_rows(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
+def _walk_in_rows(files: DataFrame, max_files: int | None, max_bytes: int | None) -> DataFrame:
     """(root, visits: position, at, reason, held; in order) of roots with few files, each walked inside one row."""
     rows = files.groupBy("root").agg(F.collect_list(F.struct("at", "bytes", "valid", "refused", "parent")).alias("files")).where(F.exists("files", lambda f: f["at"] == SETTINGS))
     start = F.expr("struct(cast(array() as array<struct<position:int,at:string,reason:string,held:boolean>>) as visits, cast(array() as array<string>) as seen, cast(0 as bigint) as total, cast('" + SETTINGS + "' as string) as at)")
@@ -95,7 +95,7 @@ def _walk_in_rows(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame
         def step(file: Column) -> Column:
             total, position = acc["total"] + F.coalesce(file["bytes"], F.lit(0)), F.size(acc["seen"])
             reason = _end_of_walk(acc["at"], acc["seen"], position, file, total, max_files, max_bytes)
-            held = (position < max_files) & file["valid"].isNotNull() & ~F.array_contains(acc["seen"], acc["at"])
+            held = (F.lit(True) if max_files is None else position < max_files) & file["valid"].isNotNull() & ~F.array_contains(acc["seen"], acc["at"])
             return F.transform(F.array(reason), lambda r: F.struct(
                 F.concat(acc["visits"], F.array(F.struct(position.alias("position"), acc["at"].alias("at"), r.alias("reason"), held.alias("held")))).alias("visits"),
                 F.concat(acc["seen"], F.array(acc["at"])).alias("seen"), total.alias("total"), F.when(r.isNull(), file["parent"]).alias("at"),
@@ -104,7 +104,8 @@ def _walk_in_rows(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame
         # Lists of one element give a value a name, so that a file is looked up once a step.
         return F.when(acc["at"].isNull(), acc).otherwise(F.transform(F.array(F.get(F.filter("files", lambda f: f["at"] == acc["at"]), F.lit(0))), step)[0])
 
-    return rows.select("root", F.aggregate(F.sequence(F.lit(0), F.lit(max_files)), start, visit)["visits"].alias("visits"))
+    steps = F.size("files") if max_files is None else F.lit(max_files)  # a chain holds each file once, and may end after them
+    return rows.select("root", F.aggregate(F.sequence(F.lit(0), steps), start, visit)["visits"].alias("visits"))
 
 
 def _walk_by_levels(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
@@ -124,27 +125,54 @@ def _walk_by_levels(files: DataFrame, max_files: int, max_bytes: int) -> DataFra
     return visits.select("root", "position", "at", "reason", held.alias("held"))
 
 
-def extends_chains(settings: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, row_files: int = 256) -> tuple[DataFrame, DataFrame]:
+def _walk_by_doubling(files: DataFrame) -> DataFrame:
+    """(root, position, at, reason, held) of all roots of ``files`` without bounds; a chain of n visits takes log n joins.
+
+    Until it ends, a walk is at another path at each step, so it is whole when twice as many steps find no new path.
+    """
+    start = files.where(F.col("at") == SETTINGS).select("root", F.lit(0).cast("long").alias("position"), "at")
+    goes_on = files.where(F.col("valid") & F.col("refused").isNull() & F.col("parent").isNotNull())
+    jumps, visits, steps = goes_on.select("root", "at", F.col("parent").alias("to")), start, 1
+    while True:
+        more = visits.join(jumps, ["root", "at"]).select("root", (F.col("position") + steps).alias("position"), F.col("to").alias("at"))
+        more = cut(more.join(visits.select("root", "at"), ["root", "at"], "left_anti").groupBy("root", "at").agg(F.min("position").alias("position")))
+        if more.isEmpty():
+            break
+        visits = cut(visits.unionByName(more))
+        further = jumps.select("root", F.col("at").alias("from"), F.col("to").alias("at")).join(jumps, ["root", "at"])
+        jumps, steps = cut(further.select("root", F.col("from").alias("at"), "to")), steps * 2
+    rows = visits.join(files, ["root", "at"], "left")
+    # The reason counts at the last visit alone: a parent that it has is held already.
+    wrong = F.when(F.col("valid").isNull(), F.concat(F.lit(NOT_READ), F.col("at"))).when(~F.col("valid"), F.concat(F.lit(INVALID), F.col("at"))).otherwise(F.col("refused"))
+    reason = F.coalesce(wrong, F.concat(F.lit(CYCLE), F.col("parent")))
+    return rows.select("root", F.col("position").cast("int").alias("position"), "at", reason.alias("reason"), F.col("valid").isNotNull().alias("held"))
+
+
+def extends_chains(settings: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES, row_files: int = 256) -> tuple[DataFrame, DataFrame]:
     """(root, position, path), the root's own file at 0 and its parents after it, and (root, reason), null where a chain ends well.
 
     A root of no more than ``row_files`` files is walked inside one row; all other chains advance together, a join of their ends a
     level. There are no more steps than ``max_files`` plus one. That bound is the meaning of the operator; a recursive query would
     also be bounded in rows. A chain ends at the first of: a file that it holds already, one file too many, a file that is not
-    there, too many bytes, a file that is not valid, a parent outside.
+    there, too many bytes, a file that is not valid, a parent outside. None for both bounds: chains are followed to their ends,
+    those of roots of more files by doubling.
     """
+    if (max_files is None) != (max_bytes is None):
+        raise ValueError("either both bounds or none")
     files = cut(_parents(settings).select("root", F.col("path").alias("at"), "bytes", "valid", "refused", "parent"))
     large = cut(files.groupBy("root").count().where(F.col("count") > row_files).select("root"))
     walked = cut(_walk_in_rows(files.join(large, "root", "left_anti"), max_files, max_bytes))
     visits = walked.select("root", F.inline("visits"))
     ends = walked.select("root", F.element_at("visits", -1)["reason"].alias("reason"))
     if not large.isEmpty():
-        rest = _walk_by_levels(files.join(large, "root", "left_semi"), max_files, max_bytes)
+        own = files.join(large, "root", "left_semi")
+        rest = _walk_by_doubling(cut(own)) if max_files is None else _walk_by_levels(own, max_files, max_bytes)
         visits = visits.unionByName(rest)
         ends = ends.unionByName(rest.groupBy("root").agg(F.max_by("reason", "position").alias("reason")))
     return visits.where("held").select("root", "position", F.col("at").alias("path")), ends
 
 
-def effective_settings(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def effective_settings(files: DataFrame, max_files: int | None = MAX_FILES, max_bytes: int | None = MAX_BYTES, max_patterns: int | None = MAX_PATTERNS, max_targets: int | None = MAX_TARGETS) -> tuple[DataFrame, DataFrame]:
     """Settings and path mappings of every root of ``files`` (root, path, raw; one row a path).
 
     Settings: root, status (complete, truncated where a bound was met, else unavailable), reason, n_files, files (paths, joined by
@@ -152,7 +180,8 @@ def effective_settings(files: DataFrame, max_files: int = MAX_FILES, max_bytes:
     pattern, target_order, target, origin, of complete roots only. A root without ``tsconfig.json`` is complete and empty. Parents
     come first: a base is replaced by a child's, and all patterns by those of a child that has any; targets are read from the base
     that holds at that file, else from the file's folder. The parent's faults are reported before the child's, and in a file those
-    of the base, of the number of patterns, then of the patterns in byte order. Chains are short, so a root's files meet in one row group.
+    of the base, of the number of patterns, then of the patterns in byte order. None stands for no bound; files and bytes have both
+    one or none. The files of a root's chain meet in one row group.
     """
     settings = cut(read_settings(files, max_bytes))
     chain, ends = extends_chains(settings, max_files, max_bytes)
@@ -166,12 +195,14 @@ def effective_settings(files: DataFrame, max_files: int = MAX_FILES, max_bytes:
     def judge(acc: Column, pair: Column) -> Column:
         n = acc["n"] + F.size(pair["targets"])
         stars = F.length(pair["pattern"]) - F.length(F.replace(pair["pattern"], F.lit("*"), F.lit("")))
-        wrong = F.when(stars > 1, F.concat(F.lit(TWO_STARS), pair["pattern"])).when(F.size(pair["targets"]) == 0, F.concat(F.lit(NO_TARGETS), pair["pattern"])).when(n > MAX_TARGETS, f"{TARGETS_CAPPED}{MAX_TARGETS}")
+        wrong = F.when(stars > 1, F.concat(F.lit(TWO_STARS), pair["pattern"])).when(F.size(pair["targets"]) == 0, F.concat(F.lit(NO_TARGETS), pair["pattern"]))
+        wrong = wrong if max_targets is None else wrong.when(n > max_targets, f"{TARGETS_CAPPED}{max_targets}")
         place = F.get(F.filter(pair["targets"], lambda t: t["reason"].isNotNull()), F.lit(0))["reason"]
         return F.struct(n.alias("n"), F.coalesce(acc["reason"], wrong, place).alias("reason"))
 
     folded = F.aggregate("pairs", F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("reason")), judge)["reason"]
-    fault = F.coalesce(F.col("_b.reason"), F.when(F.size("pairs") > MAX_PATTERNS, f"{PATTERNS_CAPPED}{MAX_PATTERNS}"), folded)
+    many = F.lit(None) if max_patterns is None else F.when(F.size("pairs") > max_patterns, f"{PATTERNS_CAPPED}{max_patterns}")
+    fault = F.coalesce(F.col("_b.reason"), many, folded)
     merged = rows.withColumn("fault", fault).groupBy("root").agg(
         F.count("*").cast("int").alias("n_files"), F.array_sort(F.collect_list(F.struct("path", F.col("bytes").cast("string").alias("bytes"), "hash"))).alias("held"), F.min_by("holds", "position").alias("holds"),
         F.max_by("fault", F.when(F.col("fault").isNotNull(), F.col("position"))).alias("fault"), F.min_by(F.struct("pairs", F.col("path").alias("origin")), F.when(F.col("pairs").isNotNull(), F.col("position"))).alias("wins"),

@@ -28,19 +28,19 @@ _REST = """concat('}', case root % 5 when 0 then ', "bin": "../up"' when 1 then
   case root % 3 when 0 then concat(', "main": "src/o', cast(last_key % 50 as string), '.js"') when 1 then ', "module": []' else '' end, case when root % 11 = 0 then '' else '}' end)"""
 
 
-def _settings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return configs.effective_settings(spark.sql(_FILES), MAX_FILES, MAX_BYTES)
+    return spark.sql(_FILES)
 
 
 def settings_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the settings of every repository come to, or why they could not be read."""
-    return _settings(spark, sf_dir)[0].drop("effective_fingerprint")
+    return configs.effective_settings(_files(spark, sf_dir), MAX_FILES, MAX_BYTES)[0].drop("effective_fingerprint")
 
 
 def settings_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path mappings that hold in every repository."""
-    return _settings(spark, sf_dir)[1]
+    """The path mappings that hold in every repository, of chains of any length."""
+    return configs.effective_settings(_files(spark, sf_dir), None, None, None, None)[1]
 
 
 def package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +75,15 @@ _CHAINS = rf"""with recursive f as ({_DUCK(_FILES)}),
     min(position) filter (where p is not null) as wins from o group by root),
   q as (select root, arg_max_null(reason, position) as reason from w group by root),
   t as (select r.*, coalesce(q.reason, r.fault) as reason from r join q on q.root = r.root)"""
+# The same without the bounds on files and bytes.
+_WHOLE_CHAINS = _CHAINS.replace(f" and v.position < {MAX_FILES} and v.total + g.bytes <= {MAX_BYTES}", "").replace(f" when position >= {MAX_FILES} then 'tsconfig-files-capped-at-{MAX_FILES}'", "")
+_WHOLE_CHAINS = _WHOLE_CHAINS.replace(f" when total + g.bytes > {MAX_BYTES} then 'tsconfig-bytes-capped-at-{MAX_BYTES}'", "").replace(f" and position < {MAX_FILES} and g.path is not null as held", " and g.path is not null as held")
 QUERIES = {"settings_chains": settings_chains, "settings_mappings": settings_mappings, "package_entries": package_entries}
 ORACLES = {
     "settings_chains": _CHAINS
     + """ select root, case when reason is null then 'complete' when contains(reason, 'capped') then 'truncated' else 'unavailable' end as status, reason, n_files, files,
       case when reason is null then base_url end as base_url, case when reason is null then base_origin end as base_origin, exact_fingerprint from t""",
-    "settings_mappings": _CHAINS
+    "settings_mappings": _WHOLE_CHAINS
     + """, k as (select o.root, o.path as origin, here, p, unnest(json_keys(p)) as pattern from t join o on o.root = t.root and o.position = t.wins where t.reason is null),
       y as (select root, origin, here, pattern, cast(json_extract(p, '$."' || pattern || '"') as varchar[]) as targets from k), z as (select *, unnest(range(0, len(targets))) as i from y)
       select root, pattern, cast(i as integer) as target_order, case when starts_with(targets[i + 1], '../') then case when contains(here, '/') then regexp_replace(here, '/[^/]*$', '') || '/' else '' end || targets[i + 1][4:]

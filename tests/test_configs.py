@@ -78,6 +78,44 @@ def test_mappings(effective):
     }
 
 
+def test_chains_without_bounds(spark):
+    """Chains of any length, files of any size and any number of patterns: nothing is capped, in rows and by doubling."""
+    files = {"tsconfig.json": config("./1"), **{f"{i}.json": config(f"./{i + 1}" if i < 299 else None, paths={"@far": ["x"]} if i == 299 else None) for i in range(1, 300)}}
+    roots = {root: files for root, (files, *_) in ROOTS.items()} | {"far": files, "turns": files | {"299.json": config("./7")}, "breaks": files | {"299.json": config("./300")}, "faulty": files | {"299.json": "{"}}
+    frame = spark.createDataFrame([(root, path, raw) for root, files in roots.items() for path, raw in files.items()], FILES)
+    settings = configs.read_settings(frame, None)
+    one, *others = [configs.extends_chains(settings, None, None, row_files) for row_files in (1000, 256, 0)]
+    for other in others:
+        assert [sorted(map(str, t.collect())) for t in one] == [sorted(map(str, t.collect())) for t in other]
+    settings, mappings = configs.effective_settings(frame, None, None, None, None)
+    got = {r.root: (r.status, r.reason, r.n_files) for r in settings.collect()}
+    want = {k: v[1:] for k, v in ROOTS.items()} | {"seventeen": ("complete", None, 17), "large": ("complete", None, 2), "many": ("complete", None, 1), "wide": ("complete", None, 1), "far": ("complete", None, 300)}
+    want |= {"turns": ("unavailable", "tsconfig-extends-cycle:7.json", 300), "breaks": ("unavailable", "tsconfig-read-failed:300.json", 300), "faulty": ("unavailable", "tsconfig-invalid-jsonc:299.json", 300)}
+    assert got == want
+    counts = {r.root: r["count"] for r in mappings.groupBy("root").count().collect()}
+    assert counts == {"plain": 3, "chain": 1, "kept": 1, "quote": 1, "many": 1001, "wide": 10_001, "far": 1}
+    with pytest.raises(ValueError):
+        configs.extends_chains(configs.read_settings(frame), None)
+
+
+def test_mappings_of_long_chains_equal_the_sql(spark, tmp_path):
+    """Repositories of 13, 40 and 300 files (and of more bytes than 1,500) have their mappings, in the query and in its SQL."""
+    import duckdb
+
+    from evidentia.plans import settings
+
+    rows = [(c * 1000 + k, c) for c, n in ((54, 13), (55, 40), (52, 300), (53, 3), (24, 30), (28, 30)) for k in range(n)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = settings.settings_mappings(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.sql(f"create view orders as from '{tmp_path}/orders.parquet/*.parquet'")
+        want = db.sql(f"select {', '.join(got.columns)} from ({settings.ORACLES['settings_mappings']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {52, 53, 54, 55} == {r[0] for r in want}
+    assert "capped" not in settings.ORACLES["settings_mappings"]
+    chains = settings.settings_chains(spark, str(tmp_path))  # this one reports its bounds
+    assert {r.root for r in chains.where("status = 'truncated'").collect()} >= {52, 54, 55}
+
+
 def test_specifiers_by_root(spark, effective):
     known = spark.createDataFrame([("plain", "src/a/b/x.ts"), ("plain", "c/y/index.ts"), ("plain", "src/q.ts"), ("chain", "lib/src/x.ts"), ("chain", "c/y.ts"), ("none", "q.ts")], "root string, path string")
     asked = [("plain", "@a/x"), ("plain", "@a/y"), ("plain", "@a/z"), ("plain", "q"), ("plain", "react"), ("chain", "@local/x"), ("chain", "@a/x"), ("none", "q"), ("cycle", "q"), ("many", "q"), ("unknown", "q"), ("plain", None), (None, "q"), ("plain", "q")]
