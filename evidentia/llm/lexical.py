@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.scratch import Scratch
+from evidentia.llm.scratch import Scratch, rows_a_batch
 
 #: Terms are runs of ASCII digits and letters, and of everything beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,6 +34,8 @@ CHUNK, CHUNK_POSTINGS, BLOCK, BLOCK_POSTINGS = 2048, 500_000, 64, 65_536
 BROADCAST_TERMS = 500_000
 #: Spark's reader decodes up to 4,096 rows of a row group at once, long lists and all. Small groups bound what a task holds, however large its files.
 GROUPS = {"parquet.block.size": "4194304", "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "16"}
+#: How many documents and blocks go to Python at once. Batches of 64 MB, Spark's own limit, take three times that outside the heap for each task.
+DOCS_A_BATCH, BLOCKS_A_BATCH = 1024, 32
 #: How many (query, entry) pairs and bounds are in memory at a time.
 PAIRS_AT_ONCE, BOUNDS_AT_ONCE = 1_000_000, 1_000_000
 _INDEX = (
@@ -124,7 +126,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         yield from flush()
 
     given = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return LexicalIndex(Scratch(spark, "lexical").keep(given.mapInArrow(cut, _INDEX), "blocks", **GROUPS), n_docs, n_terms)
+    with rows_a_batch(spark, DOCS_A_BATCH):
+        return LexicalIndex(Scratch(spark, "lexical").keep(given.mapInArrow(cut, _INDEX), "blocks", **GROUPS), n_docs, n_terms)
 
 
 class Queries:
@@ -302,10 +305,11 @@ def search(index: LexicalIndex, items: DataFrame, k: int = 10, pairs_a_round: in
         seeded = index.blocks.join(F.broadcast(seeds), "block", "left_semi").mapInArrow(_scores(asked, index.n_docs, index.n_terms, nothing), schema)
         kth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
         least = nothing.copy()
-        for r in seeded.withColumn("rank", kth).where(F.col("rank") == k).select("query", "score").collect():  # one row a query
-            least[r["query"]] = r["score"]
-
-        scored = index.blocks.mapInArrow(_scores(asked, index.n_docs, index.n_terms, least), schema)
+        with rows_a_batch(spark, BLOCKS_A_BATCH):
+            for r in seeded.withColumn("rank", kth).where(F.col("rank") == k).select("query", "score").collect():  # one row a query
+                least[r["query"]] = r["score"]
+            # At most k rows a query and task, written, so that no later plan holds the queries of several rounds.
+            scored = scratch.keep(index.blocks.mapInArrow(_scores(asked, index.n_docs, index.n_terms, least), schema), f"scored-{number}")
         best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
         ranked = scored.withColumn("rank", best).where(F.col("rank") <= k)
         named = spark.createDataFrame(list(enumerate(ids)), f"query long, item_id {dict(pairs.dtypes)['item_id']}")

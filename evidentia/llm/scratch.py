@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Inside, what runs sends at most ``n`` rows at once to Python, for rows that are large; then the session's own limit holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """A folder of one job's tables. ``keep`` writes a table and reads it again, ``drop`` deletes one that is used up."""
 

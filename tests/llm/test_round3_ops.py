@@ -304,6 +304,27 @@ def test_bounds_of_many_queries_take_bounded_memory(monkeypatch):
     assert (asked.spread(np.full(3, -1), np.arange(3), np.arange(3), 3) == 0).all()
 
 
+def test_few_large_rows_go_to_python_at_once(spark, docs):
+    """The limit holds while the search works, and the session's own one afterwards; what a search returns reads no index again."""
+    import pyarrow as pa
+
+    from evidentia.llm.scratch import rows_a_batch
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "777")
+        with rows_a_batch(spark, 32):
+            sizes = spark.range(100).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+        with pytest.raises(ZeroDivisionError), rows_a_batch(spark, 32):
+            raise ZeroDivisionError
+        found = lexical.search(lexical.build_index(docs), spark.createDataFrame(ITEMS, "item_id long, text string"))
+        assert [r.n for r in sizes] == [32, 32, 32, 4] and spark.conf.get(name) == "777"
+    finally:
+        spark.conf.set(name, before)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString() and found.count() > 10
+
+
 # Columns named like an operator's own ones, in any case
 
 OWN_NAMES = ("_H", "_s", "_L", "_W", "_t", "N_lines", "Word_Chars", "_order", "_Found", "Quality", "_doc", "__w", "_x")
