@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.lineage import cut
 from evidentia.functions.paths import is_typescript
+from evidentia.tables import tasks
 
 # What a candidate starts with, what a hit adds once, what each hit adds, and the reasons they give.
 BASE = 10
@@ -30,8 +31,12 @@ EDGE_KINDS = ("calls", "constructs", "imports")
 MANIFEST = "package.json"
 
 
-def merge_intervals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys, valid_from, valid_to: intervals of one key that overlap or touch become one, so each end is a change of membership."""
+def merge_intervals(rows: DataFrame, keys: Sequence[str], meet: Sequence[str] = (), parts: int = 1) -> DataFrame:
+    """Keys, valid_from, valid_to: intervals of one key that overlap or touch become one, so each end is a change of membership.
+
+    ``meet``: some of the keys, whose rows meet in one of ``parts`` tasks, so that this and what groups by them later takes one shuffle.
+    """
+    rows = rows.repartition(parts, *meet) if meet else rows
     last = F.coalesce(F.col("valid_to"), F.lit(2**62))
     ordered = Window.partitionBy(*keys).orderBy("valid_from", "_end")
     before = F.max("_end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -54,17 +59,54 @@ def changes(intervals: DataFrame, keys: Sequence[str], *values: str) -> DataFram
     return both.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def _places(moved: DataFrame) -> DataFrame:
+    """version, paths (sorted, distinct): where the ends of every changed edge (src, dst) are."""
+    # The places of two nodes at one version: two, unless files share a node.
+    places = F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array("src_path", "dst_path")))))
+    return moved.groupBy("version", "src", "dst").agg(places.alias("paths")).select("version", "paths")
+
+
 def _path_sets(moved: DataFrame) -> DataFrame:
     """version, paths (sorted, distinct), n: how many changed edges (src, dst) have their ends at just these paths."""
-    # The places of two nodes at one version: two, unless files share a node.
-    places = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("src_path", "dst_path")))))
-    edges = moved.repartition("version", "src", "dst").groupBy("version", "src", "dst").agg(places.alias("paths"))
-    return edges.groupBy("version", "paths").agg(F.count("*").alias("n"))
+    return _counted(_places(moved))
 
 
-def _sums(rows: DataFrame, **flags: Column) -> DataFrame:
-    """context, version and a count for every kind of hit, zero where it isn't given."""
-    return rows.select("context", "version", *[flags.get(n, F.lit(0)).cast("long").alias(n) for n in REASONS])
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+def _among(rows: DataFrame, column: str, values: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows`` without those whose column is none of the ``values`` (paths), where these are few enough to be sent to all tasks; a join decides later."""
+    values = values.select(F.col("path").alias(column)).distinct()
+    return rows.join(F.broadcast(values), column, "left_semi") if values.limit(most + 1).count() <= most else rows
+
+
+def _hits(at_paths: DataFrame, roles: DataFrame, max_commits: int, each: int = 200_000) -> DataFrame:
+    """The roles with each version in their ranges that something happened to their paths at, what happened, and a block: a context's rows of one block are in one task.
+
+    Contexts are dealt into blocks of about ``each`` roles, larger contexts into several. A block gets what happened to a path once, however many
+    of its contexts ask for it, and sums it up where it is: pairs of a context's path and a version are never shuffled.
+    """
+    measures = [c for c in at_paths.columns if c not in ("version", "path")]
+    slice_of = lambda version: F.floor(version / max(max_commits, 1))
+    profiles = at_paths.groupBy("path", slice_of(F.col("version")).alias("slice")).agg(F.collect_list(F.struct("version", *measures)).alias("profile"))
+    # A context's range is no longer than a slice of versions, so it meets two of them at most.
+    blocks = tasks(roles, each=each)
+    large = roles.groupBy("context").count().where(F.col("count") > each).select("context", F.ceil(F.col("count") / each).alias("shares"))
+    share = F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.hash("path"), F.col("shares")))
+    dealt = roles.join(F.broadcast(large), "context", "left").withColumn("block", F.pmod(F.hash("context", share), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("slice", F.explode(F.array_distinct(F.array(slice_of(F.col("after_version") + 1), slice_of(F.col("head_version"))))))
+    wanted = dealt.select("block", "path", "slice").distinct().join(profiles, ["path", "slice"])
+    asks = dealt.select("block", "path", "slice", "context", "in_focus", "by_flow", "after_version", "head_version", F.lit(None).cast(profiles.schema["profile"].dataType).alias("profile"))
+    gives = wanted.select("block", "path", "slice", *[F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in ("context", "in_focus", "by_flow", "after_version", "head_version")], "profile")
+    met = Window.partitionBy("block", "path", "slice").orderBy(F.col("profile").isNull())
+    both = asks.unionByName(gives).repartitionById(blocks, F.col("block")).withColumn("profile", F.first("profile").over(met.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return both.where("context is not null").select("block", "path", "context", "in_focus", "by_flow", "after_version", "head_version", F.inline("profile")).where((F.col("version") > F.col("after_version")) & (F.col("version") <= F.col("head_version")))
+
+
+def _sums(rows: DataFrame, kept: Sequence[str] = (), **flags: Column) -> DataFrame:
+    """context, version, what is kept, and a count for every kind of hit, zero where it isn't given."""
+    return rows.select("context", "version", *kept, *[flags.get(n, F.lit(0)).cast("long").alias(n) for n in REASONS])
 
 
 def rank_history(
@@ -94,34 +136,40 @@ def rank_history(
         F.greatest(F.col("good_version"), F.col("head_version") - max_commits).alias("after_version"), F.when(gate == "confirmed", length).otherwise(0).alias("length"),
     )
     open_ = gated.where("status = 'confirmed'").select("context", "after_version", "head_version", "by_flow")
-    roles = cut(focus.groupBy("context", "path").agg(F.max("in_focus").alias("in_focus")).join(open_, "context"))
+    roles = cut(focus.groupBy("context", "path").agg(F.max("in_focus").alias("in_focus")).join(open_, "context"), free=True)
     in_range = (F.col("version") > F.col("after_version")) & (F.col("version") <= F.col("head_version"))
     near, far = F.col("in_focus").cast("int"), (~F.col("in_focus")).cast("int")
 
     # Paths that count: sources, and the manifest for questions about flows.
     touched = changed_paths.select("version", "path").distinct()
     source = is_typescript(F.col("path"))
-    # Merged intervals of an edge don't touch: each start and each end is a change.
+    # Merged intervals of an edge don't touch: each start and each end is a change. Rows that merge_intervals let meet are not shuffled again.
     bounds = F.explode(F.array("valid_from", "valid_to")).alias("version")
     moved = edges.where(F.col("kind").isin(*EDGE_KINDS)).select(bounds, "src", "dst", "src_path", "dst_path").where("version > 0")
-    sets = cut(_path_sets(moved))
+    edges_at = cut(_places(moved), free=True)
     # What happens to a path at a version is summed up before any context asks for it.
     none = F.lit(0).cast("long")
     parts = [
         touched.where(source | (F.col("path") == MANIFEST)).select("version", "path", F.lit(1).cast("long").alias("touched"), none.alias("file"), none.alias("edges")),
         changes(files, ["path"], "hash").select("version", "path", none.alias("touched"), F.lit(1).cast("long").alias("file"), none.alias("edges")),
-        sets.select("version", F.explode("paths").alias("path"), none.alias("touched"), none.alias("file"), F.col("n").alias("edges")),
+        edges_at.select("version", F.explode("paths").alias("path"), none.alias("touched"), none.alias("file"), F.lit(1).cast("long").alias("edges")),
     ]
     at_paths = reduce(DataFrame.unionByName, parts).groupBy("version", "path").agg(*[F.sum(c).alias(c) for c in ("touched", "file", "edges")])
-    hit = at_paths.join(roles, "path").where(in_range)
+    hit = _hits(at_paths, roles, max_commits)
     counts = F.col("touched") * (is_typescript(F.col("path")) | F.col("by_flow")).cast("int")
-    paths = _sums(hit, focus_path=near * counts, cone_path=counts, focus_file=near * F.col("file"), cone_file=far * F.col("file"), focus_edge=near * F.col("edges"), cone_edge=far * F.col("edges"))
+    paths = _sums(hit, ["block"], focus_path=near * counts, cone_path=counts, focus_file=near * F.col("file"), cone_file=far * F.col("file"), focus_edge=near * F.col("edges"), cone_edge=far * F.col("edges"))
+    paths = cut(paths.groupBy("block", "context", "version").agg(*[F.sum(n).alias(n) for n in REASONS]).drop("block"), free=True)
     # An edge with an end in the focus is none of the cone's: it is taken off at each of its ends there. What is left is above zero
     # exactly where an edge has ends in the cone and none in the focus, so edges are never paired with the contexts of their cones.
-    ends = sets.where(F.size("paths") > 1).select("version", "paths", "n", F.explode("paths").alias("path"))
-    own = ends.join(roles.where("in_focus"), "path").where(in_range).select("context", "version", "paths", "n").distinct()
-    own = own.select("context", "version", "n", F.explode("paths").alias("path")).join(roles.where("not in_focus").select("context", "path"), ["context", "path"])
-    links = _sums(own, cone_edge=-F.col("n"))
+    cone = roles.where("not in_focus").select("context", "path")
+    ends = edges_at.where(F.size("paths") == 2).select("version", F.inline(F.array(*[F.struct(F.col("paths")[i].alias("path"), F.col("paths")[1 - i].alias("other")) for i in (0, 1)])))
+    ends = _counted(_among(_among(ends, "other", cone), "path", roles.where("in_focus")))
+    own = ends.join(roles.where("in_focus"), "path").where(in_range).select("context", "version", "n", F.col("other").alias("path"))
+    if not (wide := edges_at.where(F.size("paths") > 2)).isEmpty():
+        several = _counted(wide).select("version", "paths", "n", F.explode("paths").alias("path")).join(roles.where("in_focus"), "path").where(in_range).select("context", "version", "paths", "n").distinct()
+        own = own.unionByName(several.select("context", "version", "n", F.explode("paths").alias("path")))
+    links = cut(own.join(cone, ["context", "path"]).groupBy("context", "version").agg(F.sum("n").alias("n")), free=True)
+    links = _sums(links, cone_edge=-F.col("n"))
 
     shifted = changes(flows, ["flow"], "fingerprint", "entry", "entry_record", "tests")
     differs = lambda f: ~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}"))

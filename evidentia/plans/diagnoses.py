@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.lineage import cut
 from evidentia.operators import diagnosis
-from evidentia.tables import table
+from evidentia.tables import table, tasks
 
 # What follows reads alike in Spark and in DuckDB.
 _PATH = "case when {0} % 11 = 0 then concat('docs/c', cast({0} as string), '.md') else concat('src/c', cast({0} as string), '.ts') end"
@@ -35,11 +35,16 @@ def _diagnosis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for name in ("orders", "lineitem", "customer"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     read = lambda what: spark.sql(f"with {_COMMON} select {what}")
-    edges = cut(diagnosis.merge_intervals(read("src, dst, kind, src_path, dst_path, valid_from, valid_to from raw where kind <> 'declares'"), ["src", "dst", "kind", "src_path", "dst_path"]))
-    files = read("path, hash, valid_from, valid_to from files where path like 'src/%'")
-    focus = cut(read("* from focus"))
-    tables = [read(f"* from {t}") for t in ("contexts", "commits", "touched")]
-    return diagnosis.rank_history(tables[0], tables[1], tables[2].withColumnRenamed("v", "version"), files, edges, read("* from flows"), focus, read("* from focus_flows"), max_commits=20, max_candidates=12, max_paths=300)
+    keys = ["src", "dst", "kind", "src_path", "dst_path"]
+    raw = read(f"{', '.join(keys)}, valid_from, valid_to from raw where kind <> 'declares'")
+    edges = diagnosis.merge_intervals(raw, keys, meet=["src", "dst"], parts=tasks(table(spark, sf_dir, "lineitem"), each=500_000))
+    every = cut(read("path, hash, valid_from, valid_to, next_v from files"), free=True)
+    files = every.where("path like 'src/%'").drop("next_v")
+    # As "touched" in the text above, from files that are made once.
+    closed = every.where("next_v is null and valid_to is not null").select(F.col("valid_to").alias("version"), "path")
+    manifest = spark.sql("select distinct o_orderkey % 24 as version, 'package.json' as path from orders where o_orderkey % 24 in (3, 9)")
+    touched = every.select(F.col("valid_from").alias("version"), "path").unionByName(closed).unionByName(manifest)
+    return diagnosis.rank_history(read("* from contexts"), read("* from commits"), touched, files, edges, read("* from flows"), read("* from focus"), read("* from focus_flows"), max_commits=20, max_candidates=12, max_paths=300)
 
 
 def history_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
