@@ -138,6 +138,9 @@ def rank_history(
     open_ = gated.where("status = 'confirmed'").select("context", "after_version", "head_version", "by_flow")
     roles = cut(focus.groupBy("context", "path").agg(F.max("in_focus").alias("in_focus")).join(open_, "context"), free=True)
     in_range = (F.col("version") > F.col("after_version")) & (F.col("version") <= F.col("head_version"))
+    # What happened to paths at versions in no question's range is left out before it is shuffled.
+    span = roles.agg(F.min("after_version").alias("first"), F.max("head_version").alias("last")).first()
+    asked = F.lit(False) if span["first"] is None or span["last"] is None else (F.col("version") > span["first"]) & (F.col("version") <= span["last"])
     near, far = F.col("in_focus").cast("int"), (~F.col("in_focus")).cast("int")
 
     # Paths that count: sources, and the manifest for questions about flows.
@@ -146,7 +149,7 @@ def rank_history(
     # Merged intervals of an edge don't touch: each start and each end is a change. Rows that merge_intervals let meet are not shuffled again.
     bounds = F.explode(F.array("valid_from", "valid_to")).alias("version")
     moved = edges.where(F.col("kind").isin(*EDGE_KINDS)).select(bounds, "src", "dst", "src_path", "dst_path").where("version > 0")
-    edges_at = cut(_places(moved), free=True)
+    edges_at = cut(_places(moved.where(asked)), free=True)
     # What happens to a path at a version is summed up before any context asks for it.
     none = F.lit(0).cast("long")
     parts = [
@@ -154,7 +157,7 @@ def rank_history(
         changes(files, ["path"], "hash").select("version", "path", none.alias("touched"), F.lit(1).cast("long").alias("file"), none.alias("edges")),
         edges_at.select("version", F.explode("paths").alias("path"), none.alias("touched"), none.alias("file"), F.lit(1).cast("long").alias("edges")),
     ]
-    at_paths = reduce(DataFrame.unionByName, parts).groupBy("version", "path").agg(*[F.sum(c).alias(c) for c in ("touched", "file", "edges")])
+    at_paths = reduce(DataFrame.unionByName, parts).where(asked).groupBy("version", "path").agg(*[F.sum(c).alias(c) for c in ("touched", "file", "edges")])
     hit = _hits(at_paths, roles, max_commits)
     counts = F.col("touched") * (is_typescript(F.col("path")) | F.col("by_flow")).cast("int")
     paths = _sums(hit, ["block"], focus_path=near * counts, cone_path=counts, focus_file=near * F.col("file"), cone_file=far * F.col("file"), focus_edge=near * F.col("edges"), cone_edge=far * F.col("edges"))
